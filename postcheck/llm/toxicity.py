@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo
-from .common import map_rows, quoted, stored, texts
+from .common import bound, map_rows, quoted, stored, texts
 
 #: Labelled rows to fit on, lexicon entries, least documents of an entry, word beginnings taken as terms.
-SAMPLE, LEXICON, SUPPORT, BEGINNINGS = 20_000, 2_000, 4, (4, 5, 6)
+SAMPLE, LEXICON, SUPPORT, BEGINNINGS = 20_000, 2_000, 4, (4, 5)
 TREES, DEPTH, STEP, SEED = 20, 3, 0.3, 11
 #: Second-person words (en, de, fr, es).
 SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine euch ihr tu te toi ton ta vous votre usted ti tus vosotros".split())
@@ -87,17 +87,28 @@ def with_features(df: DataFrame, weights: dict[str, float], text: str) -> DataFr
     return map_rows(df, [T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES], make)
 
 
+def _terms(sample: DataFrame) -> DataFrame:
+    """(term, before) for each word of the sample: the word itself and its beginnings, with the word before it."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = bound(words, lambda w: F.arrays_zip(w.alias("word"), F.concat(F.array(F.lit("")), w).alias("before")))
+    each = sample.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.word", "p.before")
+    each = each.where("word is not null")
+    starts = [F.when(F.char_length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in BEGINNINGS]
+    return each.select("before", F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("term"))
+
+
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms of the sample (text, label) by smoothed log-odds of documents, at most LEXICON of them."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    starts = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
-    terms = sample.select("label", F.explode(F.array_distinct(F.concat(words, *starts))).alias("term"))
-    counts = terms.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    """Terms of the sample (text, label) by smoothed log-odds of their occurrences, at most LEXICON of them.
+
+    A term's support is the number of different words before it, so that copies of one text lend it no weight.
+    """
     total = sample.agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).first()
     pos, neg = (total["pos"] or 0) + 1.0, (total["neg"] or 0) + 1.0
-    odds = F.log((F.col("pos") + 0.5) / F.lit(pos)) - F.log((F.col("neg") + 0.5) / F.lit(neg))
     least = max(SUPPORT, 0.01 * pos)
-    best = counts.select("term", "pos", odds.alias("odds")).where((F.col("pos") >= least) & (F.col("odds") >= 2.5))
+    marked = stored(_terms(sample.where("label = 1")).groupBy("term").agg(F.count_distinct("before").alias("pos")).where(F.col("pos") >= least))
+    others = _terms(sample.where("label = 0")).join(marked.select("term"), "term", "left_semi").groupBy("term").agg(F.count_distinct("before").alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / F.lit(pos)) - F.log((F.coalesce("neg", F.lit(0)) + 0.5) / F.lit(neg))
+    best = marked.join(others, "term", "left").select("term", "pos", odds.alias("odds")).where(F.col("odds") >= 2.5)
     return {r["term"]: float(r["odds"]) for r in best.orderBy(F.desc("odds"), F.desc("pos"), "term").limit(LEXICON).collect()}
 
 
