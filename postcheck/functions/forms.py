@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Categories and code points that carry no identity (symbols, formats, emoji).
 DROPPED = re.compile("[\U0001f000-\U0001faff︀-️☀-➿⬀-⯿\U0001f1e6-\U0001f1ff‍]")
@@ -24,17 +25,17 @@ def _normal(s: str | None) -> str:
     return unicodedata.normalize("NFKC", s) if s else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x and x.isascii() else _normal(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(_normal(x).split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _norm(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str:
         kept = (c for c in DROPPED.sub("", _normal(x)) if unicodedata.category(c) not in DROPPED_CATEGORIES)

@@ -101,3 +101,19 @@ def roster(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return read(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(*_columns(EFFICIENCY))
+
+#: Cells of five workbooks: a note on row 1, headers on row 2, one row for each supplier below.
+CELL_HEADERS = (("NAME", 1), ("POST LINK", 2), ("Impression", 3), ("CAMPAIGN", 4), ("POST DATE", 5))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "supplier").selectExpr("'w' || CAST(s_nationkey % 5 AS STRING) AS workbook", "CAST(s_suppkey + 3 AS INT) AS row", "*")
+    text = lambda e, col: F.struct(F.lit(col).alias("col"), F.expr(e).cast("string").alias("v_str"), F.lit(None).cast("double").alias("v_num"))
+    number = F.struct(F.lit(3).alias("col"), F.lit(None).cast("string").alias("v_str"), F.col("s_acctbal").alias("v_num"))
+    each = F.array(text("s_name", 1), text("'http://x.co/' || CAST(s_suppkey AS STRING)", 2), number, text("CASE WHEN s_suppkey % 4 = 0 THEN 'C' || CAST(s_suppkey AS STRING) ELSE '' END", 4),
+                   text("CASE s_suppkey % 3 WHEN 0 THEN '2026-05-1' || CAST(s_suppkey % 10 AS STRING) WHEN 1 THEN '5/1' || CAST(s_suppkey % 10 AS STRING) || '/2026' ELSE '2026.05.1' || CAST(s_suppkey % 10 AS STRING) END", 5))
+    body = base.select("workbook", "row", F.explode(each).alias("c")).select("workbook", "row", "c.*")
+    head = F.array(*[F.struct(F.lit(2).alias("row"), F.lit(c).alias("col"), F.lit(h).alias("v_str")) for h, c in CELL_HEADERS], F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("User: x, Top - From 2026/01/01 To 2026/07/20").alias("v_str")))
+    heads = base.select("workbook").distinct().select("workbook", F.explode(head).alias("c")).select("workbook", "c.row", "c.col", "c.v_str", F.lit(None).cast("double").alias("v_num"))
+    every = body.select("workbook", "row", "col", "v_str", "v_num").unionByName(heads)
+    return every.select("workbook", F.lit("S1").alias("sheet"), F.lit(1).alias("sheet_no"), "row", "col", "v_str", "v_num", F.lit(None).cast("timestamp").alias("v_ts"), F.lit(None).cast("string").alias("link"))
