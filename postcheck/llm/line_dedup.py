@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, bound, quoted
+from .common import LOWER, SPACE, UPPER, bound, quoted, stored
 
 
 def line_keys(text: Column) -> Column:
@@ -55,7 +55,7 @@ def drop_common_lines(
         F.xxhash64(F.lit(1), quoted(doc_id), quoted(text)).alias("rb"),
         F.posexplode(F.transform(line_keys(quoted(text)), lambda x: F.when(F.char_length(x) >= min_chars, _hash(x)))).alias("pos", "h"),
     ).where("h is not null").select("doc", "ra", "rb", "pos", F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
-    common = (
+    common = stored(
         exploded.groupBy("ha", "hb", "doc").agg(F.lit(1).alias("one"))
         .groupBy("ha", "hb").agg(F.count("*").alias("docs"))
         .where(F.col("docs") >= min_documents).select("ha", "hb")
