@@ -12,9 +12,9 @@ are narrow maps without a shuffle.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lists, map_rows, texts
+from .common import map_rows, texts
 
 #: Pre-tokens longer than this are not kept in the memo.
 MEMO_LONGEST = 64
@@ -151,16 +151,19 @@ class RankEncoder:
         self.queue = RankQueue(len(self.product))
         self.memo = Memo(self.piece_ids)
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of a pre-token as packed int32, so that a text's ids are one join."""
         data = piece.encode()
         if data in self.ranks:
-            return (self.ranks[data],)
+            return array("i", (self.ranks[data],)).tobytes()
         byte_id = self.byte_id
-        return tuple(merge([byte_id[b] for b in data], self.pair, self.product, self.queue))
+        return array("i", merge([byte_id[b] for b in data], self.pair, self.product, self.queue)).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        found = chain.from_iterable(map(self.memo.__getitem__, self.pieces(text)))
-        return np.fromiter(found, dtype=np.int32)
+        return np.frombuffer(self.packed(text), dtype=np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -194,7 +197,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
     def make():
         own = encoder(raw.value, pattern)
-        return lambda batch: [lists([own.encode(t) for t in texts(batch, text)], pa.int32())]
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            packed = [own.packed(t) for t in texts(batch, text)]
+            offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+            flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))]
+
+        return work
 
     return map_rows(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
 
@@ -205,6 +216,13 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
     def make():
         own = encoder(raw.value, pattern)
-        return lambda batch: [pa.array([own.decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], type=pa.binary())]
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            column = batch.column(batch.schema.get_field_index(ids))
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            return [pa.array([own.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)], type=pa.binary())]
+
+        return work
 
     return map_rows(df, [T.StructField(out, T.BinaryType())], make)

@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,11 +97,3 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column with null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """An Arrow list column from one numpy array for each row."""
-    offsets = np.zeros(len(values) + 1, dtype=np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
