@@ -30,18 +30,24 @@ MEMO_LONGEST = 64
 MEMO_SIZE = 300_000
 
 
-#: Token ids stay below 2 to this power, so that two of them make one pair key.
+#: Two token ids below 2 to this power make one pair key.
 SHIFT = 24
-#: Ranks under one word of the lower bitmap level.
-WORD_BITS = 8
 
 
 class RankQueue:
-    """Pops the smallest rank, and of equal ranks the leftmost position. Empty between pre-tokens, so one serves all."""
+    """Buckets by rank under a bitmap of 256-bit words: a bucket is one position, or a heap of several. Empty between pre-tokens, so one serves all."""
 
     def __init__(self, ranks: int) -> None:
-        self.low = [0] * ((ranks >> WORD_BITS) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * ((ranks >> 8) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
+
+    def add(self, rank: int, position: int) -> None:
+        """One more position in a bucket that exists."""
+        bucket = self.buckets[rank]
+        if bucket.__class__ is list:
+            heappush(bucket, position)
+        else:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
 
 
 def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQueue) -> list[int]:
@@ -53,61 +59,60 @@ def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQ
     end = len(ids)
     if end < 2:
         return ids
-    get, low, buckets, top = pair.get, queue.low, queue.buckets, 0
-    mask = (1 << WORD_BITS) - 1
-    ranks = [get(a << SHIFT | b, -1) for a, b in zip(ids, ids[1:])]
+    get, low, buckets, take, top = pair.get, queue.low, queue.buckets, queue.buckets.pop, 0
+    ranks = [get(a << 24 | b, -1) for a, b in zip(ids, ids[1:])]
     ranks.append(-1)
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
     for i, rank in enumerate(ranks):
         if rank >= 0:
             if rank in buckets:
-                buckets[rank].append(i)  # positions come in order: already a heap
+                queue.add(rank, i)
             else:
-                buckets[rank] = [i]
-                low[rank >> WORD_BITS] |= 1 << (rank & mask)
-                top |= 1 << (rank >> WORD_BITS)
+                buckets[rank] = i
+                low[rank >> 8] |= 1 << (rank & 255)
+                top |= 1 << (rank >> 8)
     while top:
         word = (top & -top).bit_length() - 1
         x = low[word]
-        rank = (word << WORD_BITS) + (x & -x).bit_length() - 1
-        bucket = buckets[rank]
-        if len(bucket) > 1:
+        rank = (word << 8) + (x & -x).bit_length() - 1
+        i = take(rank)
+        if i.__class__ is list:
+            bucket = i
             i = heappop(bucket)
-        else:
-            i = bucket[0]
-            del buckets[rank]
+            if bucket:
+                buckets[rank] = bucket
+        if rank not in buckets:
             low[word] = x = x & (x - 1)
             if not x:
                 top &= top - 1
         if ranks[i] != rank:
             continue  # stale
         j = after[i]
-        k = after[j]
+        after[i] = k = after[j]
         ids[i] = token = product[rank]
         ids[j] = ranks[j] = -1
-        after[i] = k
-        new = -1
         if k < end:
             before[k] = i
-            new = get(token << SHIFT | ids[k], -1)
-        ranks[i] = new
+            ranks[i] = new = get(token << 24 | ids[k], -1)
+            if new >= 0:
+                if new in buckets:
+                    queue.add(new, i)
+                else:
+                    buckets[new] = i
+                    low[new >> 8] |= 1 << (new & 255)
+                    top |= 1 << (new >> 8)
+        else:
+            ranks[i] = -1
         h = before[i]
         if h >= 0:
-            left = ranks[h] = get(ids[h] << SHIFT | token, -1)
-            if left >= 0:
-                if left in buckets:
-                    heappush(buckets[left], h)
+            ranks[h] = new = get(ids[h] << 24 | token, -1)
+            if new >= 0:
+                if new in buckets:
+                    queue.add(new, h)
                 else:
-                    buckets[left] = [h]
-                    low[left >> WORD_BITS] |= 1 << (left & mask)
-                    top |= 1 << (left >> WORD_BITS)
-        if new >= 0:
-            if new in buckets:
-                heappush(buckets[new], i)
-            else:
-                buckets[new] = [i]
-                low[new >> WORD_BITS] |= 1 << (new & mask)
-                top |= 1 << (new >> WORD_BITS)
+                    buckets[new] = h
+                    low[new >> 8] |= 1 << (new & 255)
+                    top |= 1 << (new >> 8)
     return [s for s in ids if s >= 0]
 
 
