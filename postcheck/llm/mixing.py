@@ -101,7 +101,7 @@ def _cut_offs(parts: DataFrame) -> DataFrame:
 
     Documents are taken in the order of v = hash / fraction until their words reach the sum of size * fraction.
     """
-    wanted = cut(parts.groupBy("source").agg(F.sum(F.col("size") * F.col("fraction")).alias("wanted")).select("source", "wanted", F.lit(0.0).alias("lo")))
+    wanted = stored(parts.groupBy("source").agg(F.sum(F.col("size") * F.col("fraction")).alias("wanted")).select("source", "wanted", F.lit(0.0).alias("lo")))
     width = 1.0
     for level in range(LEVELS):
         width /= BINS
@@ -115,7 +115,7 @@ def _cut_offs(parts: DataFrame) -> DataFrame:
         pick = before.where(F.col("before") <= F.col("wanted")).groupBy("source").agg(
             F.max_by(F.struct((F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("wanted") - F.col("before")).alias("wanted"), F.col("words").alias("words")), "bin").alias("p")
         )
-        wanted = cut(pick.select("source", F.col("p.wanted").alias("wanted"), F.col("p.lo").alias("lo"), F.col("p.words").alias("words")))
+        wanted = stored(pick.select("source", F.col("p.wanted").alias("wanted"), F.col("p.lo").alias("lo"), F.col("p.words").alias("words")))
     # The last bin is as fine as one document: it is taken whole if that comes nearer.
     return wanted.select("source", (F.col("lo") + F.when(F.col("wanted") * 2 >= F.col("words"), F.lit(width)).otherwise(F.lit(0.0))).alias("limit"))
 
@@ -135,15 +135,16 @@ def mix(
     it (at most ceil(cap)), taken = size * copies. Sources are ordered by code point, null is a source of its own and
     the last. Documents of size 0 have rate 1 and taken 0. Repeated rows and ids are documents of their own but share
     their hash, so they are taken or left alike. An empty table gives an empty result. Results depend on the rows only,
-    not on their order or partitions.
+    not on their order or partitions. Per-source tables are written before they are joined, so that their known size
+    decides between a broadcast and a join whose hot partitions are split.
     """
     base = stored(docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), n_words(quoted(text)).alias("size")))
     sizes = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
     goals = source_targets(totals.select("source", "words"), weights, share, cap)
-    targets = cut(goals.join(totals.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).select(
+    targets = stored(goals.join(totals.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "words", "target", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9)).alias("mean")))
-    tilt = balance(sizes, targets, cap)
+    tilt = stored(balance(sizes, targets, cap))
     known = targets.join(tilt.select(F.col("source").alias("s"), "m", "full"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rated = base.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", F.col("words").alias("source_size"), "target",
@@ -153,7 +154,7 @@ def mix(
     fraction = F.col("rate") - F.floor("rate")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", "size"), 12).cast("double") + 0.5) / F.lit(float(2**52))
     drawn = stored(rated.select("*", fraction.alias("fraction"), F.when(fraction > 0, F.least(u / fraction / F.lit(BINS), F.lit(0.999999999999))).alias("v")))
-    limits = _cut_offs(drawn.where("size > 0 and fraction > 0").select("source", "size", "fraction", "v"))
+    limits = stored(_cut_offs(drawn.where("size > 0 and fraction > 0").select("source", "size", "fraction", "v")))
     copies = (F.floor("rate") + F.when(F.col("v") < F.col("limit"), 1).otherwise(0)).cast("long")
     return drawn.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
         "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -1,0 +1,187 @@
+import random
+
+from pyspark.sql import functions as F
+
+from postcheck.llm import line_dedup, mixing, secret_scan, toxicity, url_rules
+from postcheck.llm.queries import RULES
+
+
+def test_lines_equal_brute_force(spark):
+    draw = random.Random(3)
+    pool = ["Hot Line", " hot line\t", "rare", "", "  ", "Ünï", "x" * 5000]
+    docs = [(i, "\n".join(draw.choice(pool) if draw.random() < 0.5 else f"own {i} {k}" for k in range(draw.randint(0, 9)))) for i in range(60)]
+    docs += [(100, None), (101, ""), (None, "hot line\nnull id"), (5, docs[5][1])]
+    df = spark.createDataFrame([(a, b, "c", 1) for a, b in docs], "doc_id long, text string, drop string, pos int")
+    out = line_dedup.drop_common_lines(df, min_documents=10)
+    assert set(out.columns) == {"doc_id", "text", "drop", "pos", "n_lines", "n_dropped"}
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()))
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line).strip(" \t\n\x0b\x0c\r")
+    seen = {}
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            seen.setdefault(key(line), set()).add(i)
+    want = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not key(x) or len(seen[key(x)]) < 10]
+        want.append((i is None, i or 0, "\n".join(stay), len(lines), len(lines) - len(stay)))
+    assert got == sorted(want)
+    assert line_dedup.drop_common_lines(df.limit(0)).count() == 0
+
+
+URLS = [
+    "http://a.net/x", "http://NET/x", "https://sub.example.net/en/page?q=/de/", "http://example.net/english", "http://example.net/en/", "http://example.com/de/1#/x", "http://deep.a.example.com/de/",
+    "http://example.com/fr/", "https://x.org/fr/9", "org/fr/", None, "", "http://x.net?y=1", "http://notexample.net.evil/", "http://x.net.:80/", "ftp://net/", "http://a.net:80/x", "a\nhttp://b.net/\nc", "http://example-net/",
+]
+
+
+def _judge(url, rules, default="allow"):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    at = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:at])
+    tail = rest[at:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[1], best[2] if best else default
+
+
+def test_urls_equal_brute_force(spark):
+    many = [("allow", "b.c.d", "/"), ("block", "c.d", "/x"), ("allow", "d", "/x/y"), ("block", "c.d", "/x/y/z"), ("block", "a-b.c.d", "/")]
+    extra = [f"http://{h}{p}" for h in ("d", "c.d", "b.c.d", "z.b.c.d", "a-b.c.d", "xc.d", "e") for p in ("", "/", "/x", "/x/y", "/x/y/z")]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS + extra + ["http://hot.net/"] * 200)], "page_id long, url string, host string")
+    for rules in (list(RULES), many):
+        out = url_rules.filter_urls(pages, url_rules.rule_table(spark, rules))
+        assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+        rows = out.collect()
+        assert len(rows) == pages.count()
+        for r in rows:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == _judge(r["url"], rules), r["url"]
+    assert url_rules.filter_urls(pages, url_rules.rule_table(spark, [])).where("rule is not null").count() == 0
+    assert url_rules.filter_urls(pages.limit(0), url_rules.rule_table(spark, RULES)).count() == 0
+
+
+def _water(words, weights, share, cap):
+    order = sorted(words, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), share * sum(words.values())
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if level * w[s] > cap * words[s]}
+        if not full:
+            return target | {s: level * w[s] for s in open_}
+        for s in full:
+            target[s] = cap * words[s]
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+def test_mix_meets_targets(spark):
+    draw = random.Random(1)
+    docs = []
+    for i in range(3000):
+        s = draw.choice(["a", "a", "a", "a", "b", "c", "d", None, "Z"])
+        docs.append((i, s, " ".join(["w"] * int(draw.lognormvariate(3, 1)))))
+    docs += [(5000, "e", None), (5001, "e", ""), (5002, "a", "w " * 20000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mixing.mix(df).collect()
+    words = {}
+    for _, s, t in docs:
+        words[s] = words.get(s, 0) + len((t or "").split())
+    want = _water(words, (3, 1, 2), 1.5, 2.0)
+    taken = {}
+    for r in rows:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and r["source_size"] == words[r["source"]]
+        assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    largest = {}
+    for r in rows:
+        largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(0.01 * t, largest[s] / 2 + 1), (s, taken[s], t)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted((r["doc_id"], r["copies"]) for r in rows) == sorted((r["doc_id"], r["copies"]) for r in again)
+    # The rates are the dual's solution: exp(m * size / mean), capped, with the source's words at the target.
+    for s in ("a", "b"):
+        got = sum(r["rate"] * r["size"] for r in rows if r["source"] == s)
+        assert abs(got - want[s]) < 1e-4 * want[s]
+    mixed = mixing.mix(df)
+    assert mixing.take(df, mixed).count() == sum(r["copies"] for r in rows)
+
+
+def test_mix_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, source string, text string")
+    assert mixing.mix(empty).count() == 0
+    silent = spark.createDataFrame([(1, "a", None), (1, "a", None), (None, None, "")], "doc_id long, source string, text string")
+    assert [r["taken"] for r in mixing.mix(silent).collect()] == [0, 0, 0]
+
+
+def _toxic_docs(n, seed):
+    draw, docs, labels = random.Random(seed), [], []
+    plain = ["".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(1, 4))) for _ in range(400)]
+    bad = ["idiot", "scumbag", "loweient", "loweischaft", "loweiung"]
+    for i in range(n):
+        words = [draw.choice(plain) for _ in range(draw.randint(5, 60))]
+        toxic = int(draw.random() < 0.3)
+        for _ in range(3 * toxic):
+            words.insert(draw.randrange(len(words)), draw.choice(bad))
+        docs.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, toxic))
+    return docs, labels
+
+
+def test_toxicity_learns_and_generalises(spark):
+    docs, labels = _toxic_docs(800, 5)
+    extra = [(9001, None, None, None), (9002, "", "en", "s"), (None, "scumbag idiot scumbag idiot you", "en", "s"), (9003, "idiot " * 30000, "en", "s")]
+    df = spark.createDataFrame(docs + extra, "doc_id long, text string, lang string, score string")
+    lab = spark.createDataFrame(labels + [(0, 1, None), (None, 1, 1), (3, 0, 7)], "doc_id long, quality int, toxic int")
+    out = toxicity.score(df, lab)
+    assert out.columns == ["doc_id", "text", "lang", "held_out", "score", "predicted"]
+    rows = out.collect()
+    assert len(rows) == len(docs) + 4
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 100 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert next(r for r in rows if r["doc_id"] is None)["predicted"] == 1
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
+
+
+def test_toxicity_without_labels(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [(r["score"], r["predicted"]) for r in toxicity.score(df, none).collect()] == [(0.0, 0), (0.0, 0)]
+    assert toxicity.score(df.limit(0), none).count() == 0
+
+
+def test_secret_scan_removes_false_positives(spark):
+    draw, docs = random.Random(8), []
+    token = lambda a, n: "".join(draw.choice(a) for _ in range(n))
+    secrets = set()
+    for i in range(300):
+        hidden = token("0123456789abcdef", 40)
+        key = "AKIA" + token("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7"
+        words = ["plain", "words", f"user.name{i}@mail{i}.example.com", "more", f"192.168.{i % 250}.10{i % 9}", "card", str(4000000000000000 + i)]
+        if i % 2:
+            words += ["token", "=", f'"{hidden}"', "end"]
+            secrets.add(hidden)
+        if i % 3 == 0:
+            words += ["and", key, "then"]
+            secrets.add(key)
+        docs.append((i, " ".join(words)))
+    docs += [(900, None), (901, ""), (902, "   "), (None, docs[1][1]), (1, docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secret_scan.candidates(df)
+    learn = found.where("doc_id % 5 <> 0")
+    findings = learn.withColumn("label", secret_scan.weak_label(learn)).where("label is not null")
+    words = secret_scan.dictionary_table(df, ["plain", "words", "user", "name", "mail", "example", "com", "more"])
+    rows = secret_scan.scan(df, findings, words).collect()
+    assert len(rows) == found.count()
+    held = [r for r in rows if r["doc_id"] is None or r["doc_id"] % 5 == 0]
+    assert sum(r["is_secret"] == (r["value"] in secrets) for r in held) / len(held) > 0.97
+    plan = secret_scan.scan(df, findings, words)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert secret_scan.scan(df.limit(0), findings.limit(0), words).count() == 0
