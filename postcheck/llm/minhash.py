@@ -9,7 +9,8 @@ deeper and sparse ones stay shallow. With four values a pair at 0.75 meets in an
 
 Two rounds make links. First, every document proposes the most similar earlier document of its region and blocks; these
 linear many candidates are confirmed on full shingle sets and joined into components. Then, only where a region still
-holds several components, all pairs between different components whose signatures agree well enough are confirmed.
+holds several components, its rows carry their full sets, and all pairs between different components whose signatures
+agree well enough are confirmed inside the task, the likeliest first; it returns the links that join components, at most one for each row.
 Pairs inside a component cannot change the result and are never made. Signatures agree well enough from the count that a
 pair at the threshold reaches with probability RECALL.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .common import make_importable, map_rows, quoted, stored
 from .components import connected_components
 
-HASHES, GROUP, ORDERS = 128, 4, 32
+HASHES, ORDERS = 128, 32
 #: Rows over which a region goes deeper, rows of a block, deepest prefix in groups.
 REGION, BLOCK, DEEPEST = 4096, 1024, 8
 RECALL = 0.9999
@@ -157,29 +158,46 @@ def _nearest(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate([empty, *out_a])), pa.array(np.concatenate([empty, *out_b]))], schema=_PAIRS)
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return len(x) + len(y) > both and 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+
+
 def _crossing(table: pa.Table) -> pa.Table:
-    """Second round: all pairs of different components that agree well enough, each in the first order where it meets."""
+    """Second round: confirm all pairs of different components that agree well enough, each in the first order where it meets; return links that join components."""
     table, ids, sizes, sig, hashes, left, right, same = _blocks(table)
-    component = table["component"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    names, group = np.unique(table["component"].to_numpy(), return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
     t = table["t"][0].as_py()
     deep = np.zeros((len(ids), ORDERS), dtype=bool)
     for row, cut in enumerate(table["deep"].to_pylist()):
         deep[row, cut or []] = True
-    need, out_a, out_b = agreement_needed(), [], []
+    need, out = agreement_needed(), []
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         count = _agree(hashes, sizes, rows, right)
-        count[component[rows][:, None] == component[right][None, :]] = 0
+        count[group[rows][:, None] == group[right][None, :]] = 0
         if same:
             count[right[None, :] <= rows[:, None]] = 0
         x, y = np.nonzero(count >= need)
-        a, b = rows[x], right[y]
-        met = ((sig[a, :t] == sig[b, :t]) & ~deep[a, :t]).any(axis=1)
-        out_a.append(ids[a[~met]])
-        out_b.append(ids[b[~met]])
-    empty = np.empty(0, np.int64)
-    a, b = np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+        a, b, agree = rows[x], right[y], count[x, y]
+        fresh = ~((sig[a, :t] == sig[b, :t]) & ~deep[a, :t]).any(axis=1)
+        a, b, agree = a[fresh], b[fresh], agree[fresh]
+        for k in np.argsort(-agree.astype(np.int16), kind="stable").tolist():
+            g, h = top(group[a[k]]), top(group[b[k]])
+            if g != h and _linked(sets[a[k]], sets[b[k]]):
+                root[max(g, h)] = min(g, h)
+                out.append((ids[a[k]], ids[b[k]]))
+    a, b = (np.array([p[i] for p in out], dtype=np.int64) for i in (0, 1))
+    return pa.table([pa.array(a), pa.array(b)], schema=_PAIRS)
 
 
 def _confirm() -> Callable[[pa.RecordBatch], list[pa.Array]]:
@@ -195,22 +213,22 @@ def _confirm() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for a, b, x, y in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-            x, y = shingles(a, x), shingles(b, y)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
+            out.append(_linked(shingles(a, x), shingles(b, y)))
         return [pa.array(out, pa.bool_())]
 
     return work
 
 
-def confirmed(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Append `linked` to pairs (a, b): whether the full shingle sets of the two texts reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    held = stored(representatives.join(wanted, representatives["id"] == wanted["doc"], "left_semi"))
+def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; held has the texts by id."""
     left = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(map_rows(joined, [T.StructField("linked", T.BooleanType())], _confirm, rows=256).select("a", "b", "linked"))
+    return stored(map_rows(joined, [T.StructField("linked", T.BooleanType())], _confirm, rows=256).where("linked").select("a", "b"))
+
+
+def _shingles() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+    return lambda batch: [pa.array([shingle_set(words_of(t)).tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.binary())]
 
 
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,25 +290,24 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     )
     features = stored(made.drop("text"))
     usable = features.where("n > 0 and doc_id is not null")
-    keys = stored(usable.groupBy("ha", "hb").agg(F.min("doc_id").alias("id")))
-    classes = stored(
-        usable.join(keys.withColumnRenamed("id", "doc_id"), ["ha", "hb", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id"])
-    )
-    representatives = rows.select(F.col("doc_id").alias("id"), "text")
+    # Rows of a class have the same set, so any row's signature is the class's.
+    classes = stored(usable.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     members, deep = regions(classes)
-    full = members.join(classes, "id")
-    first = _meetings(full, False).groupBy("t", "code", "i", "j").applyInArrow(_nearest, "a long, b long")
-    tried = confirmed(stored(first.distinct()), representatives)
-    links = tried.where("linked").select("a", "b")
-    parts = connected_components(links)
-    placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met = members.select("id").distinct()
+    # The texts of documents that meet others move once, for both rounds. The ids grow with the corpus, so the join is a
+    # sort-merge join at every size.
+    held = stored(rows.select(F.col("doc_id").alias("id"), "text").join(met.hint("merge"), "id", "left_semi"))
+    first = _meetings(members.join(classes.drop("ha", "hb"), "id"), False).groupBy("t", "code", "i", "j").applyInArrow(_nearest, "a long, b long")
+    links = confirmed(stored(first.distinct()), held)
+    placed = members.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("t", "code").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t", "code")
-    several = placed.join(mixed, ["t", "code"]).join(classes, "id").join(deep, "id", "left")
-    second = _meetings(several, True).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long")
-    more = confirmed(stored(second.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")), representatives)
-    parts = connected_components(links.unionByName(more.where("linked").select("a", "b")))
-    named = keys.join(parts, "id", "left").select("ha", "hb", F.coalesce("component", "id").alias("component"))
+    several = stored(placed.join(mixed, ["t", "code"]))
+    open_ids = several.select("id").distinct()
+    sets = map_rows(held.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
+    full = several.join(classes.drop("ha", "hb").join(sets, "id").join(deep, "id", "left"), "id")
+    second = stored(_meetings(full, True).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long"))
+    parts = connected_components(links.unionByName(second))
+    named = classes.select("ha", "hb", "id").join(parts, "id", "left").select("ha", "hb", F.coalesce("component", "id").alias("component"))
     joined = features.select("doc_id", "n", "ha", "hb").join(named, ["ha", "hb"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return joined.select(

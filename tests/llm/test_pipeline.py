@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, tmp_path):
         text = " ".join(words) + ("\nShared footer line of many documents" if i % 2 else "")
         docs.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, 1, int(i % 5 == 0)))
-    docs += [(1000 + i, docs[1][1].split("\n")[0], "en", "s1", 9) for i in range(12)]
+    docs += [(1000 + i, docs[1][1].split("\n")[0], "en", "s1", 9) for i in range(6)]
     _tables(spark, tmp_path, docs, labels)
     frame, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
@@ -32,7 +32,7 @@ def test_stages_take_effect(spark, tmp_path):
     kept = {r["doc_id"] for r in seen["toxicity"]}
     assert len([i for i in range(300) if i % 5 and i in kept]) >= 238 and len([i for i in range(300) if i % 5 == 0 and i in kept]) <= 3
     assert not any("Shared footer" in r["text"] for r in seen["line_dedup"])
-    assert {r["doc_id"] for r in seen["near_dedup"]} & {1, *range(1000, 1012)} == {1}
+    assert {r["doc_id"] for r in seen["near_dedup"]} & {1, *range(1000, 1006)} == {1}
     assert all(r["round_trip"] for r in seen["bpe"]) and len(seen["bpe"]) == len(seen["mixing"])
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["n_tokens"]) for r in run) == sorted((r["doc_id"], r["n_tokens"]) for r in seen["bpe"])
