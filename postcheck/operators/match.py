@@ -75,7 +75,10 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _grams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
+    """Distinct bigrams; the characters are split once, so a long text costs in proportion."""
+    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_distinct(F.get(F.transform(F.array(chars), pairs), F.lit(0)))
 
 
 def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
