@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from postcheck.llm import line_dedup, mixing, secret_scan, toxicity, url_rules
 from postcheck.llm.queries import RULES
 
