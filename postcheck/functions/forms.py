@@ -25,18 +25,15 @@ def _normal(s: str | None) -> str:
     return unicodedata.normalize("NFKC", s) if s else ""
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
+def _nfkc_series(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x and x.isascii() else _normal(x))
 
 
-@F.pandas_udf(T.StringType())
-def _folded(s: pd.Series) -> pd.Series:
+def _folded_series(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(_normal(x).split()).casefold())
 
 
-@F.pandas_udf(T.StringType())
-def _norm(s: pd.Series) -> pd.Series:
+def _norm_series(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str:
         kept = (c for c in DROPPED.sub("", _normal(x)) if unicodedata.category(c) not in DROPPED_CATEGORIES)
         return "".join("".join(kept).split()).casefold()
@@ -44,6 +41,18 @@ def _norm(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def _nfkc(c: Column) -> Column:
+    return F.pandas_udf(_nfkc_series, T.StringType())(c)
+
+
+def _folded(c: Column) -> Column:
+    return F.pandas_udf(_folded_series, T.StringType())(c)
+
+
+def _norm(c: Column) -> Column:
+    return F.pandas_udf(_norm_series, T.StringType())(c)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

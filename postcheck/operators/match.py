@@ -69,11 +69,14 @@ def _lcs(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
+def _ratio(a: str, b: str) -> Column:
+    return F.pandas_udf(_ratio_series, T.DoubleType())(F.col(a), F.col(b))
+
+
 def _grams(c: Column) -> Column:
     """Distinct bigrams; the characters are split once, so a long text costs in proportion."""
     pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))
