@@ -13,7 +13,7 @@ from ..streaming import jobs
 from .matching import _VERDICTS, verdicts
 from .registry import query
 
-AS_OF = F.lit("2026-08-01").cast("date")
+AS_OF = "2026-08-01"
 _SUPPLIERS = "s AS (SELECT 'w' || (s_nationkey % 5) AS workbook, CAST(s_suppkey + 3 AS INTEGER) AS excel_row, * FROM supplier)"
 
 
@@ -27,14 +27,14 @@ def S5_find_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     coalesce(last_value(CASE WHEN s_suppkey % 4 = 0 THEN 'C' || s_suppkey END IGNORE NULLS) OVER (PARTITION BY workbook ORDER BY excel_row ROWS UNBOUNDED PRECEDING), '') AS campaign,
     '2026-05-1' || (s_suppkey % 10) AS post_date FROM s""")
 def S1_W1_bind_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bind.bind_tracker(a.cells(spark, sf_dir), AS_OF)
+    rows = bind.bind_tracker(a.cells(spark, sf_dir), F.lit(AS_OF).cast("date"))
     return rows.select("workbook", "excel_row", "name", "post_link", "impression", "campaign", F.col("post_date").cast("string").alias("post_date"))
 
 
 @query("WITH " + _SUPPLIERS + " SELECT DISTINCT workbook, '2026-01-01' AS from_date, '2026-07-20' AS to_date FROM s")
 def S7_export_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = a.cells(spark, sf_dir)
-    out = bind.export_window(c, bind.find_header(c, ("name", "postlink")), AS_OF)
+    out = bind.export_window(c, bind.find_header(c, ("name", "postlink")), F.lit(AS_OF).cast("date"))
     return out.select("workbook", F.col("from_date").cast("string").alias("from_date"), F.col("to_date").cast("string").alias("to_date"))
 
 
@@ -87,7 +87,7 @@ def H3_validate_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def P21_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = a.read(spark, sf_dir, "orders")
     layout = "CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'yyyy-M-d') WHEN 1 THEN date_format(o_orderdate, 'yyyy/MM/dd') WHEN 2 THEN date_format(o_orderdate, 'yyyy.MM.dd') WHEN 3 THEN date_format(o_orderdate, 'M/d/yyyy') WHEN 4 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') ELSE date_format(o_orderdate, 'M/d/yy') END"
-    return o.select("o_orderkey", coerce.parse_date(F.expr(layout), AS_OF).cast("string").alias("parsed"))
+    return o.select("o_orderkey", coerce.parse_date(F.expr(layout), F.lit(AS_OF).cast("date")).cast("string").alias("parsed"))
 
 
 @query("SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, (o_orderkey % 100) * 10000 AS magnitude FROM orders")
