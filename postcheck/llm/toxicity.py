@@ -90,9 +90,10 @@ def with_features(df: DataFrame, weights: dict[str, float], text: str) -> DataFr
 def _terms(sample: DataFrame) -> DataFrame:
     """(term, before) for each word of the sample: the word itself and its beginnings, with the word before it."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    pairs = bound(words, lambda w: F.arrays_zip(w.alias("word"), F.concat(F.array(F.lit("")), w).alias("before")))
-    each = sample.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.word", "p.before")
-    each = each.where("word is not null")
+    # Words hold letters only, so a space parts the two; strings are made distinct by hash, structs would be compared all with all.
+    pairs = bound(words, lambda w: F.zip_with(w, F.concat(F.array(F.lit("")), w), lambda word, before: F.concat(word, F.lit(" "), before)))
+    each = sample.select(F.explode(F.array_distinct(pairs)).alias("p")).where("p is not null")
+    each = each.select(F.substring_index("p", " ", 1).alias("word"), F.substring_index("p", " ", -1).alias("before"))
     starts = [F.when(F.char_length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in BEGINNINGS]
     return each.select("before", F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("term"))
 
