@@ -3,15 +3,15 @@
 A document's set is its distinct five-word shingles. Documents of equal word sequences are merged into classes first, so
 exact copies of any number are one row. Each class has 128 min-hashes, kept as 32 groups of four 16-bit values; the
 forest's 32 orders read these groups cyclically from 32 starting points. Documents that share the longest prefixes of
-an order form its regions: a region over REGION rows goes on to the next group of that order, so dense regions are cut
-deeper and sparse ones stay shallow. With four values a pair at 0.75 meets in an order with probability 0.32, in one of
-32 with 0.999995.
+an order form its regions. With four values a pair at 0.75 meets in an order with probability 0.32, in one of 32 with
+0.999995. The first round cuts a region over REGION rows by the next groups of that order, so that dense regions put the
+most similar rows together; the second round takes regions of any size whole, so no cut costs a link.
 
 Two rounds make links. First, every document proposes the most similar earlier document of its region and blocks; these
 linear many candidates are confirmed on full shingle sets and joined into components. Then, only where a region still
 holds several components, its rows carry their full sets, and all pairs between different components whose signatures
 agree well enough are confirmed inside the task, the likeliest first; it returns the links that join components, at most one for each row.
-Pairs inside a component cannot change the result and are never made. Signatures agree well enough from the count that a
+Pairs inside a component cannot change the result: blocks that one component fills do not meet each other. Signatures agree well enough from the count that a
 pair at the threshold reaches with probability RECALL.
 """
 
@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ from .common import make_importable, map_rows, quoted, stored
 from .components import connected_components
 
 HASHES, ORDERS = 128, 32
-#: Rows over which a region goes deeper, rows of a block, deepest prefix in groups.
+#: Rows over which the first round cuts a region deeper, rows of a block, deepest prefix in groups.
 REGION, BLOCK, DEEPEST = 4096, 1024, 8
 RECALL = 0.9999
 SHINGLE, THRESHOLD = 5, 75
@@ -177,9 +177,6 @@ def _crossing(table: pa.Table) -> pa.Table:
         return g
 
     t = table["t"][0].as_py()
-    deep = np.zeros((len(ids), ORDERS), dtype=bool)
-    for row, cut in enumerate(table["deep"].to_pylist()):
-        deep[row, cut or []] = True
     need, out = agreement_needed(), []
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
@@ -189,7 +186,7 @@ def _crossing(table: pa.Table) -> pa.Table:
             count[right[None, :] <= rows[:, None]] = 0
         x, y = np.nonzero(count >= need)
         a, b, agree = rows[x], right[y], count[x, y]
-        fresh = ~((sig[a, :t] == sig[b, :t]) & ~deep[a, :t]).any(axis=1)
+        fresh = ~(sig[a, :t] == sig[b, :t]).any(axis=1)
         a, b, agree = a[fresh], b[fresh], agree[fresh]
         for k in np.argsort(-agree.astype(np.int16), kind="stable").tolist():
             g, h = top(group[a[k]]), top(group[b[k]])
@@ -232,16 +229,16 @@ def _shingles() -> Callable[[pa.RecordBatch], list[pa.Array]]:
 
 
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(t, code, id, size) of every region of two or more, and (id, deep): the orders in which an id was cut deeper."""
+    """(t, code, id, size) of the first round's regions, cut to REGION rows, and (t, code, id) of the uncut ones of two rows or more."""
     placed = classes.select("id", F.posexplode("sig").alias("t", "code"))
     sizes = stored(placed.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1"))
     members = stored(placed.join(sizes, ["t", "code"]))
-    done, deep = [members.where(F.col("size") <= REGION)], []
+    whole = members.select("t", "code", "id")
+    done = [members.where(F.col("size") <= REGION)]
     large = members.where(F.col("size") > REGION)
     for depth in range(1, DEEPEST):
         if sizes.where(F.col("size") > REGION).isEmpty():
             break
-        deep.append(large.select("id", "t"))
         next_group = F.get("sig", F.pmod(F.col("t") + depth, F.lit(ORDERS)).cast("int"))
         longer = stored(large.join(classes.select("id", "sig"), "id").select("id", "t", F.xxhash64("code", next_group).alias("code")))
         sizes = stored(longer.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1"))
@@ -253,23 +250,50 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    if not deep:
-        return out, classes.select("id").where("false").withColumn("deep", F.array(F.lit(0)))
-    cuts = deep[0]
-    for more in deep[1:]:
-        cuts = cuts.unionByName(more)
-    return out, stored(cuts.groupBy("id").agg(F.collect_set("t").alias("deep")))
+    return out, whole
 
 
-def _meetings(members: DataFrame, all_pairs: bool) -> DataFrame:
-    """Deal regions into blocks: every block meets itself and the first one, or with all_pairs every other."""
+def _meet(dealt: DataFrame, meets: Column) -> DataFrame:
+    met = dealt.withColumn("other", F.explode(meets))
+    return met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """First round: deal regions into blocks; every block meets itself and the first one."""
     k = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), k).cast("int")
-    meets = F.sequence(F.lit(0), k - 1)
-    if not all_pairs:
-        meets = F.when(own == 0, meets).otherwise(F.array(F.lit(0), own))
-    dealt = members.withColumn("block", own).withColumn("other", F.explode(meets))
-    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "size")
+    meets = F.when(own == 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0), own))
+    return _meet(members.withColumn("block", own), meets).drop("size")
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """Second round: (t, code, id, component, block, low, high, blocks) of the regions of several components.
+
+    A component of more than BLOCK rows of a region fills blocks of its own, low to high - 1; the other rows share
+    blocks, with low = high = 0.
+    """
+    large = F.col("rows") > BLOCK
+    count = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    parts = placed.groupBy("t", "code", "component").agg(F.count("*").alias("rows"))
+    mixed = parts.groupBy("t", "code").agg(
+        F.count("*").alias("components"),
+        count(F.sum(F.when(large, 0).otherwise(F.col("rows")))).alias("shared"),
+        F.array_sort(F.collect_list(F.when(large, F.struct("component", count(F.col("rows")).alias("k"))))).alias("own"),
+    )
+    mixed = mixed.where("components > 1").withColumn("blocks", F.expr("shared + aggregate(own, 0, (s, x) -> s + x.k)"))
+    rows = (
+        placed.join(mixed, ["t", "code"])
+        .withColumn("k", F.expr("coalesce(get(filter(own, x -> x.component = component), 0).k, 0)"))
+        .withColumn("low", F.expr("if(k = 0, 0, shared + aggregate(filter(own, x -> x.component < component), 0, (s, x) -> s + x.k))"))
+        .withColumn("block", F.col("low") + F.pmod(F.xxhash64("id"), F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("shared"))).cast("int"))
+    )
+    return rows.select("t", "code", "id", "component", "block", "low", (F.col("low") + F.col("k")).alias("high"), "blocks")
+
+
+def _others(several: DataFrame) -> DataFrame:
+    """Second round: every block meets itself and every other one, less the blocks that its own component fills."""
+    meets = F.expr("filter(sequence(0, blocks - 1), x -> x < low or x >= high)")
+    return _meet(several, meets).drop("low", "high", "blocks")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -292,20 +316,19 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     usable = features.where("n > 0 and doc_id is not null")
     # Rows of a class have the same set, so any row's signature is the class's.
     classes = stored(usable.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    members, deep = regions(classes)
-    met = members.select("id").distinct()
+    members, whole = regions(classes)
+    met = whole.select("id").distinct()
     # The texts of documents that meet others move once, for both rounds. The ids grow with the corpus, so the join is a
     # sort-merge join at every size.
     held = stored(rows.select(F.col("doc_id").alias("id"), "text").join(met.hint("merge"), "id", "left_semi"))
-    first = _meetings(members.join(classes.drop("ha", "hb"), "id"), False).groupBy("t", "code", "i", "j").applyInArrow(_nearest, "a long, b long")
+    first = _meetings(members.join(classes.drop("ha", "hb"), "id")).groupBy("t", "code", "i", "j").applyInArrow(_nearest, "a long, b long")
     links = confirmed(stored(first.distinct()), held)
-    placed = members.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("t", "code").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t", "code")
-    several = stored(placed.join(mixed, ["t", "code"]))
+    placed = whole.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = stored(_several(placed))
     open_ids = several.select("id").distinct()
     sets = map_rows(held.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
-    full = several.join(classes.drop("ha", "hb").join(sets, "id").join(deep, "id", "left"), "id")
-    second = stored(_meetings(full, True).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long"))
+    full = several.join(classes.drop("ha", "hb").join(sets, "id"), "id")
+    second = stored(_others(full).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long"))
     parts = connected_components(links.unionByName(second))
     named = classes.select("ha", "hb", "id").join(parts, "id", "left").select("ha", "hb", F.coalesce("component", "id").alias("component"))
     joined = features.select("doc_id", "n", "ha", "hb").join(named, ["ha", "hb"], "left")

@@ -76,6 +76,22 @@ def test_dense_regions_go_deeper_and_split(spark, monkeypatch):
     _check_documents(spark, _documents(2), 0.97)  # twelve rows a region: pairs just at the threshold may part
 
 
+@pytest.mark.parametrize("block", [5, 64])
+def test_cuts_of_dense_regions_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "REGION", 12)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(200)], []
+    rows.append((0, " ".join(base)))
+    for i in range(1, 151):  # copies right at the threshold to the original, far from each other
+        copy = list(base)
+        for at in draw.sample(range(5, 195), 5):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    _check_documents(spark, rows + [(i + 1000, t) for i, t in _documents(2)[:80]])
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in minhash.near_duplicates(df).collect())
