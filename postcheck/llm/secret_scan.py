@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word of at least MIN_LENGTH characters with a digit; it is judged on its length, character transitions,
-dictionary coverage, path marks and neighbouring words. Extraction, features and scoring are DataFrame functions and the
+A candidate is a run of printable ASCII in a word: between quotes, brackets and the like, and again between the marks
+! # ? & , where it holds some, so that neither JSON, calls, query strings and trailing marks nor marks inside a password
+hide it. It has at least MIN_LENGTH characters and a digit, unless a name before = or : announces it or its format is
+known. It is judged on its length, character transitions, dictionary coverage, path marks and neighbouring words. Extraction, features and scoring are DataFrame functions and the
 JVM's random forest: no Python runs on the executors. Texts are read once and only candidates move.
 """
 
@@ -22,8 +24,16 @@ MIN_LENGTH = 12
 SAMPLE, TREES, DEPTH, SEED = 20_000, 20, 6, 5
 #: Fixed value: words that announce a secret.
 ANNOUNCED = r"(?i)(passw|passphrase|pwd|secret|token|api|key|auth|credential|bearer)"
-_CANDIDATE = r"^(?=.*[0-9])[\x21-\x7e]{12,}$"
-_PARTS = r"""^(?:([A-Za-z_.-]{1,40})[=:])?["'`(<\[]*([^"'`<>()\[\],;!?]*[^"'`<>()\[\].,;:!?])["'`)>\],.;:!?]*$"""
+#: Published key formats.
+KNOWN = "(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})"
+_ASSIGNED = r"""[=:]["'`(<\[{\\]*$"""
+_CANDIDATE = r"^(?=.*[0-9]).*[\x21-\x7e]{12}|" + KNOWN
+_NAME = r"""([A-Za-z_.-]{1,40})["'`\\]*[=:]+>?["'`(<\[{\\]*"""
+_START, _END = r"[A-Za-z0-9_+/@$%~^*.=:-]", r"[A-Za-z0-9_+/@$%~^*=-]"
+_RUN = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|]]"""
+_PART = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|!#?&,]]"""
+_PIECES = [f"(?:{_NAME})?{_START}(?:{inside}*{_END})?" for inside in (_RUN, _PART)]
+_SPLIT = f"(?s)^(?:{_NAME})?(.*)$"
 FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "variety", "hex", "coverage", "slashes", "dots", "at", "url", "announced_left", "announced_before", "assigned", "quoted_word", "right_word")
 
 
@@ -32,7 +42,11 @@ def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     words = F.split(quoted(text), r"[\x20\x09-\x0D]+")
 
     def shaped(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).rlike(_CANDIDATE))
+        told = lambda x: x.rlike(ANNOUNCED) & x.rlike("[=:]")
+        at = F.filter(
+            F.sequence(F.lit(0), F.size(w) - 1),
+            lambda i: F.get(w, i).rlike(_CANDIDATE) | told(F.get(w, i)) | (F.get(w, i - 1).rlike(_ASSIGNED) & F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).rlike(ANNOUNCED)),
+        )
         return F.transform(
             at,
             lambda i: F.struct(
@@ -44,10 +58,13 @@ def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         )
 
     found = df.where(quoted(text).isNotNull()).select(quoted(doc_id).alias("doc_id"), F.explode(bound(words, shaped)).alias("c"))
-    part = lambda n: F.regexp_extract("c.word", _PARTS, n)
-    return found.select("doc_id", "c.pos", "c.word", part(2).alias("value"), part(1).alias("left"), "c.before", "c.after").where(
-        (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
-    )
+    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all("c.word", F.lit(p), F.lit(0)) for p in _PIECES]))
+    part = lambda n: F.regexp_extract("piece", _SPLIT, n)
+    runs = found.select("doc_id", "c.pos", "c.word", F.explode(pieces).alias("piece"), "c.before", "c.after")
+    split = runs.select("doc_id", "pos", "word", part(2).alias("value"), part(1).alias("left"), "before", "after")
+    announced = F.col("left").rlike(ANNOUNCED) | (F.col("before").rlike(ANNOUNCED) & F.col("before").rlike(_ASSIGNED))
+    shapely = (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
+    return split.where((F.col("value") != "") & (shapely | announced | F.col("value").rlike(f"^{KNOWN}$")))
 
 
 def coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -121,4 +138,4 @@ def weak_label(found: DataFrame) -> Column:
     announced = F.col("left").rlike(ANNOUNCED) | F.col("before").rlike(ANNOUNCED)
     random = v.rlike("^[0-9a-f]{16,}$") | (v.rlike("^[A-Za-z0-9_+/=-]{20,}$") & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
     plain = v.rlike(r"^[0-9.:\-/ ]+$") | v.contains("@") | F.col("word").contains("://") | v.rlike(r"\.(com|org|net|html?|py|txt)\b")
-    return F.when(v.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})$"), 1).when(announced & random, 1).when(plain, 0)
+    return F.when(v.rlike(f"^{KNOWN}$"), 1).when(announced & random, 1).when(plain, 0)
