@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +42,23 @@ def _first(payload: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(payload, p, "string"), F.lit("")) for p in paths], F.lit(""))
 
 
-def walk(df: DataFrame, json: str, keys: Sequence[str], out: str, depth: int = 4) -> DataFrame:
+def walk(df: DataFrame, json: str, keys: Sequence[str], out: str) -> DataFrame:
     """The first non-empty value under any of the keys, level by level (breadth first), as text.
 
-    Each level is one lateral explode of the level above, to a bounded depth; ties go to key order, then position.
+    Each level is one lateral explode of the level above, until a level is empty; ties go to key order, then position.
     """
     base = df.withColumn("__row", F.monotonically_increasing_id())
     level = base.select("__row", F.try_parse_json(F.col(json)).alias("v"), F.lit("").alias("path"))
     found = None
-    for d in range(depth):
+    for d in count():
         level.createOrReplaceTempView(f"__walk_{d}")
         level = df.sparkSession.sql(f"SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path, x.key FROM __walk_{d} t, LATERAL variant_explode(t.v) x")
         rank = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
         hit = level.where(F.col("key").isin(*keys)).select("__row", F.lit(d).alias("d"), F.substring("path", 1, 6 * d).alias("node"), rank.alias("k"), F.expr("try_variant_get(v, '$', 'string')").alias("value")).where("value <> ''")
         found = hit if found is None else found.union(hit)
         level = level.select("__row", "v", "path")
+        if level.isEmpty():
+            break
     best = found.groupBy("__row").agg(F.min_by("value", F.struct("d", "node", "k")).alias(out))
     return base.join(best, "__row", "left").drop("__row")
 

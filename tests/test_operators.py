@@ -197,3 +197,10 @@ def test_reconcile_multiplies_no_rows(spark):
     tracker, export, res = _fixture(spark)
     plan = match.reconcile(tracker, export, res, ascii_only=True, fuzzy=False)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_walk_has_no_depth_bound(spark):
+    deep = lambda n: '{"a":[' * n + '{"k":"x' + str(n) + '"}' + "]}" * n
+    rows = [(n, deep(n)) for n in (0, 1, 2, 4, 6)] + [(99, "{}"), (98, None)]
+    got = {r["id"]: r["k"] for r in links.walk(spark.createDataFrame(rows, "id int, json string"), "json", ("missing", "k"), "k").collect()}
+    assert got == {0: "x0", 1: "x1", 2: "x2", 4: "x4", 6: "x6", 99: None, 98: None}
