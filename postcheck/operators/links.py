@@ -86,11 +86,38 @@ def extract_note_fields(df: DataFrame, json: str) -> DataFrame:
 
 
 def extract_page_state(df: DataFrame, html: str, expected: Column) -> DataFrame:
-    """Append state_note, state_author, state_title, state_likes from a page's embedded state; all null if the page is another post's or its author no id."""
+    """Append state_note, state_author, state_title, state_likes from a page's embedded state; all null if the page is another post's or its author no id.
+
+    The post is noteData.data.noteData, else an entry of note.noteDetailMap (the expected one first, then by key), else
+    under a fixed prefix, else the shallowest object anywhere with user.userId and interactInfo or time.
+    """
     raw = F.regexp_extract(F.col(html), r"(?s)__INITIAL_STATE__\s*=\s*(\{.*?\})\s*</script>", 1)
-    v = F.try_parse_json(F.regexp_replace(raw, r"\bundefined\b", "null"))
-    known = lambda *names: _first(v, [f"$.{p}{n}" for n in names for p in ("note.", "noteData.data.noteData.", "noteData.")])
+    base = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__state", F.regexp_replace(raw, r"\bundefined\b", "null")).withColumn("__expected", expected)
+    part = lambda c, path: F.try_variant_get(c, path, "variant")
+    level, found = base.select("__row", F.try_parse_json("__state").alias("v"), F.lit("").alias("path")), None
+    for d in count():
+        fits = (F.try_variant_get("v", "$.user.userId", "string") != "") & (part("v", "$.interactInfo").isNotNull() | part("v", "$.time").isNotNull())
+        hit = level.where(fits).select("__row", F.lit(d).alias("d"), "path", F.to_json("v").alias("node"))
+        found = hit if found is None else found.union(hit)
+        level.createOrReplaceTempView(f"__state_{d}")
+        level = df.sparkSession.sql(f"SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path FROM __state_{d} t, LATERAL variant_explode(t.v) x")
+        if level.isEmpty():
+            break
+    best = found.groupBy("__row").agg(F.min_by("node", F.struct("d", "path")).alias("__any"))
+    df_columns, df, expected = df.columns, base.join(best, "__row", "left"), F.col("__expected")
+    v, fallback = F.try_parse_json("__state"), F.try_parse_json("__any")
+    mobile = part(v, "$.noteData.data.noteData")
+    entries = F.map_entries(F.try_variant_get(v, "$.note.noteDetailMap", "map<string,variant>"))
+    usable = F.filter(entries, lambda e: part(e["value"], "$.note.user").isNotNull())
+    wanted = F.filter(usable, lambda e: F.lower(e["key"]) == F.lower(expected))
+    desktop = part(F.get(F.concat(wanted, usable), F.lit(0))["value"], "$.note")
+    fixed = lambda *names: _first(v, [f"$.{p}{n}" for n in names for p in ("note.", "noteData.data.noteData.", "noteData.")])
+
+    def known(*names: str) -> Column:
+        of = lambda c: _first(c, [f"$.{n}" for n in names])
+        return F.when(part(mobile, "$.user").isNotNull(), of(mobile)).when(desktop.isNotNull(), of(desktop)).when(fixed("user.userId") != "", fixed(*names)).otherwise(of(fallback))
+
     note, author = F.lower(known("noteId", "id")), known("user.userId")
     good = is_hex24(author) & ((note == "") | (note == F.lower(expected)))
     keep = lambda c: F.when(good, c)
-    return df.select("*", keep(note).alias("state_note"), keep(author).alias("state_author"), keep(known("title")).alias("state_title"), keep(magnitude_int(known("interactInfo.likedCount"))).alias("state_likes"))
+    return df.select(*[f"`{c}`" for c in df_columns], keep(note).alias("state_note"), keep(author).alias("state_author"), keep(known("title")).alias("state_title"), keep(magnitude_int(known("interactInfo.likedCount"))).alias("state_likes"))

@@ -204,3 +204,11 @@ def test_walk_has_no_depth_bound(spark):
     rows = [(n, deep(n)) for n in (0, 1, 2, 4, 6)] + [(99, "{}"), (98, None)]
     got = {r["id"]: r["k"] for r in links.walk(spark.createDataFrame(rows, "id int, json string"), "json", ("missing", "k"), "k").collect()}
     assert got == {0: "x0", 1: "x1", 2: "x2", 4: "x4", 6: "x6", 99: None, 98: None}
+
+
+def test_page_state_in_every_shape(spark):
+    note = f'{{"noteId":"{N}a001","title":"t","user":{{"userId":"{A}00b1"}},"interactInfo":{{"likedCount":"7"}}}}'
+    shapes = [f'{{"noteData":{{"data":{{"noteData":{note}}}}}}}', f'{{"note":{{"noteDetailMap":{{"{N}a001":{{"note":{note}}}}}}}}}', f'{{"x":[{{"y":{{"z":[[{note}]]}}}}]}}', '{"x":1}']
+    pages = spark.createDataFrame([(i, f"<script>window.__INITIAL_STATE__ = {s}</script>") for i, s in enumerate(shapes)], "id int, html string")
+    got = {r["id"]: (r["state_note"], r["state_author"], r["state_title"], r["state_likes"]) for r in links.extract_page_state(pages, "html", F.lit(f"{N}a001")).collect()}
+    assert [got[i] for i in range(4)] == [(f"{N}a001", f"{A}00b1", "t", 7)] * 3 + [(None, None, None, None)]
