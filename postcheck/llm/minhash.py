@@ -2,17 +2,22 @@
 
 A document's set is its distinct five-word shingles. Documents of equal word sequences are merged into classes first, so
 exact copies of any number are one row. Each class has 128 min-hashes, kept as 32 groups of four 16-bit values; the
-forest's 32 orders read these groups cyclically from 32 starting points. Documents that share the longest prefixes of
-an order form its regions. With four values a pair at 0.75 meets in an order with probability 0.32, in one of 32 with
-0.999995. The first round cuts a region over REGION rows by the next groups of that order, so that dense regions put the
-most similar rows together; the second round takes regions of any size whole, so no cut costs a link.
-
-Two rounds make links. First, every document proposes the most similar earlier document of its region and blocks; these
-linear many candidates are confirmed on full shingle sets and joined into components. Then, only where a region still
-holds several components, its rows carry their full sets, and all pairs between different components whose signatures
-agree well enough are confirmed inside the task, the likeliest first; it returns the links that join components, at most one for each row.
-Pairs inside a component cannot change the result: blocks that one component fills do not meet each other. Signatures agree well enough from the count that a
-pair at the threshold reaches with probability RECALL.
+forest's 32 orders read these groups cyclically from 32 starting points and are sorted by them, range-partitioned over
+the cluster, with the borders of neighbouring partitions joined afterwards. Rows that share the first group of an order
+form its regions. A pair at 0.75 shares a given group with probability 0.32 and one of the 32 with 0.999995.
+
+First round: the neighbours of a row in a sorted order are those of the longest common prefix with it. Each row keeps the
+FRIENDS neighbours of the longest prefixes over all orders; these linear many candidates are screened by signature,
+confirmed on full shingle sets and joined into components.
+
+Second round, the exact way for the rest: only where a region still holds several components, its rows carry their full
+sets, and all pairs between different components whose signatures agree well enough are confirmed inside the task, the
+likeliest first; it returns the links that join components, at most one for each row. Pairs inside a component cannot
+change the result: blocks that one component fills do not meet each other. Depth adapts to the region: one with more
+than REGION * REGION pairs of different components is replaced by the regions that its rows share in one more group, for
+every other group; a pair at 0.75 that shares one group shares another with probability 0.99999, and two more with
+0.9999, so a deeper cut costs next to no link. After DEEPEST groups, blocks meet whatever the region's size.
+Signatures agree well enough from the count that a pair at the threshold reaches with probability RECALL.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,25 +40,16 @@ from .common import make_importable, map_rows, quoted, stored
 from .components import connected_components
 
 HASHES, ORDERS = 128, 32
-#: Rows over which the first round cuts a region deeper, rows of a block, deepest prefix in groups.
-REGION, BLOCK, DEEPEST = 4096, 1024, 8
-RECALL = 0.9999
+#: Groups that an order is sorted by, neighbours that a row keeps in the first round.
+DEPTH, FRIENDS = 3, 4
+#: Region size whose pairs are compared without a deeper cut, rows of a block, most groups of a region's prefix.
+REGION, BLOCK, DEEPEST = 4096, 1024, 3
+#: Chance that a pair at the threshold passes the signature screen, and min-hashes of the screen's first part.
+RECALL, FIRST = 0.9999, 48
 SHINGLE, THRESHOLD = 5, 75
-WORD_MEMO = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_MEMO:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space: exactly what bytes.lower and bytes.split do."""
     return (text or "").encode().lower().split()
@@ -67,12 +64,13 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than SHINGLE make one, none make none."""
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     width = min(SHINGLE, len(w))
     out = np.full(len(w) - width + 1, np.uint64(width), dtype=np.uint64)
     for i in range(width):
         out = _mixed(out * _MIX + w[i : len(w) - width + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 @lru_cache(1)
@@ -108,27 +106,118 @@ def _features() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     return work
 
 
-def agreement_needed() -> int:
-    """The greatest count of equal min-hashes that a pair at the threshold reaches with probability RECALL."""
+@lru_cache
+def agreement_needed(hashes: int, recall: float) -> int:
+    """The greatest count of equal min-hashes, out of `hashes`, that a pair at the threshold reaches with probability recall."""
     p, below = THRESHOLD / 100, 0.0
-    for count in range(HASHES + 1):
-        below += math.comb(HASHES, count) * p**count * (1 - p) ** (HASHES - count)
-        if below > 1 - RECALL:
+    for count in range(hashes + 1):
+        below += math.comb(hashes, count) * p**count * (1 - p) ** (hashes - count)
+        if below > 1 - recall:
             return count
-    return HASHES
+    return hashes
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _agree(hashes: np.ndarray, sizes: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Counts of equal min-hashes; 0 where the set sizes alone rule the pair out."""
-    count = np.zeros((len(rows), len(columns)), dtype=np.uint8)
-    for k in range(HASHES):
-        count += hashes[k, rows][:, None] == hashes[k, columns][None, :]
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over a sorted partition: each row with its predecessor in the region and the length of their common prefix.
+
+    Only rows that share their region with a neighbour, and the partition's first and last, come out.
+    """
+    names = ["t", *"abc"[:DEPTH], "id"]
+    kept, begin = None, True
+
+    def out(rows: list[np.ndarray], same: np.ndarray, lcp: np.ndarray, before: np.ndarray, after: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        use = np.flatnonzero(same | after | edge)
+        columns = [pa.array(x[use]) for x in rows]
+        columns += [pa.array(before[use], mask=~same[use]), pa.array(lcp[use]), pa.array((same | after)[use]), pa.array(edge[use])]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "before", "lcp", "member", "edge"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
+        if kept is not None:
+            rows = [np.concatenate([k, x]) for k, x in zip(kept[0], rows)]
+        n = len(rows[0])
+        lcp, equal = np.zeros(n, np.int32), rows[0][1:] == rows[0][:-1]
+        for x in rows[1:-1]:
+            equal = equal & (x[1:] == x[:-1])
+            lcp[1:] += equal
+        before = np.concatenate([rows[-1][:1], rows[-1][:-1]])
+        if kept is not None:
+            lcp[0], before[0] = kept[1], kept[2]
+        same = lcp > 0
+        edge = np.zeros(n, bool)
+        edge[0] = begin
+        begin = begin and n == 1
+        yield out([x[:-1] for x in rows], same[:-1], lcp[:-1], before[:-1], same[1:], edge[:-1])
+        kept = [x[-1:] for x in rows], lcp[-1], before[-1]
+    if kept is not None:
+        lcp = np.array([kept[1]], np.int32)
+        yield out(kept[0], lcp > 0, lcp, np.array([kept[2]], np.int64), np.array([False]), np.array([True]))
+
+
+def sorted_orders(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, score) of neighbours in the sorted orders, score their common prefixes' sum, and (t, code, id) of the regions of two rows or more."""
+    groups = [f"get(sig, (t + {d}) % {ORDERS}) AS {c}" for d, c in enumerate("abc"[:DEPTH])]
+    keys = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("t"), "sig").selectExpr("t", *groups, "id")
+    place = keys.columns
+    ordered = keys.repartitionByRange(*place).sortWithinPartitions(*place)
+    fields = [*keys.schema.fields, T.StructField("before", T.LongType()), T.StructField("lcp", T.IntegerType()), T.StructField("member", T.BooleanType()), T.StructField("edge", T.BooleanType())]
+    near = stored(ordered.mapInArrow(_neighbours, T.StructType(fields)))
+    # Two rows for each partition: the window over them is bounded by the number of partitions.
+    line = W.orderBy(*place)
+    edges = near.where("edge")
+    alike = lambda step: (step("t").over(line) == F.col("t")) & (step("a").over(line) == F.col("a"))
+    edges = edges.select("t", "a", "id", "member", F.when(alike(F.lag), F.lag("id").over(line)).alias("other"), F.coalesce(alike(F.lag) | alike(F.lead), F.lit(False)).alias("met"))
+    pairs = near.where("before is not null").select("before", "id", "lcp").union(edges.where("other is not null").select("other", "id", F.lit(1)))
+    pairs = pairs.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b"), "lcp").groupBy("a", "b").agg(F.sum("lcp").alias("score"))
+    members = near.where("member and not edge").select("t", "a", "id").union(edges.where("member or met").select("t", "a", "id"))
+    return pairs, members.withColumnRenamed("a", "code")
+
+
+def friends(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the FRIENDS best neighbours of each row; a row has at most two in each order, so its list is bounded."""
+    each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "score"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "score"))).alias("x")).select("x.*")
+    best = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "other")), asc=False), 1, FRIENDS).alias("best"))
+    pair = best.select("id", F.explode("best.other").alias("other"))
+    return pair.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _agree(hashes: np.ndarray, sizes: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that pass the screen, as places in rows and columns, with their counts of equal min-hashes."""
+    if len(rows) * len(columns) <= 1024:
+        count = (hashes[:FIRST, rows, None] == hashes[:FIRST, None, columns]).sum(axis=0)
+    else:
+        count = np.zeros((len(rows), len(columns)), dtype=np.uint8)
+        for k in range(FIRST):
+            count += hashes[k, rows][:, None] == hashes[k, columns][None, :]
     x, y = sizes[rows][:, None], sizes[columns][None, :]
     count[100 * np.minimum(x, y) < THRESHOLD * np.maximum(x, y)] = 0
-    return count
+    x, y = np.nonzero(count >= agreement_needed(FIRST, 1 - (1 - RECALL) / 2))
+    total = (hashes[:, rows[x]] == hashes[:, columns[y]]).sum(axis=0)
+    ok = total >= agreement_needed(HASHES, 1 - (1 - RECALL) / 2)
+    return x[ok], y[ok], total[ok]
+
+
+def _screen() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+    need = agreement_needed(HASHES, RECALL)
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        a, b = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy().view(np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+        return [pa.array((a == b).sum(axis=1) >= need)]
+
+    return work
+
+
+def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough."""
+    left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+    return map_rows(joined, [T.StructField("near", T.BooleanType())], _screen, rows=4096).where("near").select("a", "b")
 
 
 def _blocks(table: pa.Table) -> tuple:
@@ -140,24 +229,6 @@ def _blocks(table: pa.Table) -> tuple:
     return table, ids, sizes, sig, hashes, np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
 
 
-def _nearest(table: pa.Table) -> pa.Table:
-    """First round: for each document of the block, the most similar earlier one (in its own block) or the most similar of the region's first block."""
-    _, ids, sizes, _, hashes, left, right, same = _blocks(table)
-    need, out_a, out_b = agreement_needed(), [], []
-    for at in range(0, len(right), 256):
-        rows = right[at : at + 256]
-        count = _agree(hashes, sizes, rows, left)
-        if same:
-            count[left[None, :] >= rows[:, None]] = 0
-        if count.shape[1]:
-            best = count.argmax(axis=1)
-            ok = count[np.arange(len(rows)), best] >= need
-            out_a.append(ids[left[best[ok]]])
-            out_b.append(ids[rows[ok]])
-    empty = np.empty(0, np.int64)
-    return pa.table([pa.array(np.concatenate([empty, *out_a])), pa.array(np.concatenate([empty, *out_b]))], schema=_PAIRS)
-
-
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return len(x) + len(y) > both and 100 * both >= THRESHOLD * (len(x) + len(y) - both)
@@ -177,16 +248,14 @@ def _crossing(table: pa.Table) -> pa.Table:
         return g
 
     t = table["t"][0].as_py()
-    need, out = agreement_needed(), []
+    out = []
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        count = _agree(hashes, sizes, rows, right)
-        count[group[rows][:, None] == group[right][None, :]] = 0
+        x, y, agree = _agree(hashes, sizes, rows, right)
+        a, b = rows[x], right[y]
+        fresh = (group[a] != group[b]) & ~(sig[a, :t] == sig[b, :t]).any(axis=1)
         if same:
-            count[right[None, :] <= rows[:, None]] = 0
-        x, y = np.nonzero(count >= need)
-        a, b, agree = rows[x], right[y], count[x, y]
-        fresh = ~(sig[a, :t] == sig[b, :t]).any(axis=1)
+            fresh &= a < b
         a, b, agree = a[fresh], b[fresh], agree[fresh]
         for k in np.argsort(-agree.astype(np.int16), kind="stable").tolist():
             g, h = top(group[a[k]]), top(group[b[k]])
@@ -199,7 +268,6 @@ def _crossing(table: pa.Table) -> pa.Table:
 
 def _confirm() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
     def shingles(doc: int, text: str) -> np.ndarray:
         if doc not in kept:
             if len(kept) >= 64:
@@ -216,10 +284,10 @@ def _confirm() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     return work
 
 
-def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; held has the texts by id."""
-    left = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+def confirmed(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; texts_of has the texts by id."""
+    left = texts_of.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts_of.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return stored(map_rows(joined, [T.StructField("linked", T.BooleanType())], _confirm, rows=256).where("linked").select("a", "b"))
 
@@ -228,66 +296,54 @@ def _shingles() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     return lambda batch: [pa.array([shingle_set(words_of(t)).tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.binary())]
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(t, code, id, size) of the first round's regions, cut to REGION rows, and (t, code, id) of the uncut ones of two rows or more."""
-    placed = classes.select("id", F.posexplode("sig").alias("t", "code"))
-    sizes = stored(placed.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1"))
-    members = stored(placed.join(sizes, ["t", "code"]))
-    whole = members.select("t", "code", "id")
-    done = [members.where(F.col("size") <= REGION)]
-    large = members.where(F.col("size") > REGION)
-    for depth in range(1, DEEPEST):
-        if sizes.where(F.col("size") > REGION).isEmpty():
-            break
-        next_group = F.get("sig", F.pmod(F.col("t") + depth, F.lit(ORDERS)).cast("int"))
-        longer = stored(large.join(classes.select("id", "sig"), "id").select("id", "t", F.xxhash64("code", next_group).alias("code")))
-        sizes = stored(longer.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1"))
-        members = stored(longer.join(sizes, ["t", "code"]))
-        done.append(members.where(F.col("size") <= REGION))
-        large = members.where(F.col("size") > REGION)
-    else:
-        done.append(large)  # equal in 32 min-hashes: blocks take over
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out, whole
-
-
 def _meet(dealt: DataFrame, meets: Column) -> DataFrame:
     met = dealt.withColumn("other", F.explode(meets))
     return met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """First round: deal regions into blocks; every block meets itself and the first one."""
-    k = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), k).cast("int")
-    meets = F.when(own == 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0), own))
-    return _meet(members.withColumn("block", own), meets).drop("size")
-
-
-def _several(placed: DataFrame) -> DataFrame:
-    """Second round: (t, code, id, component, block, low, high, blocks) of the regions of several components.
-
-    A component of more than BLOCK rows of a region fills blocks of its own, low to high - 1; the other rows share
-    blocks, with low = high = 0.
-    """
+def _mixed_regions(placed: DataFrame) -> DataFrame:
+    """(t, code, shared, own, crossing) of the regions of several components: blocks of the small ones together, of each large one, and pairs between components."""
     large = F.col("rows") > BLOCK
     count = lambda rows: F.ceil(rows / BLOCK).cast("int")
     parts = placed.groupBy("t", "code", "component").agg(F.count("*").alias("rows"))
     mixed = parts.groupBy("t", "code").agg(
         F.count("*").alias("components"),
         count(F.sum(F.when(large, 0).otherwise(F.col("rows")))).alias("shared"),
+        # One entry for each BLOCK rows of the region at most.
         F.array_sort(F.collect_list(F.when(large, F.struct("component", count(F.col("rows")).alias("k"))))).alias("own"),
+        (F.pow(F.sum(F.col("rows").cast("double")), 2) - F.sum(F.pow(F.col("rows").cast("double"), 2))).alias("crossing"),
     )
-    mixed = mixed.where("components > 1").withColumn("blocks", F.expr("shared + aggregate(own, 0, (s, x) -> s + x.k)"))
-    rows = (
-        placed.join(mixed, ["t", "code"])
-        .withColumn("k", F.expr("coalesce(get(filter(own, x -> x.component = component), 0).k, 0)"))
-        .withColumn("low", F.expr("if(k = 0, 0, shared + aggregate(filter(own, x -> x.component < component), 0, (s, x) -> s + x.k))"))
-        .withColumn("block", F.col("low") + F.pmod(F.xxhash64("id"), F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("shared"))).cast("int"))
-    )
-    return rows.select("t", "code", "id", "component", "block", "low", (F.col("low") + F.col("k")).alias("high"), "blocks")
+    return mixed.where("components > 1").drop("components")
+
+
+def adapted(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The regions of several components in `placed` (t, code, id, component), those with too many pairs cut deeper.
+
+    Their rows get the block in which they meet: (t, code, id, component, block, low, high, blocks). A component of more
+    than BLOCK rows of a region fills blocks of its own, low to high - 1; the other rows share blocks, with low = high = 0.
+    """
+    done, level = [], placed.select("t", "code", "id", "component", F.lit(-1).alias("last"))
+    for depth in range(1, DEEPEST + 1):
+        mixed = stored(_mixed_regions(level))
+        deep = F.col("crossing") > float(REGION) ** 2
+        fit = mixed if depth == DEEPEST else mixed.where(~deep)
+        rows = (
+            level.drop("last").join(fit, ["t", "code"])
+            .withColumn("k", F.expr("coalesce(get(filter(own, x -> x.component = component), 0).k, 0)"))
+            .withColumn("low", F.expr("if(k = 0, 0, shared + aggregate(filter(own, x -> x.component < component), 0, (s, x) -> s + x.k))"))
+            .withColumn("block", F.col("low") + F.pmod(F.xxhash64("id"), F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("shared"))).cast("int"))
+        )
+        blocks = F.expr("shared + aggregate(own, 0, (s, x) -> s + x.k)").alias("blocks")
+        done.append(stored(rows.select("t", "code", "id", "component", "block", "low", (F.col("low") + F.col("k")).alias("high"), blocks)))
+        if depth == DEEPEST or mixed.where(deep).isEmpty():
+            break
+        more = level.join(mixed.where(deep).select("t", "code"), ["t", "code"]).join(classes.select("id", "sig"), "id")
+        more = more.select("t", "code", "id", "component", "sig", "last", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("next")).where("next <> t and next > last")
+        level = stored(more.select("t", F.xxhash64("code", "next", F.get("sig", F.col("next"))).alias("code"), "id", "component", F.col("next").alias("last")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _others(several: DataFrame) -> DataFrame:
@@ -316,17 +372,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     usable = features.where("n > 0 and doc_id is not null")
     # Rows of a class have the same set, so any row's signature is the class's.
     classes = stored(usable.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    members, whole = regions(classes)
-    met = whole.select("id").distinct()
+    pairs, members = sorted_orders(classes)
     # The texts of documents that meet others move once, for both rounds. The ids grow with the corpus, so the join is a
     # sort-merge join at every size.
-    held = stored(rows.select(F.col("doc_id").alias("id"), "text").join(met.hint("merge"), "id", "left_semi"))
-    first = _meetings(members.join(classes.drop("ha", "hb"), "id")).groupBy("t", "code", "i", "j").applyInArrow(_nearest, "a long, b long")
-    links = confirmed(stored(first.distinct()), held)
-    placed = whole.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = stored(_several(placed))
+    texts_of = stored(rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
+    links = confirmed(stored(screened(friends(pairs), classes)), texts_of)
+    placed = members.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = adapted(stored(placed), classes)
     open_ids = several.select("id").distinct()
-    sets = map_rows(held.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
+    sets = map_rows(texts_of.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
     full = several.join(classes.drop("ha", "hb").join(sets, "id"), "id")
     second = stored(_others(full).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long"))
     parts = connected_components(links.unionByName(second))
