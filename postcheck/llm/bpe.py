@@ -12,6 +12,7 @@ are narrow maps without a shuffle.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable, Iterable
 from heapq import heappop, heappush
@@ -22,32 +23,67 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows, texts
-
-#: Pre-tokens longer than this are not kept in the memo.
-MEMO_LONGEST = 64
-#: Entries of each of the memo's two generations.
-MEMO_SIZE = 300_000
-
+from .common import Memo, held, map_rows, texts
 
+#: Entries of each of a memo's two generations; about 180 bytes each.
+MEMO_SIZE = 150_000
 #: Two token ids below 2 to this power make one pair key.
 SHIFT = 24
 
 
+def basic_plane(pattern: str) -> str | None:
+    """The pattern for the standard engine, right for texts without code points over U+FFFF; None where it is not translated.
+
+    Letters, numbers and white space become explicit classes, listed by the engine that the pattern was written for.
+    """
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def members(kind: str) -> str:
+        out = ""
+        for run in regex.findall(kind + "+", plane):
+            out += "".join(re.escape(a) + "-" + re.escape(b) for a, b in ([(run[0], "\ud7ff"), ("\ue000", run[-1])] if run[0] < "\ud800" < run[-1] else [(run[0], run[-1])]))
+        return out
+
+    sets = {kind: members(kind) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        kind = next((k for k in (*sets, r"\S") if pattern.startswith(k, at)), None)
+        if kind is None and (pattern[at] == "\\" or pattern.startswith(("(?i", "(?>", "++", "*+", "?+"), at)):
+            return None
+        if kind == r"\S":
+            if inside:
+                return None
+            out += f"[^{sets[chr(92) + 's']}]"
+        elif kind:
+            out += sets[kind] if inside else f"[{sets[kind]}]"
+        else:
+            inside = (inside or pattern[at] == "[") and pattern[at] != "]"
+            out += pattern[at]
+        at += len(kind or " ")
+    return out
+
+
+class Splitter:
+    """All matches of a pattern in a text: the standard engine where it is proven equal, else the one that the pattern was written for."""
+
+    def __init__(self, pattern: str, basic: str | None) -> None:
+        self.any = regex.compile(pattern).findall
+        self.basic = re.compile(basic).findall if basic else None
+
+    def __call__(self, text: str) -> list[str]:
+        # Two bytes for each character of the basic plane, four for the others.
+        if self.basic and (text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)):
+            return self.basic(text)
+        return self.any(text)
+
+
 class RankQueue:
     """Buckets by rank under a bitmap of 256-bit words: a bucket is one position, or a heap of several. Empty between pre-tokens, so one serves all."""
 
     def __init__(self, ranks: int) -> None:
         self.low = [0] * ((ranks >> 8) + 1)
-        self.buckets: dict[int, int | list[int]] = {}
-
-    def add(self, rank: int, position: int) -> None:
-        """One more position in a bucket that exists."""
-        bucket = self.buckets[rank]
-        if bucket.__class__ is list:
-            heappush(bucket, position)
-        else:
-            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        self.buckets: list[int | list[int] | None] = [None] * ranks
+        self.bit = [1 << (r & 255) for r in range(ranks)]
 
 
 def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQueue) -> list[int]:
@@ -59,29 +95,35 @@ def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQ
     end = len(ids)
     if end < 2:
         return ids
-    get, low, buckets, take, top = pair.get, queue.low, queue.buckets, queue.buckets.pop, 0
+    get, low, buckets, bit, top = pair.get, queue.low, queue.buckets, queue.bit, 0
     ranks = [get(a << 24 | b, -1) for a, b in zip(ids, ids[1:])]
     ranks.append(-1)
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-    for i, rank in enumerate(ranks):
+    i = 0
+    for rank in ranks:
         if rank >= 0:
-            if rank in buckets:
-                queue.add(rank, i)
-            else:
+            bucket = buckets[rank]
+            if bucket is None:
                 buckets[rank] = i
-                low[rank >> 8] |= 1 << (rank & 255)
-                top |= 1 << (rank >> 8)
+                low[word := rank >> 8] |= bit[rank]
+                top |= 1 << word
+            elif bucket.__class__ is list:
+                heappush(bucket, i)
+            else:
+                buckets[rank] = [bucket, i]
+        i += 1
     while top:
         word = (top & -top).bit_length() - 1
         x = low[word]
         rank = (word << 8) + (x & -x).bit_length() - 1
-        i = take(rank)
+        i = buckets[rank]
         if i.__class__ is list:
             bucket = i
             i = heappop(bucket)
-            if bucket:
-                buckets[rank] = bucket
-        if rank not in buckets:
+            if len(bucket) == 1:
+                buckets[rank] = bucket[0]
+        else:
+            buckets[rank] = None
             low[word] = x = x & (x - 1)
             if not x:
                 top &= top - 1
@@ -95,54 +137,50 @@ def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQ
             before[k] = i
             ranks[i] = new = get(token << 24 | ids[k], -1)
             if new >= 0:
-                if new in buckets:
-                    queue.add(new, i)
-                else:
+                bucket = buckets[new]
+                if bucket is None:
                     buckets[new] = i
-                    low[new >> 8] |= 1 << (new & 255)
-                    top |= 1 << (new >> 8)
+                    low[word := new >> 8] |= bit[new]
+                    top |= 1 << word
+                elif bucket.__class__ is list:
+                    heappush(bucket, i)
+                else:
+                    buckets[new] = [bucket, i] if bucket < i else [i, bucket]
         else:
             ranks[i] = -1
         h = before[i]
         if h >= 0:
             ranks[h] = new = get(ids[h] << 24 | token, -1)
             if new >= 0:
-                if new in buckets:
-                    queue.add(new, h)
-                else:
+                bucket = buckets[new]
+                if bucket is None:
                     buckets[new] = h
-                    low[new >> 8] |= 1 << (new & 255)
-                    top |= 1 << (new >> 8)
+                    low[word := new >> 8] |= bit[new]
+                    top |= 1 << word
+                elif bucket.__class__ is list:
+                    heappush(bucket, h)
+                else:
+                    buckets[new] = [bucket, h] if bucket < h else [h, bucket]
     return [s for s in ids if s >= 0]
 
 
-class Memo(dict):
-    """Pre-token to value, in two generations: what is used again moves to the young one, the old one is dropped when that is full."""
+class Vocabulary:
+    """A rank file: token bytes by rank, enough to decode."""
 
-    def __init__(self, make: Callable[[str], object]) -> None:
-        super().__init__()
-        self.make = make
-        self.old: dict[str, object] = {}
+    def __init__(self, raw: bytes) -> None:
+        lines = (line.split() for line in raw.splitlines() if line)
+        self.tokens = {int(rank): base64.b64decode(token) for token, rank in lines}
 
-    def __missing__(self, piece: str) -> object:
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        if len(piece) <= MEMO_LONGEST:
-            if len(self) >= MEMO_SIZE:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
-        return value
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class RankEncoder:
+class RankEncoder(Vocabulary):
     """A rank-file vocabulary: any two neighbours whose joined bytes have a rank may merge; a pre-token that is itself in the vocabulary is one token."""
 
-    def __init__(self, raw: bytes, pattern: str) -> None:
-        lines = (line.split() for line in raw.splitlines() if line)
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.vocabulary = {rank: token for token, rank in self.ranks.items()}
+    def __init__(self, raw: bytes, pattern: str, basic: str | None = None) -> None:
+        super().__init__(raw)
+        self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.byte_id = [self.ranks[bytes([b])] for b in range(256)]
         get = self.ranks.get
         self.pair = {}
@@ -151,10 +189,10 @@ class RankEncoder:
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
                     self.pair[a << SHIFT | b] = rank
-        self.product = list(range(max(self.vocabulary) + 1))  # the id is the rank
-        self.pieces = regex.compile(pattern).findall
+        self.product = list(range(max(self.tokens) + 1))  # the id is the rank
+        self.pieces = Splitter(pattern, basic)
         self.queue = RankQueue(len(self.product))
-        self.memo = Memo(self.piece_ids)
+        self.memo = Memo(self.piece_ids, MEMO_SIZE)
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a pre-token as packed int32, so that a text's ids are one join."""
@@ -170,64 +208,59 @@ class RankEncoder:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), dtype=np.int32)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
-
-
-_ENCODERS: dict[tuple[int, str], RankEncoder] = {}
-
 
-def encoder(raw: bytes, pattern: str) -> RankEncoder:
-    """One encoder for each vocabulary and Python worker, kept between tasks."""
-    key = (hash(raw), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = RankEncoder(raw, pattern)
-    return _ENCODERS[key]
-
-
-def _vocabulary(df: DataFrame, ranks_path: str):
-    """The rank file, read once by the driver and broadcast: its size is the vocabulary's, whatever the corpus."""
+def _shared(df: DataFrame, ranks_path: str, pattern: str):
+    """The rank file, read once by the driver and broadcast with the patterns: its size is the vocabulary's, whatever the corpus."""
     with open(ranks_path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    return df.sparkSession.sparkContext.broadcast((hash(raw), raw, pattern, basic_plane(pattern)))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Append the token ids of each whole text as array<int>.
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Append the token ids of each whole text as array<int>, and with `decoded` the bytes that these ids decode to.
 
-    Null and empty texts give an empty array. Rows are independent, so repeated rows and ids keep their own result;
-    an empty table gives an empty table; a column already named like `out` is replaced, all others are kept.
+    Null and empty texts give an empty array and empty bytes. Rows are independent, so repeated rows and ids keep their
+    own result; an empty table gives an empty table; columns already named like the results are replaced, all others are kept.
     """
-    raw = _vocabulary(df, ranks_path)
+    shared = _shared(df, ranks_path, pattern)
 
     def make():
-        own = encoder(raw.value, pattern)
+        key, raw, full, basic = shared.value
+        own = held(("encode", key, full), lambda: RankEncoder(raw, full, basic))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             packed = [own.packed(t) for t in texts(batch, text)]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             flat = np.frombuffer(b"".join(packed), dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))]
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+            return [ids] if decoded is None else [ids, _decoded(own, ids)]
 
         return work
 
-    return map_rows(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
+    new = [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    return map_rows(df, new if decoded is None else [*new, T.StructField(decoded, T.BinaryType())], make, rows=256)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append the bytes that an id array stands for. Null and empty arrays give empty bytes; an id outside the vocabulary fails."""
-    raw = _vocabulary(df, ranks_path)
+def _decoded(vocabulary: Vocabulary, column: pa.ListArray) -> pa.Array:
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return pa.array([vocabulary.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)], type=pa.binary())
 
-    def make():
-        own = encoder(raw.value, pattern)
 
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(batch.schema.get_field_index(ids))
-            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            return [pa.array([own.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)], type=pa.binary())]
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Append the bytes that an id array stands for. Null and empty arrays give empty bytes; an id outside the vocabulary fails.
 
-        return work
+    Rows are independent: repeated rows keep their own result, an empty table stays empty, a column named like `out` is
+    replaced and all others are kept.
+    """
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+    shared = df.sparkSession.sparkContext.broadcast((hash(raw), raw))
+
+    def make():
+        key, raw = shared.value
+        own = held(("decode", key), lambda: Vocabulary(raw))
+        return lambda batch: [_decoded(own, batch.column(batch.schema.get_field_index(ids)))]
 
-    return map_rows(df, [T.StructField(out, T.BinaryType())], make)
+    return map_rows(df, [T.StructField(out, T.BinaryType())], make, rows=256)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,6 +21,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_HELD: list = []
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: the vocabulary and memos of one operator; those of another are dropped first."""
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+class Memo(dict):
+    """Key to value in two generations of at most `size` entries: what is used again moves to the young one, the old one goes when that is full."""
+
+    def __init__(self, make: Callable, size: int, longest: int = 64) -> None:
+        super().__init__()
+        self.make, self.size, self.longest = make, size, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package wherever the driver was started."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -28,9 +61,11 @@ def make_importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local sessions only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="postcheck-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

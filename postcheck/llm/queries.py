@@ -21,8 +21,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN).drop("text")
-    both = bpe.decode(ids, RANKS, PATTERN)
+    both = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -6,7 +6,7 @@ import tiktoken
 from public_tokenizers import PATTERN, path
 from tokenizers import Tokenizer
 
-from postcheck.llm import bpe, token_counts
+from postcheck.llm import bpe, common, token_counts
 from postcheck.llm.queries import RANKS, TOKENIZER
 
 TEXTS = [
@@ -28,12 +28,12 @@ def _library() -> tiktoken.Encoding:
 def test_encode_equals_library_and_decodes(spark):
     texts = TEXTS + [_noise(i) for i in range(60)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(900, None, None), (900, None, None), (None, "a b", "y")], "doc_id long, text string, ids string")
-    out = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN).collect()
+    out = bpe.decode(bpe.encode(df, RANKS, PATTERN, decoded="both"), RANKS).collect()
     assert len(out) == len(texts) + 3
     library = _library()
     for r in out:
         assert r["ids"] == library.encode_ordinary(r["text"] or "")
-        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+        assert bytes(r["decoded"]) == bytes(r["both"]) == (r["text"] or "").encode()
 
 
 def test_every_character_splits_as_the_library_does():
@@ -43,6 +43,33 @@ def test_every_character_splits_as_the_library_does():
         assert own.encode(s).tolist() == library.encode_ordinary(s)
 
 
+def test_both_engines_split_alike():
+    pieces = bpe.Splitter(PATTERN, bpe.basic_plane(PATTERN))
+    plane = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    draw = random.Random(3)
+    for form in ("a{0}b", "{0}{0} {0}", " {0}\n {0}", "1{0}'s{0}"):
+        for at in range(0, len(plane), 64):
+            text = "".join(form.format(c) for c in plane[at : at + 64])
+            assert pieces.basic(text) == pieces.any(text) == pieces(text)
+    for _ in range(3000):  # triples of every kind
+        text = "".join(draw.choice("aZé漢 \t\n\x1c\x85\u200b\u3000.'!s1²٣_\u0301") for _ in range(draw.randint(1, 12)))
+        assert pieces.basic(text) == pieces.any(text)
+    assert pieces("a𝒳𝒳 1🥚") == pieces.any("a𝒳𝒳 1🥚")
+    assert bpe.basic_plane(r"(?i:'s)|\p{L}+") is None and bpe.basic_plane(r"\w+") is None
+
+
+def test_scanned_merges_equal_the_queue():
+    own = token_counts.Counter(open(TOKENIZER, "rb").read(), PATTERN)
+    for i in range(300):
+        ids = [own.byte_id[b] for b in _noise(i).encode()]
+        assert token_counts.scan_merge(list(ids), own.pair, own.product) == bpe.merge(list(ids), own.pair, own.product, own.queue)
+
+
+def test_workers_keep_one_operator():
+    assert common.held("a", lambda: [1]) is common.held("a", lambda: [2])
+    assert common.held("b", lambda: [3]) == [3] and common._HELD[0] == "b"
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_SIZE", 10)
     own = bpe.RankEncoder(open(RANKS, "rb").read(), PATTERN)
@@ -81,5 +108,5 @@ def test_whole_tokens_are_proven():
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN).count() == 0
+    assert bpe.decode(bpe.encode(df, RANKS, PATTERN, decoded="both"), RANKS).count() == 0
     assert token_counts.count_tokens(df, TOKENIZER, PATTERN).count() == 0
