@@ -16,8 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SHIFT, Memo, RankQueue, merge
-from .common import map_rows, texts
+from .bpe import MEMO_SIZE, SHIFT, RankQueue, Splitter, basic_plane, merge
+from .common import Memo, held, map_rows, texts
+
+#: Bytes up to which a pre-token's pairs are scanned for the least rank; longer ones go through the rank queue.
+SCANNED = 64
+#: No merge: above every rank.
+_NONE = 1 << 30
 
 
 def _byte_of() -> dict[str, int]:
@@ -27,10 +32,25 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def scan_merge(ids: list[int], pair: dict[int, int], product: list[int]) -> list[int]:
+    """The same tokens as merge(), by scanning a short pre-token's pairs for the least rank."""
+    get = pair.get
+    ranks = [get(a << SHIFT | b, _NONE) for a, b in zip(ids, ids[1:])]
+    while ranks and (rank := min(ranks)) != _NONE:
+        i = ranks.index(rank)
+        ids[i] = token = product[rank]
+        del ids[i + 1], ranks[i]
+        if i:
+            ranks[i - 1] = get(ids[i - 1] << SHIFT | token, _NONE)
+        if i < len(ranks):
+            ranks[i] = get(token << SHIFT | ids[i + 1], _NONE)
+    return ids
+
+
 class Counter:
     """Counts tokens by a byte-level BPE of a tokenizer.json."""
 
-    def __init__(self, raw: bytes, pattern: str, whole: frozenset[bytes] | None = None) -> None:
+    def __init__(self, raw: bytes, pattern: str, basic: str | None = None, whole: frozenset[bytes] | None = None) -> None:
         spec = json.loads(raw)
         byte_of = _byte_of()
         as_bytes = lambda s: bytes(byte_of[c] for c in s)
@@ -45,10 +65,10 @@ class Counter:
             self.product.append(vocab[a + b])
         specials = [t["content"] for t in spec.get("added_tokens", []) if t.get("content")]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = Splitter(pattern, basic)
         self.queue = RankQueue(len(self.product) + 1)
         self.whole = self.prove() if whole is None else whole
-        self.memo = Memo(self.piece_count)
+        self.memo = Memo(self.piece_count, MEMO_SIZE)
 
     def prove(self) -> frozenset[bytes]:
         """The vocabulary strings that encode alone as one token."""
@@ -56,7 +76,8 @@ class Counter:
 
     def merged(self, piece: bytes) -> list[int]:
         byte_id = self.byte_id
-        return merge([byte_id[b] for b in piece], self.pair, self.product, self.queue)
+        ids = [byte_id[b] for b in piece]
+        return scan_merge(ids, self.pair, self.product) if len(ids) <= SCANNED else merge(ids, self.pair, self.product, self.queue)
 
     def piece_count(self, piece: str) -> int:
         data = piece.encode()
@@ -69,9 +90,6 @@ class Counter:
         return len(parts) - 1 + sum(self.memo[p] for part in parts for p in self.pieces(part))
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Append the token count of each whole text as long.
 
@@ -81,15 +99,12 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text: str = "
     """
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
-    shared = df.sparkSession.sparkContext.broadcast((raw, Counter(raw, pattern).whole))
+    basic = basic_plane(pattern)
+    shared = df.sparkSession.sparkContext.broadcast((hash(raw), raw, basic, Counter(raw, pattern, basic).whole))
 
     def make():
-        raw, whole = shared.value
-        key = hash(raw)
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(raw, pattern, whole)
-        own = _COUNTERS[key]
+        key, raw, basic, whole = shared.value
+        own = held(("count", key, pattern), lambda: Counter(raw, pattern, basic, whole))
         return lambda batch: [pa.array([own.count(t) for t in texts(batch, text)], type=pa.int64())]
 
     return map_rows(df, [T.StructField(out, T.LongType())], make)
