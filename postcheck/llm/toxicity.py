@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Memo
-from .common import bound, map_rows, quoted, stored, texts
+from .common import Memo, bound, held, map_rows, quoted, stored, texts
 
 #: Labelled rows to fit on, lexicon entries, least documents of an entry, word beginnings taken as terms.
 SAMPLE, LEXICON, SUPPORT, BEGINNINGS = 20_000, 2_000, 4, (4, 5)
+#: Words remembered by a worker, in each of two generations.
+MEMO_SIZE = 30_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.3, 11
 #: Second-person words (en, de, fr, es).
 SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine euch ihr tu te toi ton ta vous votre usted ti tus vosotros".split())
@@ -31,11 +32,11 @@ DISGUISE = str.maketrans("013457@$!", "oieastasi")
 NEAR = 3
 FEATURES = ("density", "strong", "hits", "distinct", "near_you", "you", "capitals", "shouted", "marks", "punctuation", "disguised", "disguised_hits", "repeats", "length")
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[0134579@$!*]+[^\W\d_]+")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0134579@$!*]++[^\W\d_]++)+")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
-_UPPER = re.compile(r"\b[^\W\d_a-z]{2,}\b")
-_MARK = re.compile(r"[!?]")
-_PUNCTUATION = re.compile(r"[^\w\s]")
+_PUNCTUATION = re.compile(r"[^\w\s]+")
+#: A word that is no term, no second person and not in capitals.
+_PLAIN = (0.0, False, 0, "")
 
 
 class Lexicon:
@@ -43,20 +44,28 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
-        self.memo = Memo(self.look_up)
+        self.memo = Memo(self.about, MEMO_SIZE)
 
     def look_up(self, word: str) -> float:
         if word in self.weights:
             return self.weights[word]
         return max((self.weights.get(word[:n] + "*", 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
 
+    def about(self, word: str) -> tuple[float, bool, int, str]:
+        """Weight, whether it is a second person, its letters if it is in capitals, and its lower-case form."""
+        low = word.lower()
+        weight, you, shouted = self.look_up(low), low in SECOND_PERSON, len(word) if len(word) > 1 and word.isupper() else 0
+        return (weight, you, shouted, low) if weight > 0 or you or shouted else _PLAIN
+
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
-    words = _WORD.findall(text.lower())
+    """The dense features of a whole text; an empty one has zeros."""
+    words = _WORD.findall(text)
     n = max(1, len(words))
-    weights = list(map(lexicon.memo.__getitem__, words))
-    hits = [i for i, w in enumerate(weights) if w > 0]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
+    marked = [(i, x) for i, x in enumerate(map(lexicon.memo.__getitem__, words)) if x is not _PLAIN]
+    hits = [i for i, x in marked if x[0] > 0]
+    you = [i for i, x in marked if x[1]] if hits else []
+    shouted = [x[2] for _, x in marked if x[2]]
     near, at = 0, 0
     for i in hits:
         while at < len(you) and you[at] < i - NEAR:
@@ -65,10 +74,10 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     masked = [m.lower().translate(DISGUISE).replace("*", "") for m in _MASKED.findall(text)]
     letters = max(1, sum(map(len, words)))
     return (
-        sum(weights) / n, max(weights, default=0.0), float(min(len(hits), 50)), float(min(len({words[i] for i in hits}), 50)),
-        near / max(1, len(hits)), len(you) / n, sum(map(len, _UPPER.findall(text))) / letters, len(_UPPER.findall(text)) / n,
-        len(_MARK.findall(text)) / n, len(_PUNCTUATION.findall(text)) / max(1, len(text)), len(masked) / n,
-        float(min(50, sum(lexicon.memo[m] > 0 for m in masked))), len(_REPEAT.findall(text)) / n, float(min(len(words), 10_000)),
+        sum(x[0] for _, x in marked) / n, max((x[0] for _, x in marked), default=0.0), float(len(hits)), float(len({x[3] for _, x in marked if x[0] > 0})),
+        near / max(1, len(hits)), len(you) / n, sum(shouted) / letters, len(shouted) / n,
+        (text.count("!") + text.count("?")) / n, sum(map(len, _PUNCTUATION.findall(text))) / max(1, len(text)), len(masked) / n,
+        float(sum(lexicon.look_up(m) > 0 for m in masked)), len(_REPEAT.findall(text)) / n, float(len(words)),
     )
 
 
@@ -76,7 +85,8 @@ def with_features(df: DataFrame, weights: dict[str, float], text: str) -> DataFr
     shared = df.sparkSession.sparkContext.broadcast(weights)  # at most LEXICON entries
 
     def make():
-        lexicon = Lexicon(shared.value)
+        weights = shared.value
+        lexicon = held(("lexicon", tuple(weights.items())), lambda: Lexicon(weights))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = [features(t, lexicon) for t in texts(batch, text)]
