@@ -20,11 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, quoted, stored
+from .common import WORD, cut, partitions, quoted, stored
 
 #: Bins of each refinement, and refinements: together finer than the hash.
 BINS, LEVELS = 1024, 4
 NEWTON_STEPS, TOLERANCE = 40, 1e-9
+#: Equal rows that one task numbers.
+CHUNK = 10_000
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its rows: six decimals, added as decimals."""
+    return F.sum(value.cast("decimal(38,6)")).cast("double")
 
 
 def n_words(text: Column) -> Column:
@@ -73,8 +80,8 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     for _ in range(NEWTON_STEPS):
         now = state.where("not done and not full").select(F.col("source").alias("s"), "m")
         sums = counted.join(now, F.col("source").eqNullSafe(F.col("s"))).select("s", "n", "size", "x", _tilt(cap).alias("rate")).groupBy("s").agg(
-            F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("got"),
-            F.sum(F.when(F.col("rate") < cap, F.col("n") * F.col("size") * F.col("x") * F.col("rate"))).alias("slope"),
+            exact_sum(F.col("n") * F.col("size") * F.col("rate")).alias("got"),
+            exact_sum(F.when(F.col("rate") < cap, F.col("n") * F.col("size") * F.col("x") * F.col("rate"))).alias("slope"),
         )
         joined = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
         miss = F.col("got") - F.col("target")
@@ -101,7 +108,7 @@ def _cut_offs(parts: DataFrame) -> DataFrame:
 
     Documents are taken in the order of v = hash / fraction until their words reach the sum of size * fraction.
     """
-    wanted = stored(parts.groupBy("source").agg(F.sum(F.col("size") * F.col("fraction")).alias("wanted")).select("source", "wanted", F.lit(0.0).alias("lo")))
+    wanted = stored(parts.groupBy("source").agg(exact_sum(F.col("size") * F.col("fraction")).alias("wanted")).select("source", "wanted", F.lit(0.0).alias("lo")))
     width = 1.0
     for level in range(LEVELS):
         width /= BINS
@@ -133,12 +140,20 @@ def mix(
 
     size is the number of words (null text: 0), source_size and target are its source's, copies how often the mix takes
     it (at most ceil(cap)), taken = size * copies. Sources are ordered by code point, null is a source of its own and
-    the last. Documents of size 0 have rate 1 and taken 0. Repeated rows and ids are documents of their own but share
-    their hash, so they are taken or left alike. An empty table gives an empty result. Results depend on the rows only,
-    not on their order or partitions. Per-source tables are written before they are joined, so that their known size
+    the last. Documents of size 0 have rate 1 and taken 0. Repeated rows and ids are documents of their own: rows equal in
+    id, source and size are numbered, and each number draws for itself. Other columns are ignored, whatever their names.
+    An empty table gives an empty result. Results depend on the rows only, not on their order or partitions: sums are exact. Per-source tables are written before they are joined, so that their known size
     decides between a broadcast and a join whose hot partitions are split.
     """
-    base = stored(docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), n_words(quoted(text)).alias("size")))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), n_words(quoted(text)).alias("size"))
+    # Equal rows are counted first and numbered in chunks, so that no task holds all of a row that is repeated often.
+    equal = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n)
+    chunks = equal.select("*", F.explode(upto(F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"))
+    chunks = chunks.repartition(partitions(docs.sparkSession), "doc_id", "source", "size", "chunk")
+    last = F.least(F.col("n") - F.col("chunk") * CHUNK, F.lit(CHUNK)) - 1
+    base = stored(chunks.select("doc_id", "source", "size", (F.col("chunk") * CHUNK).alias("from"), F.explode(upto(last)).alias("number")).select(
+        "doc_id", "source", "size", (F.col("from") + F.col("number")).alias("number")))
     sizes = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
     goals = source_targets(totals.select("source", "words"), weights, share, cap)
@@ -147,12 +162,12 @@ def mix(
     tilt = stored(balance(sizes, targets, cap))
     known = targets.join(tilt.select(F.col("source").alias("s"), "m", "full"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rated = base.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", F.col("words").alias("source_size"), "target",
+        "doc_id", "source", "size", "number", F.col("words").alias("source_size"), "target",
         F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(cap))).otherwise(
             F.least(F.lit(float(cap)), F.exp(F.least(F.col("m") * F.col("size") / F.col("mean"), F.lit(50.0))))).alias("rate"),
     )
     fraction = F.col("rate") - F.floor("rate")
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", "size"), 12).cast("double") + 0.5) / F.lit(float(2**52))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", "size", "number"), 12).cast("double") + 0.5) / F.lit(float(2**52))
     drawn = stored(rated.select("*", fraction.alias("fraction"), F.when(fraction > 0, F.least(u / fraction / F.lit(BINS), F.lit(0.999999999999))).alias("v")))
     limits = stored(_cut_offs(drawn.where("size > 0 and fraction > 0").select("source", "size", "fraction", "v")))
     copies = (F.floor("rate") + F.when(F.col("v") < F.col("limit"), 1).otherwise(0)).cast("long")
@@ -160,9 +175,20 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The mix itself: each row of docs as many times as mixed says (once for ids that mixed lacks). Columns are kept."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, quoted(doc_id).eqNullSafe(F.col("__id")), "left")
-    repeats = F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1)).cast("int"))
-    return joined.select(*[quoted(c) for c in docs.columns], F.explode(repeats).alias("__copy")).drop("__copy")
+def take(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs as many times as mixed says, which is mix() of the same docs.
+
+    Rows equal in id, source and size share their copies evenly, the first by the hash of their text taking what is left
+    over. Rows that mixed lacks stay once. All columns are kept and none is added; an empty table stays empty.
+    """
+    total = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("__n"), F.sum("copies").alias("__copies"))
+    total = total.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
+    same = quoted(doc_id).eqNullSafe(F.col("__id")) & quoted(source).eqNullSafe(F.col("__source")) & (n_words(quoted(text)) == F.col("__size"))
+    joined = docs.join(total, same, "left")
+    many = F.coalesce(F.col("__n") > 1, F.lit(False))
+    rank = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(quoted(text))))
+    spread = joined.where(many).withColumn("__rank", rank)
+    share = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__rank") <= F.col("__copies") % F.col("__n")).cast("long")
+    once = joined.where(~many).withColumn("__take", F.coalesce("__copies", F.lit(1)))
+    both = once.unionByName(spread.withColumn("__take", share).drop("__rank"))
+    return both.select(*[quoted(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__take").cast("int"))).alias("__copy")).drop("__copy")
