@@ -3,7 +3,9 @@
 A candidate is a run of printable ASCII in a word: between quotes, brackets and the like, and again between the marks
 ! # ? & , where it holds some, so that neither JSON, calls, query strings and trailing marks nor marks inside a password
 hide it. It has at least MIN_LENGTH characters and a digit, unless a name before = or : announces it or its format is
-known. It is judged on its length, character transitions, dictionary coverage, path marks and neighbouring words. Extraction, features and scoring are DataFrame functions and the
+known. Key blocks of several words (from -----BEGIN ... PRIVATE KEY----- to its END) are candidates as a whole. A candidate
+is judged on its length, character transitions (how often its classes follow each other, and how rare its pairs of
+characters are among the dictionary's), dictionary coverage, path marks and neighbouring words. Extraction, features and scoring are DataFrame functions and the
 JVM's random forest: no Python runs on the executors. Texts are read once and only candidates move.
 """
 
@@ -34,7 +36,11 @@ _RUN = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|]]"""
 _PART = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|!#?&,]]"""
 _PIECES = [f"(?:{_NAME})?{_START}(?:{inside}*{_END})?" for inside in (_RUN, _PART)]
 _SPLIT = f"(?s)^(?:{_NAME})?(.*)$"
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "variety", "hex", "coverage", "slashes", "dots", "at", "url", "announced_left", "announced_before", "assigned", "quoted_word", "right_word")
+#: Fixed value: a private key in its armour.
+_BLOCK = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
+#: Transitions between classes of characters: name, first and second class.
+STEPS = (("lower_upper", "a-z", "A-Z"), ("upper_lower", "A-Z", "a-z"), ("letter_digit", "a-zA-Z", "0-9"), ("digit_letter", "0-9", "a-zA-Z"))
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", *(s[0] for s in STEPS), "rarity", "variety", "hex", "coverage", "slashes", "dots", "at", "url", "announced_left", "announced_before", "assigned", "quoted_word", "right_word")
 
 
 def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -64,7 +70,12 @@ def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     split = runs.select("doc_id", "pos", "word", part(2).alias("value"), part(1).alias("left"), "before", "after")
     announced = F.col("left").rlike(ANNOUNCED) | (F.col("before").rlike(ANNOUNCED) & F.col("before").rlike(_ASSIGNED))
     shapely = (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
-    return split.where((F.col("value") != "") & (shapely | announced | F.col("value").rlike(f"^{KNOWN}$")))
+    single = split.where((F.col("value") != "") & (shapely | announced | F.col("value").rlike(f"^{KNOWN}$")))
+    # The position of a block is that of its first word: the number of white-space runs before it.
+    whole = df.where(quoted(text).contains("PRIVATE KEY-----")).select(quoted(doc_id).alias("doc_id"), quoted(text).alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(quoted(text), F.lit(_BLOCK), F.lit(0)))).alias("value"))
+    ahead = F.expr("left(t, instr(t, value) - 1)")
+    blocks = whole.select("doc_id", F.regexp_count(ahead, F.lit(r"[\x20\x09-\x0D]+")).alias("pos"), F.col("value").alias("word"), "value", F.lit("").alias("left"), F.lit("").alias("before"), F.lit("").alias("after"))
+    return single.unionByName(blocks)
 
 
 def coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -74,13 +85,25 @@ def coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     return runs.join(dictionary, "word").groupBy("value").agg((F.sum(F.char_length("word")) / F.char_length("value")).alias("coverage"))
 
 
+def rarity(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(value, rarity): the mean of -log of the share that a value's pairs of characters have among the dictionary's pairs, each seen once more."""
+    pairs = lambda c: F.when(F.char_length(c) > 1, F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: c.substr(i, F.lit(2))))
+    counts = dictionary.select(F.explode(pairs(F.col("word"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    # At most 26 * 26 rows: dictionary words hold a to z only.
+    shares = stored(counts.where(F.col("pair").rlike("^[a-z]{2}$")))
+    total = (shares.agg(F.sum("n")).first()[0] or 0) + 26 * 26
+    values = found.select("value").distinct().select("value", F.explode(pairs(F.lower("value"))).alias("pair"))
+    known = values.join(F.broadcast(shares), "pair", "left").groupBy("value")
+    return known.agg((F.log(F.lit(float(total))) - F.avg(F.log(F.coalesce("n", F.lit(0)) + 1))).alias("rarity"))
+
+
 def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     v, n = F.col("value"), F.char_length("value")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
     runs = F.regexp_count(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"))
-    covered = coverage(found, dictionary)
-    return found.join(covered, "value", "left").select(
+    covered, rare = coverage(found, dictionary), rarity(found, dictionary)
+    return found.join(covered, "value", "left").join(rare, "value", "left").select(
         *[quoted(c) for c in found.columns],
         n.cast("double").alias("__length"),
         share("[0-9]").alias("__digits"),
@@ -88,6 +111,8 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         share("[a-z]").alias("__lower"),
         share("[^a-zA-Z0-9]").alias("__symbols"),
         (runs / n).alias("__transitions"),
+        *[share(f"[{a}](?=[{b}])").alias(f"__{name}") for name, a, b in STEPS],
+        F.coalesce("rarity", F.lit(0.0)).alias("__rarity"),
         (F.size(F.array_distinct(F.split(v, ""))) / n).alias("__variety"),
         flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("__hex"),
         F.coalesce("coverage", F.lit(0.0)).alias("__coverage"),
@@ -138,4 +163,4 @@ def weak_label(found: DataFrame) -> Column:
     announced = F.col("left").rlike(ANNOUNCED) | F.col("before").rlike(ANNOUNCED)
     random = v.rlike("^[0-9a-f]{16,}$") | (v.rlike("^[A-Za-z0-9_+/=-]{20,}$") & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
     plain = v.rlike(r"^[0-9.:\-/ ]+$") | v.contains("@") | F.col("word").contains("://") | v.rlike(r"\.(com|org|net|html?|py|txt)\b")
-    return F.when(v.rlike(f"^{KNOWN}$"), 1).when(announced & random, 1).when(plain, 0)
+    return F.when(v.rlike(f"^{KNOWN}$") | v.startswith("-----BEGIN "), 1).when(announced & random, 1).when(plain, 0)
