@@ -1,19 +1,22 @@
-"""Embedding near-dedup by collision counting over one-dimensional projections.
-
-Equal vectors are merged into classes first, so a group of copies of any size is one row. Regions that bound the pairs
-come from repeated sign patterns of random projections: their number of bits follows the table's size and their number
-of repeats is calculated so that a pair at the threshold meets in one of them with probability RECALL. In a region,
-every vector opens a window of fixed half-width on each of the one-dimensional projections (orthonormal directions);
-pairs whose windows collide on at least as many projections as a pair at the threshold does with probability RECALL are
-verified by their cosine in double precision. A region over BLOCK rows is split into blocks that meet pairwise, whatever
-its size: nothing is capped. A pair counts in the first repeat where it meets. Tasks return link counts and a spanning
-forest for each region, never pairs.
+"""Embedding near-dedup by collision counting over sorted one-dimensional projections.
+
+Equal vectors are merged into classes first, so a group of copies of any size is one row. A window on a single projection
+holds a fixed share of all rows (a third at a cosine of 0.95 in 64 dimensions), so windows over the whole table would
+collide for a fixed share of all pairs. The lists are therefore sorted region by region: repeated sign patterns of random
+projections, coarse windows themselves, make regions whose number of bits follows the table's size and whose number of
+repeats is calculated so that a pair at the threshold meets in one of them with probability RECALL. In a region every
+projection (orthonormal directions) is sorted, every vector opens a window of fixed half-width around its own place in
+each sorted list, and collisions are counted for each pair. Pairs that collide on enough projections are verified by their
+cosine in double precision. Enough is calibrated: the count that a pair at the threshold reaches with probability RECALL,
+or less if the true pairs of SAMPLE rows, compared with all rows, reach less. A region over BLOCK rows is split into
+blocks that meet pairwise, whatever its size: nothing is capped. A pair counts in the first repeat where it meets. Tasks
+return link counts and a spanning forest for each region, never pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .components import connected_components
 #: Wanted rows of a region, most rows of a block, projections, half-width in standard deviations at the threshold.
 REGION, BLOCK, PROJECTIONS, WIDTH = 512, 1024, 16, 2.0
 RECALL = 0.9999
+#: Rows whose true pairs with all rows calibrate the collision count.
+SAMPLE = 64
 SEED = 20240
 
 
@@ -100,7 +105,62 @@ def _signs(bits: int, repeats: int) -> Callable:
     return make
 
 
-def _links(threshold: float, repeats: int) -> Callable[[pa.Table], pa.Table]:
+def _spots(units: np.ndarray) -> np.ndarray:
+    """Places on each projection: at most PROJECTIONS orthonormal directions."""
+    d = units.shape[1]
+    return (units @ np.linalg.qr(np.random.default_rng(SEED + 1).normal(size=(d, min(PROJECTIONS, d))))[0]).astype(np.float32)
+
+
+def half_width(d: int, threshold: float) -> np.float32:
+    return np.float32(WIDTH * math.sqrt(max(0.0, 2 - 2 * threshold) / d) + 1e-6)
+
+
+def _collisions(queries: np.ndarray, listed: np.ndarray, half: np.float32) -> np.ndarray:
+    """Of each query and listed row, the number of projections where the row lies in the query's window of the sorted list."""
+    count, place = np.zeros((len(queries), len(listed)), dtype=np.uint8), np.empty(len(listed), np.uint32)
+    for p in range(queries.shape[1]):
+        order = np.argsort(listed[:, p], kind="stable")
+        line = listed[order, p]
+        place[order] = np.arange(len(listed), dtype=np.uint32)
+        begin = np.searchsorted(line, queries[:, p] - half, "left").astype(np.uint32)
+        end = np.searchsorted(line, queries[:, p] + half, "right").astype(np.uint32)
+        count += place[None, :] - begin[:, None] < (end - begin)[:, None]  # places before begin wrap around
+    return count
+
+
+def calibrate(classes: DataFrame, threshold: float) -> dict[int, int]:
+    """Collisions needed for each number of projections that the true pairs of SAMPLE rows show, compared with all rows; at most the calculated count."""
+    sample = [(r["id"], np.frombuffer(r["unit"])) for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    shared = classes.sparkSession.sparkContext.broadcast(sample)  # SAMPLE rows
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_width: dict[int, list] = {}
+        for i, u in shared.value:
+            by_width.setdefault(len(u), []).append((i, u))
+        for batch in batches:
+            ids, units = batch.column("id").to_numpy(), [np.frombuffer(u) for u in batch.column("unit").to_pylist()]
+            for d, asked in by_width.items():
+                rows = [k for k, u in enumerate(units) if len(u) == d]
+                if not rows:
+                    continue
+                listed, queries = np.stack([units[k] for k in rows]), np.stack([u for _, u in asked])
+                true = queries @ listed.T >= threshold
+                true &= np.array([i for i, _ in asked])[:, None] != ids[rows][None, :]
+                if true.any():
+                    found = _collisions(_spots(queries), _spots(listed), half_width(d, threshold))[true].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), min(PROJECTIONS, d))), pa.array(found)], names=["m", "collided"])
+
+    needed = {}
+    seen = classes.select("id", "unit").mapInArrow(counts, "m long, collided long").groupBy("m", "collided").agg(F.count("*").alias("n")).collect()  # PROJECTIONS squared rows at most
+    for m in {r["m"] for r in seen}:
+        hist = {r["collided"]: r["n"] for r in seen if r["m"] == m}
+        total = sum(hist.values())
+        reached = [c for c in range(m + 1) if sum(n for k, n in hist.items() if k >= c) >= RECALL * total]
+        needed[m] = min(collisions_needed(m), max(reached))
+    return needed
+
+
+def _links(threshold: float, repeats: int, needed: dict[int, int]) -> Callable[[pa.Table], pa.Table]:
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -111,19 +171,13 @@ def _links(threshold: float, repeats: int) -> Callable[[pa.Table], pa.Table]:
         turn, i, j = (table[c][0].as_py() for c in ("t", "i", "j"))
         block = table["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        d = units.shape[1]
-        m = min(PROJECTIONS, d)
-        directions = np.linalg.qr(np.random.default_rng(SEED + 1).normal(size=(d, m)))[0]
-        spots = (units @ directions).astype(np.float32)
-        half = np.float32(WIDTH * math.sqrt(max(0.0, 2 - 2 * threshold) / d) + 1e-6)
-        need = collisions_needed(m)
+        spots, half = _spots(units), half_width(units.shape[1], threshold)
+        m = spots.shape[1]
+        need = needed.get(m, collisions_needed(m))
         found_a, found_b = [], []
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
-            count = np.zeros((len(rows), len(right)), dtype=np.uint8)
-            for p in range(m):
-                count += np.abs(spots[rows, p][:, None] - spots[right, p][None, :]) <= half
-            x, y = np.nonzero(count >= need)
+            x, y = np.nonzero(_collisions(spots[rows], spots[right], half) >= need)
             a, b = rows[x], right[y]
             keep = a < b if i == j else a != b
             a, b = a[keep], b[keep]
@@ -173,7 +227,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id",
     pairs = members.select(*region, "id", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     pairs = pairs.select(*region, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("id").alias("member"))
     full = pairs.join(coded.select("id", "n", "unit", "codes"), F.col("member") == F.col("id")).drop("member")
-    found = stored(full.groupBy(*region, "i", "j").applyInArrow(_links(threshold, repeats), "id long, links long, root long"))
+    found = stored(full.groupBy(*region, "i", "j").applyInArrow(_links(threshold, repeats, calibrate(coded, threshold)), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = coded.select("id", "ha", "hb", "n").join(links, "id", "left").join(parts, "id", "left").select(
