@@ -156,15 +156,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "QUERIES", 3)
     draw = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in draw.normal(size=8) * 0.3]) for i in range(300)]
-    rows += [(i, rows[20][1]) for i in range(300, 360)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (500, [0.0] * 8), (None, [1.0] * 8), (20, rows[20][1])]
+    rows += [(i, rows[20][1]) for i in range(300, 360)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (500, [0.0] * 8), (None, [1.0] * 8), (20, rows[20][1]), *[(301, rows[20][1])] * 3, (303, rows[5][1])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = defaultdict(list)
     for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    whole = {i: np.floor(1024 * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    assert set(got) == {i for i in whole if i % 20 == 0}
+    whole = [(i, np.floor(1024 * np.array(v, dtype=np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    asked = {i: v for i, v in whole if i % 20 == 0}
+    assert set(got) == set(asked)
     for q, found in got.items():
-        want = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:10]
+        want = sorted((-int(asked[q] @ v), i) for i, v in whole if i != q)[:10]
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
@@ -179,5 +180,27 @@ def test_threshold_search_stops_early():
     block = np.floor(draw.normal(size=(5000, 3)) * 1000)
     block[7] = [9000, 9000, 9000]
     lists = np.argsort(block, axis=0, kind="stable")
-    rows, _ = topk.threshold_search(np.array([5.0, 4.0, 3.0]), np.arange(5000), block, lists, -1, 1)
-    assert rows.tolist() == [7]
+    query, ids = np.array([5.0, 4.0, 3.0]), np.arange(5000)
+    rows, _, scored = topk.threshold_search(query, ids, block, lists, -1, 1)
+    assert rows.tolist() == [7] and scored < 500
+    # A floor above the first frontiers leaves the block unread, one that only the best reaches ends it early.
+    assert topk.threshold_search(query, ids, block, lists, -1, 1, 200_000.0)[2] == 0
+    rows, _, scored = topk.threshold_search(query, ids, block, lists, -1, 10, 50_000.0)
+    assert rows[0] == 7 and scored < 500
+
+
+def test_scores_beyond_doubles_stay_exact(spark):
+    big = float(2**28)
+    df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 3.0]), (2, [big, 2.0]), (3, [big - 1, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0, k=3, scale=1).orderBy("rank").collect()]
+    assert got == [(1, 2**56 + 3), (2, 2**56 + 2), (3, 2**56 - 2**28)]
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(df, F.col("vec_id") == 0, k=3, scale=1024).collect()
+
+
+def test_windows_on_sorted_lists_equal_distances():
+    draw = np.random.default_rng(1)
+    a, b = draw.normal(size=(40, 5)).astype(np.float32), draw.normal(size=(70, 5)).astype(np.float32)
+    half = np.float32(0.4)
+    want = ((b[None] >= (a - half)[:, None]) & (b[None] <= (a + half)[:, None])).sum(axis=2)
+    assert np.array_equal(vector_dedup._collisions(a, b, half), want)
