@@ -12,6 +12,15 @@ SHORT_FORMATS = ("yy/M/d", "yy-M-d", "yy.M.d")
 EPOCH = "1899-12-30"
 
 
+#: Full-width forms of the printable ASCII characters, by rule: each lies 0xFEE0 above its half-width form; the wide space is the last.
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def half_width(text: Column) -> Column:
+    return F.translate(text, _WIDE, _NARROW)
+
+
 def cell_text(text: Column, number: Column | None = None) -> Column:
     """Text of a cell: integral numbers without a fraction, text trimmed, nothing as empty."""
     shown = F.trim(text)
@@ -28,7 +37,7 @@ def _two_digit(s: Column, fmt: str) -> Column:
 
 def parse_date(text: Column, as_of: Column, number: Column | None = None, stamp: Column | None = None) -> Column:
     """The date of a cell: time stamps, serial numbers, then the layouts in order; short layouts not after as_of."""
-    s = F.trim(text)
+    s = F.trim(half_width(text))
     tried = [_two_digit(s, f) if "yyyy" not in f else F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DATE_FORMATS]
     for f in SHORT_FORMATS:
         d = _two_digit(s, f)
@@ -44,7 +53,7 @@ def parse_date(text: Column, as_of: Column, number: Column | None = None, stamp:
 
 def parse_number(text: Column) -> Column:
     """Full-width digits and thousands commas are understood."""
-    return F.translate(F.trim(text), "０１２３４５６７８９．，,", "0123456789.").try_cast("double")
+    return F.replace(F.trim(half_width(text)), F.lit(",")).try_cast("double")
 
 
 def parse_int(text: Column) -> Column:
@@ -53,9 +62,9 @@ def parse_int(text: Column) -> Column:
 
 
 def magnitude_int(text: Column) -> Column:
-    """1.2万 and 1.2w are 12000; else a number without its commas; else null."""
+    """1.2万 and 1.2w are 12000, fractions cut off; else a number without its commas; else null."""
     s = F.trim(text)
-    large = F.round(F.regexp_extract(s, r"^(.*)[万wW]$", 1).try_cast("double") * 10000).try_cast("bigint")
+    large = (F.regexp_extract(s, r"^(.*?)[万wW]+$", 1).try_cast("double") * 10000).try_cast("bigint")
     return F.when(s.rlike("[万wW]$"), large).otherwise(parse_int(s))
 
 

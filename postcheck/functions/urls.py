@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: paths of a post page.
 POST_PATH = r"^/(?:discovery/item|explore|items)/([0-9a-fA-F]{24})(?:/|$)"
+#: Fixed value: 24 hexadecimal digits.
 HEX24 = r"\b([0-9a-fA-F]{24})\b"
 
 
@@ -24,7 +25,7 @@ def url_host(c: Column) -> Column:
 
 
 def allowed_url(c: Column, roots: Sequence[str]) -> Column:
-    """http or https on the usual ports, at one of the root hosts or below."""
+    """http or https on the usual ports (fixed values: none, 80, 443), at one of the root hosts or below."""
     host = url_host(c)
     port = F.regexp_extract(F.coalesce(F.try_parse_url(c, F.lit("AUTHORITY")), F.lit("")), r":(\d*)$", 1)
     at_root = F.lit(False)
@@ -40,6 +41,6 @@ def post_id_from_url(c: Column, roots: Sequence[str]) -> Column:
 
 
 def embedded_post_id(c: Column) -> Column:
-    """The first id in a redirect's url parameter, else anywhere; empty if none."""
-    inner = F.try_url_decode(F.coalesce(F.try_parse_url(c, F.lit("QUERY"), F.lit("url")), c))
+    """The first id in a redirect's url parameter, else (no or an empty parameter) anywhere; empty if none."""
+    inner = F.try_url_decode(F.coalesce(F.nullif(F.try_parse_url(c, F.lit("QUERY"), F.lit("url")), F.lit("")), c))
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(inner, c), HEX24, 1)), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 BATCH, SHOWN = 15, 5
 #: The answers' vocabulary.
-ANSWERS = ("same", "different", "unsure")
+ANSWERS = ("SAME_PERSON", "SAME_POST", "DIFFERENT", "UNSURE")
 _ITEM = "struct<row:string,verdict:string,confidence:double,rationale_en:string,rationale_zh:string>"
 
 
@@ -34,22 +34,24 @@ def parse_answers(df: DataFrame, text: str) -> DataFrame:
     """One row for each answered item: row, verdict, confidence, rationale_en, rationale_zh, position.
 
     A code fence is taken off; the whole text, its widest {...} and its widest [...] are tried in turn, a bare array is taken
-    as the items. One bad item (vocabulary, confidence outside 0 to 1) rejects its whole text.
+    as the items. A reading with a bad item (vocabulary, confidence outside 0 to 1, no row or rationale) is rejected and
+    the next one tried; a text without a good reading gives no rows.
     """
     bare = F.regexp_replace(F.trim(F.col(text)), r"(?s)^```\w*\s*|\s*```$", "")
     tries = []
     for piece in (bare, F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.regexp_extract(bare, r"(?s)(\[.*\])", 1)):
         tries += [F.from_json(piece, f"struct<items:array<{_ITEM}>>")["items"], F.when(F.startswith(F.trim(piece), F.lit("[")), F.from_json(piece, f"array<{_ITEM}>"))]
-    items = F.coalesce(*tries)
-    fine = F.forall("items", lambda x: F.coalesce(x["verdict"].isin(*ANSWERS) & x["confidence"].between(0, 1) & x["row"].isNotNull(), F.lit(False)))
-    return df.withColumn("items", items).where(F.col("items").isNotNull() & fine).select(*[c for c in df.columns if c != text], F.posexplode("items").alias("position", "i")).select("*", "i.*").drop("i")
+    whole = lambda x: x["row"].isNotNull() & x["rationale_en"].isNotNull() & x["rationale_zh"].isNotNull()
+    fine = lambda items: F.forall(items, lambda x: F.coalesce(x["verdict"].isin(*ANSWERS) & x["confidence"].between(0, 1) & whole(x), F.lit(False)))
+    items = F.coalesce(*[F.when(fine(t), t) for t in tries])
+    return df.withColumn("items", items).where(F.col("items").isNotNull()).select(*[c for c in df.columns if c != text], F.posexplode("items").alias("position", "i")).select("*", "i.*").drop("i")
 
 
 def apply_answers(verdicts: DataFrame, answers: DataFrame) -> DataFrame:
     """Append answer, answer_confidence and answer_note; the last answer of a row counts, unknown rows are ignored, no status changes."""
     one = answers.groupBy("row").agg(F.max_by(F.struct("verdict", "confidence"), "position").alias("a"))
     joined = verdicts.withColumn("__row", row_key()).join(one.withColumnRenamed("row", "__r"), F.col("__row") == F.col("__r"), "left")
-    note = F.when((F.col("a.verdict") == "unsure") & (F.col("status") != "REVIEW"), "unsure: verify by hand").otherwise("")
+    note = F.when((F.col("a.verdict") == "UNSURE") & (F.col("status") != "REVIEW"), "unsure: verify by hand").otherwise("")
     return joined.select(*[f"`{c}`" for c in verdicts.columns], F.col("a.verdict").alias("answer"), F.col("a.confidence").alias("answer_confidence"), note.alias("answer_note"))
 
 

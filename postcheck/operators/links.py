@@ -42,46 +42,72 @@ def _first(payload: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(payload, p, "string"), F.lit("")) for p in paths], F.lit(""))
 
 
-def walk(df: DataFrame, json: str, keys: Sequence[str], out: str) -> DataFrame:
-    """The first non-empty value under any of the keys, level by level (breadth first), as text.
+def find_first(df: DataFrame, json: str, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """Append, for each entry of wanted, the first non-empty value under any of its keys, as text (objects as JSON).
 
-    Each level is one lateral explode of the level above, until a level is empty; ties go to key order, then position.
+    All entries are searched in one walk, level by level (breadth first), through objects and arrays. Each level is one
+    lateral explode of the level above, until a level is empty; ties go to position, then key order.
     """
-    base = df.withColumn("__row", F.monotonically_increasing_id())
+    base, spark = df.withColumn("__row", F.monotonically_increasing_id()), df.sparkSession
     level = base.select("__row", F.try_parse_json(F.col(json)).alias("v"), F.lit("").alias("path"))
+    spots = F.array(*[F.struct(F.lit(out).alias("out"), F.lit(key).alias("key"), F.lit(k).alias("k")) for out, keys in wanted.items() for k, key in enumerate(keys)])
     found = None
     for d in count():
-        level.createOrReplaceTempView(f"__walk_{d}")
-        level = df.sparkSession.sql(f"SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path, x.key FROM __walk_{d} t, LATERAL variant_explode(t.v) x")
-        rank = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
-        hit = level.where(F.col("key").isin(*keys)).select("__row", F.lit(d).alias("d"), F.substring("path", 1, 6 * d).alias("node"), rank.alias("k"), F.expr("try_variant_get(v, '$', 'string')").alias("value")).where("value <> ''")
+        level.createOrReplaceTempView("__walk")
+        level = spark.sql("SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path, x.key FROM __walk t, LATERAL variant_explode(t.v) x")
+        spark.catalog.dropTempView("__walk")
+        text = F.expr("try_variant_get(v, '$', 'string')").alias("value")
+        hit = level.select("__row", F.lit(d).alias("d"), F.substring("path", 1, 6 * d).alias("node"), F.explode(F.filter(spots, lambda x: x["key"] == F.col("key"))).alias("w"), text)
+        hit = hit.where("value not in ('', '[]', '{}')").select("__row", "d", "node", "w.out", "w.k", "value")
         found = hit if found is None else found.union(hit)
         level = level.select("__row", "v", "path")
         if level.isEmpty():
             break
-    best = found.groupBy("__row").agg(F.min_by("value", F.struct("d", "node", "k")).alias(out))
+    of = lambda out, c: F.when(F.col("out") == out, c)
+    best = found.groupBy("__row").agg(*[F.min_by(of(o, F.col("value")), of(o, F.struct("d", "node", "k"))).alias(o) for o in wanted])
     return base.join(best, "__row", "left").drop("__row")
 
 
+def walk(df: DataFrame, json: str, keys: Sequence[str], out: str) -> DataFrame:
+    """Append the first non-empty value under any of the keys, at any depth."""
+    return find_first(df, json, {out: keys})
+
+
+#: The keys of a payload's fields. Those in _WITHIN are read inside the object of the first key found.
+_FIELDS = {
+    "note": ("note_id", "noteId"), "plain": ("id",), "user": ("user", "author", "user_info"), "author": ("user_id", "userId", "author_id"), "author_n": ("nickname", "nick_name", "author_name"),
+    "interact": ("interact_info", "interactInfo"), "like": ("liked_count", "likes", "like_count"), "collect": ("collected_count", "collects", "collected"),
+    "comment": ("comment_count", "comments_count"), "head": ("title", "display_title"), "time": ("time", "publish_time", "post_time", "create_time"),
+}
+_WITHIN = {
+    "author_id": ("user", ("user_id", "userid", "id"), "author"), "author_name": ("user", ("nickname", "name", "nick_name"), "author_n"), "likes": ("interact", ("liked_count", "likedCount"), "like"),
+    "collects": ("interact", ("collected_count", "collectedCount"), "collect"), "comments": ("interact", ("comment_count", "commentCount"), "comment"),
+}
+
+
 def extract_note_fields(df: DataFrame, json: str) -> DataFrame:
-    """Append note_id, author_id, author_name, likes, collects, comments, title, published from an API payload.
+    """Append note_id, author_id, author_name, likes, collects, comments, title, published from an API payload of any nesting.
 
-    A note id must be 24 hexadecimal characters; it is never searched for in other text.
+    A note id must be 24 hexadecimal characters; it is never searched for in other text. Author and counts come from the
+    first user and interaction objects, else from their keys anywhere. Bad JSON gives empty texts and null counts.
     """
-    v = F.try_parse_json(F.col(json))
-    at = lambda *names: [f"$.{p}{n}" for n in names for p in ("", "data.", "data.note.", "data.interact_info.", "data.user.", "data.note.user.", "data.note.interact_info.")]
-    note, plain = _first(v, at("note_id", "noteId")), _first(v, at("id"))
-    time = _first(v, at("time", "publish_time", "create_time"))
-    return df.select(
-        "*",
-        F.lower(F.when(is_hex24(note), note).when(is_hex24(plain), plain).otherwise("")).alias("note_id"),
-        _first(v, at("user_id", "userId", "userid")).alias("author_id"),
-        _first(v, at("nickname", "nick_name", "name")).alias("author_name"),
-        magnitude_int(_first(v, at("liked_count", "likes"))).alias("likes"),
-        magnitude_int(_first(v, at("collected_count", "collects"))).alias("collects"),
-        magnitude_int(_first(v, at("comment_count", "comments_count"))).alias("comments"),
-        _first(v, at("title", "display_title")).alias("title"),
-        F.when(time.rlike("^[0-9]+$"), epoch_text(time.try_cast("bigint"))).otherwise(time).alias("published"),
+    names = {k: f"__{k}" for k in _FIELDS}
+    found = find_first(df, json, {names[k]: keys for k, keys in _FIELDS.items()})
+    c = lambda k: F.col(names[k])
+
+    def within(field: str) -> Column:
+        owner, keys, anywhere = _WITHIN[field]
+        inner = F.try_parse_json(F.when(F.startswith(c(owner), F.lit("{")), c(owner)))
+        own = F.nullif(_first(inner, [f"$.{k}" for k in keys]), F.lit(""))
+        return F.coalesce(magnitude_int(own), magnitude_int(c(anywhere))) if owner == "interact" else F.coalesce(own, c(anywhere), F.lit(""))
+
+    time = c("time")
+    return found.select(
+        *[f"`{x}`" for x in df.columns],
+        F.lower(F.when(is_hex24(c("note")), c("note")).when(is_hex24(c("plain")), c("plain")).otherwise("")).alias("note_id"),
+        *[within(f).alias(f) for f in _WITHIN],
+        F.coalesce(c("head"), F.lit("")).alias("title"),
+        F.coalesce(F.when(time.rlike("^[0-9]+$"), epoch_text(time.try_cast("bigint"))).otherwise(time), F.lit("")).alias("published"),
     )
 
 

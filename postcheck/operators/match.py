@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.urls import normalize_url
+
 #: Annotation texts by status.
 TEXT = {
     "MATCH": "",
@@ -128,9 +130,11 @@ def sibling_authors(rows: DataFrame) -> DataFrame:
 
 
 def attach(tracker: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Append note_id, author_id and ok by the post link; one resolution for each url."""
-    one = first_per_key(resolutions.withColumnRenamed("url", "__url"), ["__url"], "status")
-    joined = tracker.join(one.select("__url", "status", "note_id", "author_id"), F.col("post_link") == F.col("__url"), "left")
+    """Append note_id, author_id and ok by the normalised post link; of several resolutions a good one, else the newest (resolved_at, where there is one) counts."""
+    newest = F.desc("resolved_at") if "resolved_at" in resolutions.columns else F.lit(0)
+    place = F.row_number().over(W.partitionBy("__url").orderBy(F.coalesce(F.col("status") != "ok", F.lit(True)), newest, "note_id", "author_id"))
+    one = resolutions.withColumn("__url", normalize_url(F.col("url"))).withColumn("__place", place).where("__place = 1")
+    joined = tracker.join(one.select("__url", "status", "note_id", "author_id"), normalize_url(F.col("post_link")) == F.col("__url"), "left")
     ok = F.coalesce((F.col("status") == "ok") & (F.col("note_id") != ""), F.lit(False))
     return joined.select(*[f"`{c}`" for c in tracker.columns], F.coalesce("note_id", F.lit("")).alias("note_id"), F.coalesce("author_id", F.lit("")).alias("author_id"), ok.alias("ok"))
 

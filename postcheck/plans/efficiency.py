@@ -118,14 +118,19 @@ _RULES = _GROUPS + """, f AS (
     UNION ALL SELECT code, detail, n, 0 FROM v8
     UNION ALL SELECT 'V9', grp, n, 0 FROM g WHERE n < 3 UNION ALL SELECT 'V10', grp, n, 0 FROM g WHERE n > 2 AND concentration_pct > 50""")
 def A11_A22_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = e.findings(posts(spark, sf_dir)).where("code <> 'V6'")
-    return found.select("code", "detail", "n", F.aggregate("rows", F.lit(0).cast("long"), lambda x, y: x + y).alias("row_sum"))
+    p = posts(spark, sf_dir)
+    lines = e.finding_rows(p).groupBy("code", "detail").agg(F.count("*").alias("n"), F.sum("excel_row").alias("row_sum"))
+    return lines.union(e.findings(p).where("code in ('V8', 'V9', 'V10')").select("code", "detail", "n", F.lit(0).cast("long")))
+
+
+@query(_RULES + " SELECT code, detail, CAST(excel_row AS BIGINT) AS excel_row FROM f")
+def A11_A22_finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.finding_rows(posts(spark, sf_dir)).select("code", "detail", "excel_row")
 
 
 @query(_GROUPS + " SELECT right(post_link, 24) AS detail, count(*) AS n, list(excel_row ORDER BY excel_row)::VARCHAR AS rows FROM p GROUP BY post_link HAVING count(*) > 1")
 def A15_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = e.findings(posts(spark, sf_dir)).where("code = 'V6'")
-    return found.select("detail", "n", F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("rows"))
+    return e.duplicate_links(posts(spark, sf_dir)).select("detail", "n", F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("rows"))
 
 
 _ORDER = "list_position(['TOP', 'MID', 'BOT', 'KOC'], tier)"
@@ -137,7 +142,7 @@ _PIVOT = "SELECT tier, max(CASE WHEN coop = 'PAID' THEN {0} END) AS paid, max(CA
     UNION ALL SELECT 'cpm_winner', {_ORDER}, printf('%s: %s ¥%.0f VS ¥%.0f', tier, CASE WHEN paid <= soft THEN 'PAID' ELSE 'SOFT' END, least(paid, soft), greatest(paid, soft)) FROM cpm
     UNION ALL SELECT 'cpe_winner', {_ORDER}, printf('%s: %s ¥%.1f VS ¥%.1f', tier, CASE WHEN paid <= soft THEN 'PAID' ELSE 'SOFT' END, least(paid, soft), greatest(paid, soft)) FROM cpe
     UNION ALL SELECT 'footnote', 1, printf('Basis: pooled; n = %d posts: %s', (SELECT count(*) FROM live), (SELECT string_agg(tier || ' ' || n, ' · ' ORDER BY o) FROM (SELECT tier, {_ORDER} AS o, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY tier)))
-    UNION ALL SELECT 'caveat', {_ORDER}, printf('%s = %d POST(S) ONLY — NOT A BENCHMARK', grp, n) FROM g WHERE n < 3""")
+    UNION ALL SELECT 'caveat', {_ORDER}, printf('%s = %d post(s), too few to compare', grp, n) FROM g WHERE n < 3""")
 def R1_R4_A29_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     return e.insights(e.group_metrics(p), e.totals(p))

@@ -87,13 +87,14 @@ def H3_validate_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def P21_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = a.read(spark, sf_dir, "orders")
     layout = "CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'yyyy-M-d') WHEN 1 THEN date_format(o_orderdate, 'yyyy/MM/dd') WHEN 2 THEN date_format(o_orderdate, 'yyyy.MM.dd') WHEN 3 THEN date_format(o_orderdate, 'M/d/yyyy') WHEN 4 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') ELSE date_format(o_orderdate, 'M/d/yy') END"
-    return o.select("o_orderkey", coerce.parse_date(F.expr(layout), F.lit(AS_OF).cast("date")).cast("string").alias("parsed"))
+    wide = f"CASE WHEN o_orderkey % 12 < 6 THEN {layout} ELSE translate({layout}, '0123456789-/.:', '０１２３４５６７８９－／．：') END"
+    return o.select("o_orderkey", coerce.parse_date(F.expr(wide), F.lit(AS_OF).cast("date")).cast("string").alias("parsed"))
 
 
-@query("SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, (o_orderkey % 100) * 10000 AS magnitude FROM orders")
+@query("SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, CAST(trunc(CAST((o_orderkey % 100) || '.' || (o_orderkey % 100003) AS DOUBLE) * 10000) AS BIGINT) AS magnitude FROM orders")
 def P12_P23_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = a.read(spark, sf_dir, "orders")
-    return o.select("o_orderkey", coerce.parse_int(F.format_number("o_totalprice", 2)).alias("n"), coerce.magnitude_int(F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("万"))).alias("magnitude"))
+    return o.select("o_orderkey", coerce.parse_int(F.format_number("o_totalprice", 2)).alias("n"), coerce.magnitude_int(F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("."), (F.col("o_orderkey") % 100003).cast("string"), F.lit("万"))).alias("magnitude"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^https?://([^/?#:]+)', 1) LIKE '%.example.com' OR regexp_extract(url, '^https?://([^/?#:]+)', 1) LIKE '%.example.net' AS allowed FROM pages""")
@@ -116,11 +117,17 @@ def J1_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.walk(e, "json", ("missing", "k"), "k").select("event_id", F.col("k").cast("bigint").alias("k"))
 
 
-@query("""SELECT event_id, printf('%024x', event_id) AS note_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10000 AS likes, 'a' || user_id AS author_id FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE printf('%024x', event_id) END AS note_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 10000 END AS likes,
+    CASE WHEN event_id % 4 <> 3 THEN event_id % 1000 END AS comments, CASE WHEN event_id % 4 = 3 THEN '' ELSE 'a' || user_id END AS author_id, CASE event_id % 4 WHEN 3 THEN '' WHEN 2 THEN 'N' || user_id ELSE 'n' || user_id END AS author_name FROM events""")
 def J2_extract_note_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = """'{"data":{"note_id":"' || upper(lpad(hex(event_id), 24, '0')) || '","user":{"user_id":"a' || user_id || '"},"interact_info":{"liked_count":"' || get_json_object(props, '$.k') || '万"}}}'"""
-    e = a.read(spark, sf_dir, "events").selectExpr("event_id", f"{payload} AS json")
-    return links.extract_note_fields(e, "json").select("event_id", "note_id", "likes", "author_id")
+    """Four shapes: a note under data, one in nested lists, bare keys without user and interaction objects, and one without a post."""
+    e = a.read(spark, sf_dir, "events").selectExpr("*", "upper(lpad(hex(event_id), 24, '0')) AS id", "get_json_object(props, '$.k') || '万' AS likes_in", "event_id % 1000 AS c")
+    known = """'{"note_id":"' || id || '","user":{"user_id":"a' || user_id || '","nickname":"n' || user_id || '"},"interact_info":{"liked_count":"' || likes_in || '","comment_count":' || c || '}}'"""
+    listed = """'{"data":{"data":[[],{"note_list":[{"id":"' || id || '","author":{"userid":"a' || user_id || '","name":"n' || user_id || '"},"interactInfo":{"likedCount":"' || likes_in || '","commentCount":"' || c || '"}}]}]}}'"""
+    bare = """'{"ok":true,"body":{"noteId":"' || id || '","x":{"userId":"a' || user_id || '","nick_name":"N' || user_id || '"},"y":[{"likes":"' || likes_in || '"},{"comments_count":' || c || '}]}}'"""
+    other = """'{"id":"not-a-post","code":404}'"""
+    shaped = e.selectExpr("event_id", f"CASE event_id % 4 WHEN 0 THEN '{{\"data\":' || {known} || '}}' WHEN 1 THEN {listed} WHEN 2 THEN {bare} ELSE {other} END AS json")
+    return links.extract_note_fields(shaped, "json").select("event_id", "note_id", "likes", "comments", "author_id", "author_name")
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN printf('%024x', page_id) END AS state_note, CASE WHEN page_id % 5 <> 0 THEN page_id ELSE -1 END AS state_likes FROM pages""")
@@ -131,9 +138,9 @@ def J3_extract_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.extract_page_state(p.withColumn("html", state), "html", F.col("id")).select("page_id", "state_note", F.coalesce("state_likes", F.lit(-1)).alias("state_likes"))
 
 
-@query("""SELECT o_orderkey, 'r' || o_orderkey AS row, 'same' AS verdict FROM orders WHERE o_orderkey % 4 <> 3""")
+@query("""SELECT o_orderkey, 'r' || o_orderkey AS row, ['SAME_PERSON', 'SAME_POST', 'DIFFERENT', 'UNSURE'][1 + o_orderkey % 5] AS verdict FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 5 <> 4""")
 def J4_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = """'{"row":"r' || o_orderkey || '","verdict":"same","confidence":' || CASE WHEN o_orderkey % 4 = 3 THEN '7' ELSE '0.5' END || ',"rationale_en":"x","rationale_zh":"y"}'"""
+    item = """'{"row":"r' || o_orderkey || '","verdict":"' || element_at(array('SAME_PERSON', 'SAME_POST', 'DIFFERENT', 'UNSURE', 'same'), CAST(1 + o_orderkey % 5 AS INT)) || '","confidence":' || CASE WHEN o_orderkey % 7 = 3 THEN '7' ELSE '0.5' END || ',"rationale_en":"x","rationale_zh":"y"}'"""
     text = f"CASE o_orderkey % 3 WHEN 0 THEN '```json\n[' || {item} || ']\n```' WHEN 1 THEN '{{\"items\":[' || {item} || ']}}' ELSE 'Sure: [' || {item} || '] done' END"
     return adjudicate.parse_answers(a.read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{text} AS answer"), "answer").select("o_orderkey", "row", "verdict")
 

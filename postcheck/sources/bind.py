@@ -6,7 +6,7 @@ step groups or joins by (workbook, sheet).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,14 +61,17 @@ def link_value(link: Column, text: Column, strict: bool = False) -> Column:
     return F.coalesce(F.nullif(F.trim(link), F.lit("")), shown)
 
 
-def grid(cells: DataFrame, header: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """One row for each sheet row below the header with a struct cell (text, num, ts, link) for each field; missing columns are null."""
+def grid(cells: DataFrame, header: DataFrame, fields: dict[str, str], filled: Callable[[], Column]) -> DataFrame:
+    """One row for each sheet row below the header with a struct cell (text, num, ts, link) for each field; missing columns are null.
+
+    Rows that are not filled count as blank: they are dropped before the rows after a long blank run are.
+    """
     names = {key: f for f, key in fields.items()}
     mapped = header.where(F.col("key").isin(*names)).withColumnRenamed("col", "__col")
     body = cells.join(mapped, SHEET + ["sheet_no"]).where((F.col("row") > F.col("header_row")) & (F.col("col") == F.col("__col")))
     cell = F.struct(cell_text(F.col("v_str"), F.col("v_num")).alias("text"), F.col("v_num").alias("num"), F.col("v_ts").alias("ts"), F.coalesce("link", F.lit("")).alias("link"))
     out = body.groupBy(*SHEET, F.col("row").alias("excel_row")).agg(*[F.max(F.when(F.col("key") == key, cell)).alias(f) for f, key in fields.items()])
-    return truncate_after_blank_run(out, SHEET, "excel_row")
+    return truncate_after_blank_run(out.where(filled()), SHEET, "excel_row")
 
 
 def _text(name: str) -> Column:
@@ -91,22 +94,27 @@ def _link(name: str, strict: bool = False) -> Column:
     return link_value(F.col(f"{name}.link"), F.col(f"{name}.text"), strict)
 
 
+def _named() -> Column:
+    """A row with a name or a link."""
+    return (_text("name") != "") | (_link("post_link") != "")
+
+
 def bind_tracker(cells: DataFrame, as_of: Column) -> DataFrame:
     """Tracker rows of the first sheet with NAME and POST LINK; rows with neither are dropped, campaigns filled down."""
-    g = grid(cells, first_sheet(find_header(cells, ("name", "postlink"))), TRACKER)
+    g = grid(cells, first_sheet(find_header(cells, ("name", "postlink"))), TRACKER, _named)
     rows = g.select(*SHEET, "excel_row", _text("campaign").alias("campaign"), _text("no").alias("no"), _text("name").alias("name"), _date("post_date", as_of).alias("post_date"), _link("post_link").alias("post_link"),
                     *[_int(c).alias(c) for c in ("like_n", "collection", "comment_n", "impression", "ttl_engagement")])
-    return forward_fill(rows.where("name <> '' or post_link <> ''"), "campaign", SHEET, "excel_row")
+    return forward_fill(rows, "campaign", SHEET, "excel_row")
 
 
 def bind_export(cells: DataFrame, as_of: Column) -> DataFrame:
     """Export rows of the first sheet with BLOGGER and POSTID; rows with neither are dropped."""
     fields = EXPORT | {f"w{i}": key for i, key in enumerate(WEIGHTED)}
-    g = grid(cells, first_sheet(find_header(cells, ("blogger", "postid"))), fields)
+    g = grid(cells, first_sheet(find_header(cells, ("blogger", "postid"))), fields, lambda: (_text("blogger") != "") | (_text("post_id") != ""))
     rows = g.select(*SHEET, "excel_row", _text("blogger").alias("blogger"), _text("username").alias("username"), F.lower(_text("post_id")).alias("post_id"), _text("post_id").alias("post_id_raw"),
                     F.coalesce(F.col("post_date.ts"), F.to_timestamp(_date("post_date", as_of))).alias("post_date"), *[_int(c).alias(c) for c in ("likes_retweet", "share_favorites", "engagement", "comments")],
                     _link("link_target", True).alias("link_target"), F.coalesce(*[_float(f"w{i}") for i in range(len(WEIGHTED))]).alias("weighted_eng"))
-    return rows.where("blogger <> '' or post_id <> ''")
+    return rows
 
 
 def bind_roster(cells: DataFrame, kind: str) -> DataFrame:
@@ -114,8 +122,8 @@ def bind_roster(cells: DataFrame, kind: str) -> DataFrame:
     other = {"micro": "macro", "macro": "micro"}[kind]
     key = header_key(F.col("sheet"))
     usable = cells.where(F.contains(key, F.lit(kind)) & ~F.contains(key, F.lit(other)))
-    g = grid(usable, first_sheet(find_header(usable, ("name", "redbook_id"), last_wins=True)), ROSTER)
-    rows = g.where((_text("name") != "") | (_text("namebis") != "")).select(*SHEET, F.col("excel_row").alias("roster_row"), *[_text(c).alias(c) for c in ("name", "namebis", "dmrid", "country")], "in_china", F.lower(_text("redbook_id")).alias("redbook_id"), _int("followers").alias("followers"))
+    g = grid(usable, first_sheet(find_header(usable, ("name", "redbook_id"), last_wins=True)), ROSTER, lambda: (_text("name") != "") | (_text("namebis") != ""))
+    rows = g.select(*SHEET, F.col("excel_row").alias("roster_row"), *[_text(c).alias(c) for c in ("name", "namebis", "dmrid", "country")], "in_china", F.lower(_text("redbook_id")).alias("redbook_id"), _int("followers").alias("followers"))
     sheet = W.partitionBy(*SHEET)
     flagged, placed = F.max(F.col("in_china").isNotNull()).over(sheet), F.max(F.col("country") != "").over(sheet)
     home = F.when(flagged, F.upper(F.coalesce(F.col("in_china.text"), F.lit(""))) == "YES").when(placed, is_home_market(F.col("country"))).otherwise(True)
@@ -128,10 +136,10 @@ def bind_efficiency(cells: DataFrame, as_of: Column) -> DataFrame:
     named = header_key(F.col("sheet")) == "masterkollist"
     pick = cells.groupBy("workbook").agg(F.coalesce(F.min(F.when(named, F.col("sheet_no"))), F.min("sheet_no")).alias("sheet_no"))
     usable = cells.join(pick, ["workbook", "sheet_no"])
-    g = grid(usable, find_header(usable, tuple(EFFICIENCY.values())), EFFICIENCY | {"mcn": "mcn", "cpm_src": "cpm", "cpe_src": "cpe"})
+    g = grid(usable, find_header(usable, tuple(EFFICIENCY.values())), EFFICIENCY | {"mcn": "mcn", "cpm_src": "cpm", "cpe_src": "cpe"}, _named)
     rows = g.select(*SHEET, "excel_row", *[_text(c).alias(c) for c in ("campaign", "no", "name", "type_raw", "level_raw", "mcn")], _date("post_date", as_of).alias("post_date"), _link("post_link").alias("post_link"),
                     *[_float(c).alias(c) for c in ("fanbase_raw", "price", "cpm_src", "cpe_src")], *[_int(c).alias(c) for c in ("impression", "like_n", "collection", "comment_n", "ttl_engagement")])
-    return forward_fill(rows.where("name <> '' or post_link <> ''"), "campaign", SHEET, "excel_row")
+    return forward_fill(rows, "campaign", SHEET, "excel_row")
 
 
 def missing_headers(cells: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -165,9 +173,14 @@ def duplicate_identity(tracker: DataFrame) -> DataFrame:
 
 def digest(df: DataFrame, bad: Column, code: str, part: Sequence[str] = (), shown: int = 5) -> DataFrame:
     """The first offending rows and their number. The first ones are kept by a bounded sort per group."""
-    rows = df.where(bad)
-    total = rows.groupBy(*part).agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_set("excel_row")), 1, shown).alias("first_rows"))
-    return total.select(*part, F.lit(code).alias("code"), "total", "first_rows")
+    rows = df.where(bad).select(*part, "excel_row")
+    total = rows.groupBy(*part).agg(F.count("*").alias("total"))
+    place = F.row_number().over(W.partitionBy(*part).orderBy("excel_row"))
+    few = rows.distinct().withColumn("__place", place).where(F.col("__place") <= shown)
+    first = few.groupBy(*part).agg(F.array_sort(F.collect_list("excel_row")).alias("first_rows"))
+    if not part:
+        return total.where("total > 0").join(first, how="full_outer").select(F.lit(code).alias("code"), "total", "first_rows").where("total > 0")
+    return total.join(first, list(part)).select(*part, F.lit(code).alias("code"), "total", "first_rows")
 
 
 def export_checks(export: DataFrame) -> DataFrame:
