@@ -29,6 +29,8 @@ TEXT = {
 MISLABEL = "有 但是DMR博主名字标注错误"
 OUTSIDE = "（超出DMR导出窗口，预期缺失）"
 FUZZY_LEAST, FUZZY_CUTOFF = 4, 85.0
+#: Characters of a passage anchor, and what the code point of its first one is a multiple of.
+GRAM, EVERY = 12, 8
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -89,15 +91,40 @@ def _grams(c: Column) -> Column:
 def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
     """(l_id, r_id) where the left form is inside the right one; both are distinct forms. Blocked by the left form's rarest bigram."""
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
-    rg = rs.where(F.char_length("rf") >= 2).select("r_id", "rf", F.explode(_grams(F.col("rf"))).alias("g"))
+    rg = rs.where(F.char_length("rf") >= 2).select("r_id", F.explode(_grams(F.col("rf"))).alias("g"))
     counts = rg.groupBy("g").agg(F.count("*").alias("df"))
     lg = ls.where(F.char_length("lf") >= 2).select("l_id", "lf", F.explode(_grams(F.col("lf"))).alias("g")).join(counts, "g", "left")
     rarest = lg.groupBy("l_id", "lf").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-    long = rarest.join(rg, "g").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
+    long = rarest.join(rg, "g").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
     one = ls.where(F.char_length("lf") == 1).join(rs.select("r_id", "rf", F.explode(F.array_distinct(F.split("rf", ""))).alias("lf")), "lf").select("l_id", "r_id")
     return long.union(one)
 
 
+def _anchors(c: Column) -> Column:
+    """Hashes of the GRAM-grams whose first character's code point is a multiple of EVERY: a text inside another has its anchors among the other's."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    places = lambda x: F.filter(F.sequence(F.lit(1), F.size(x) - GRAM + 1), lambda i: F.ascii(F.get(x, i - 1)) % EVERY == 0)
+    hashes = lambda x: F.transform(places(x), lambda i: F.xxhash64(F.array_join(F.slice(x, i, GRAM), "")))
+    return F.array_distinct(F.get(F.transform(F.array(chars), hashes), F.lit(0)))
+
+
+def contained_passages(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
+    """(l_id, r_id) where the left form, a passage, is inside the right one, a long text.
+
+    Blocked by the passage's rarest anchor; postings hold ids and hashes, texts are joined to the survivors only.
+    Passages without an anchor go through the rarest bigram.
+    """
+    ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
+    posted = lambda df, key, c: df.where(F.char_length(c) >= GRAM).select(key, F.explode(_anchors(F.col(c))).alias("g"))
+    la = posted(ls, "l_id", "lf")
+    ra = posted(rs, "r_id", "rf").join(la.select("g").distinct(), "g", "left_semi")
+    counts = ra.groupBy("g").agg(F.count("*").alias("df"))
+    rarest = la.join(counts, "g", "left").groupBy("l_id").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+    found = rarest.join(ra, "g").join(ls, "l_id").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
+    rest = left.join(la.select("l_id").distinct(), "l_id", "left_anti").where(F.col(form) != "")
+    return found if rest.isEmpty() else found.union(_contained(rest, right, form))
+
+
 def name_hits(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF, least: int = FUZZY_LEAST, fuzzy: bool = True) -> DataFrame:
     """(l_id, r_id, method) for all pairs that a rung of the ladder links, the first rung of each.
 

@@ -95,4 +95,4 @@ def X5_name_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     form = lambda df, key, out: df.select(F.col(key).alias(out), norm(F.col("text"), True).alias("norm"))
     left, right = form(a.read(spark, sf_dir, "benchmark"), "item_id", "l_id"), form(a.read(spark, sf_dir, "documents"), "doc_id", "r_id")
-    return m._contained(left, right, "norm").select(F.col("l_id").alias("item_id"), F.col("r_id").alias("doc_id"))
+    return m.contained_passages(left, right, "norm").select(F.col("l_id").alias("item_id"), F.col("r_id").alias("doc_id"))

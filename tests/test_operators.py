@@ -257,3 +257,14 @@ def test_payload_fields_in_any_nesting(spark):
     got = {r["k"]: r for r in links.extract_note_fields(df, "json").collect()}
     assert (got[1]["note_id"], got[1]["author_id"], got[1]["likes"]) == (f"{N}a001", "u9", 15000)
     assert all(got[k]["note_id"] == got[k]["author_id"] == got[k]["title"] == "" and got[k]["likes"] is None for k in (2, 3, 4))
+
+
+def test_passages_are_found_wherever_they_are(spark, monkeypatch):
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("abcdé漢") for _ in range(n))
+    docs = [(i, text(draw.randint(0, 400))) for i in range(60)] + [(900, None), (901, "")]
+    picks = [draw.choice([t for _, t in docs[:60] if len(t) > 60]) for _ in range(40)]
+    needles = [(i, t[(at := draw.randint(0, len(t) - 50)) : at + draw.randint(1, 50)]) for i, t in enumerate(picks)] + [(100, text(30)), (101, None), (102, "")]
+    make = lambda rows, key: spark.createDataFrame(rows, f"{key} int, norm string")
+    got = sorted((r["l_id"], r["r_id"]) for r in match.contained_passages(make(needles, "l_id"), make(docs, "r_id"), "norm").collect())
+    assert got == sorted((a, b) for a, x in needles for b, y in docs if x and y and x in y)
