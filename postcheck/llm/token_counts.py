@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MEMO_SIZE, SHIFT, RankQueue, Splitter, basic_plane, merge
+from .bpe import SHIFT, RankQueue, Splitter, basic_plane, merge
 from .common import Memo, held, map_rows, texts
 
 #: Bytes up to which a pre-token's pairs are scanned for the least rank; longer ones go through the rank queue.
 SCANNED = 64
+#: Entries of each of the memo's two generations.
+MEMO_SIZE = 150_000
 #: No merge: above every rank.
 _NONE = 1 << 30
 
