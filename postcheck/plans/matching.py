@@ -21,9 +21,10 @@ _VERDICTS = (
     pairs AS (SELECT b.excel_row, b.name, b.author_id, b.post_date AS t_date, e.post_id, e.username, e.blogger, e.excel_row AS e_row, e.post_date AS e_date,
         coalesce(abs(date_diff('day', b.post_date, e.post_date)) <= 7, true) AS near FROM b JOIN export e ON contains(e.blogger, b.name) WHERE b.m_post IS NULL),
     h AS (SELECT excel_row, count(*) AS hits, count(*) FILTER (WHERE near) AS n_near, bool_or(length(name) >= 4 AND username <> '' AND username <> author_id) AS foreign_hit, bool_or(username = author_id) AS own_hit,
-        bool_or(length(name) >= 4) AS strong, arg_min(post_id, (abs(date_diff('day', t_date, e_date)), e_row)) FILTER (WHERE near) AS best FROM pairs GROUP BY excel_row),
+        bool_or(length(name) >= 4) AS strong, arg_min(post_id, (abs(date_diff('day', t_date, e_date)), e_row)) FILTER (WHERE near) AS best,
+        arg_min(blogger || ' ' || post_id || ' Δ=' || date_diff('day', t_date, e_date) || '天', (abs(date_diff('day', t_date, e_date)), e_row)) FILTER (WHERE near) AS best_text FROM pairs GROUP BY excel_row),
     users AS (SELECT DISTINCT username FROM export),
-    v AS (SELECT b.*, h.hits, h.n_near, h.best, CASE
+    v AS (SELECT b.*, h.hits, h.n_near, h.best, h.best_text, CASE
         WHEN m_post IS NOT NULL THEN 'MATCH'
         WHEN ok AND u.username IS NOT NULL AND coalesce(foreign_hit AND NOT own_hit, false) THEN 'REVIEW'
         WHEN ok AND u.username IS NOT NULL THEN 'NO_POST'
@@ -34,7 +35,10 @@ _VERDICTS = (
         WHEN ok AND u.username IS NOT NULL AND coalesce(foreign_hit AND NOT own_hit, false) THEN '2:author-id+name-conflict'
         WHEN ok AND author_id <> '' AND u.username IS NULL AND coalesce(strong, false) THEN '2:author-id+name-conflict'
         WHEN ok AND author_id <> '' THEN CASE WHEN via THEN '2:author-id-sibling' ELSE '2:author-id' END
-        WHEN ok THEN '1:resolved-no-author' ELSE '3:name-heuristic' END AS tier,
+        WHEN ok THEN '1:resolved-no-author' ELSE '3:name-heuristic' END AS tier, CASE
+        WHEN m_post IS NOT NULL OR NOT ok THEN ''
+        WHEN u.username IS NOT NULL THEN CASE WHEN coalesce(foreign_hit AND NOT own_hit, false) THEN 'foreign-name' ELSE '' END
+        WHEN author_id <> '' THEN CASE WHEN coalesce(strong, false) THEN 'same-name' ELSE '' END ELSE 'no-author' END AS review_reason,
         coalesce(m_post IS NOT NULL AND NOT contains(m_blogger, name), false) AS name_mislabel,
         coalesce(NOT (b.post_date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'), false) AS out_of_window
         FROM b LEFT JOIN h USING (excel_row) LEFT JOIN users u ON u.username = b.author_id)"""
@@ -56,12 +60,17 @@ def W3_F5_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("excel_row", F.size("candidates").cast("long").alias("n_candidates"), F.get("candidates", F.lit(0))["post_id"].alias("best"))
 
 
-@query(_VERDICTS + f""" SELECT excel_row, CASE status WHEN 'MATCH' THEN CASE WHEN name_mislabel THEN '{m.MISLABEL}' ELSE '' END
+TEXTS = f"""CASE status WHEN 'MATCH' THEN CASE WHEN name_mislabel THEN '{m.MISLABEL}' ELSE '' END
     WHEN 'NO_BLOGGER' THEN '{m.TEXT['NO_BLOGGER']}' || CASE WHEN out_of_window THEN '{m.OUTSIDE}' ELSE '' END
-    WHEN 'NO_POST' THEN '{m.TEXT['NO_POST']}' || CASE WHEN out_of_window THEN '{m.OUTSIDE}' ELSE '' END END AS annotation FROM v WHERE status IN ('MATCH', 'NO_BLOGGER', 'NO_POST')""")
+    WHEN 'NO_POST' THEN '{m.TEXT['NO_POST']}' || CASE WHEN out_of_window THEN '{m.OUTSIDE}' ELSE '' END
+    WHEN 'LINK_ERROR' THEN '{m.TEXT['LINK_ERROR']}' || coalesce('（同名候选: ' || best_text || '）', '（无同名候选）')
+    ELSE '{m.TEXT['REVIEW']}' || CASE WHEN review_reason <> '' THEN '（' || review_reason || '）' ELSE '' END END"""
+
+
+@query(_VERDICTS + f" SELECT excel_row, {TEXTS} AS annotation FROM v")
 def P30_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdicts(spark, sf_dir)
-    return v.where("status in ('MATCH', 'NO_BLOGGER', 'NO_POST')").select("excel_row", m.annotation(v).alias("annotation"))
+    return v.select("excel_row", m.annotation(v).alias("annotation"))
 
 
 @query(_VERDICTS + " SELECT status, count(*) AS n FROM v GROUP BY status UNION ALL SELECT 'MATCH_name_mislabel', count(*) FROM v WHERE name_mislabel HAVING count(*) > 0")

@@ -10,7 +10,7 @@ from ..operators import adjudicate, evaluate, links, manifest, match, output, re
 from ..sources import adapters as a
 from ..sources import bind
 from ..streaming import jobs
-from .matching import _VERDICTS, verdicts
+from .matching import _VERDICTS, TEXTS, verdicts
 from .registry import query
 
 AS_OF = "2026-08-01"
@@ -151,9 +151,10 @@ def Q1_W5_F8_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudicate.questions(verdicts(spark, sf_dir)).select("row", "question", "batch")
 
 
-@query(_VERDICTS + """ SELECT 'Run summary: ' || string_agg(status || '=' || n, ', ' ORDER BY status) AS en FROM (SELECT status, count(*) AS n FROM v GROUP BY status)""")
+@query(_VERDICTS + """, c AS (SELECT status, count(*) AS n FROM v GROUP BY status UNION ALL SELECT 'MATCH_name_mislabel', count(*) FROM v WHERE name_mislabel HAVING count(*) > 0),
+    t AS (SELECT string_agg(status || '=' || n, ', ' ORDER BY status) AS line FROM c) SELECT 'Run summary: ' || line AS en, '运行摘要: ' || line AS zh FROM t""")
 def Q3_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjudicate.summary_text(match.status_counts(verdicts(spark, sf_dir)).where("status <> 'MATCH_name_mislabel'")).select("en")
+    return adjudicate.summary_text(match.status_counts(verdicts(spark, sf_dir)))
 
 
 _MEMBERS = _VERDICTS + ", " + a.SQL["micro"] + ", " + a.SQL["macro"] + """, w AS (SELECT v.*, (i.redbook_id IS NOT NULL) AS in_i, (c.redbook_id IS NOT NULL) AS in_a FROM v LEFT JOIN micro i ON v.author_id = i.redbook_id LEFT JOIN macro c ON v.author_id = c.redbook_id),
@@ -196,18 +197,17 @@ def X12_X13_needs_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.needs_author(links.attach_resolutions(a.tracker(spark, sf_dir), a.resolutions(spark, sf_dir)), a.export(spark, sf_dir)).select("excel_row", "note_id")
 
 
-_TEXTS = f"""CASE status WHEN 'MATCH' THEN CASE WHEN name_mislabel THEN '{match.MISLABEL}' ELSE '' END WHEN 'NO_BLOGGER' THEN '无博主' || CASE WHEN out_of_window THEN '{match.OUTSIDE}' ELSE '' END WHEN 'NO_POST' THEN '无帖子' || CASE WHEN out_of_window THEN '{match.OUTSIDE}' ELSE '' END END"""
-_ANNOTATED = _VERDICTS + f", n AS (SELECT *, {_TEXTS} AS annotation, CASE WHEN excel_row % 9 = 0 THEN '无帖子' ELSE '' END AS existing FROM v WHERE status IN ('MATCH', 'NO_BLOGGER', 'NO_POST'))"
+_ANNOTATED = _VERDICTS + f", n AS (SELECT *, {TEXTS} AS annotation, CASE WHEN excel_row % 9 = 0 THEN '无帖子' ELSE '' END AS existing FROM v)"
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = verdicts(spark, sf_dir).where("status in ('MATCH', 'NO_BLOGGER', 'NO_POST')")
+    v = verdicts(spark, sf_dir)
     return v.withColumn("annotation", match.annotation(v)).withColumn("existing", F.when(F.col("excel_row") % 9 == 0, "无帖子").otherwise(""))
 
 
 @query(_ANNOTATED + f""" SELECT excel_row, CASE WHEN excel_row % 50 = 0 THEN '无博主' WHEN excel_row % 50 = 1 THEN '' WHEN existing <> '' THEN existing ELSE annotation END AS annotation_out,
     status || CASE WHEN excel_row % 50 IN (0, 1) THEN ' (override)' || CASE WHEN existing <> '' THEN ' (source S ''' || existing || ''' replaced by override)' ELSE '' END
-        WHEN existing = '' THEN '' WHEN existing = annotation THEN ' (S kept from source)' ELSE ' (S kept from source; pipeline verdict was ' || CASE WHEN annotation = '' THEN '(blank=matched)' ELSE annotation END || ')' END AS status_out FROM n""")
+        WHEN existing = '' THEN '' WHEN existing = trim(annotation) THEN ' (S kept from source)' ELSE ' (S kept from source; pipeline verdict was ' || CASE WHEN annotation = '' THEN '(blank=matched)' ELSE annotation END || ')' END AS status_out FROM n""")
 def K1_X14_W7_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = a.tracker(spark, sf_dir).where("excel_row % 50 in (0, 1)").select("excel_row", F.explode(F.array(F.struct(F.lit("old").alias("status"), F.lit(1).alias("updated_at")), F.struct(F.when(F.col("excel_row") % 50 == 0, "无博主").otherwise(output.CLEARED).alias("status"), F.lit(2).alias("updated_at")))).alias("o")).select("excel_row", "o.*")
     return output.annotate(_annotated(spark, sf_dir), over).select("excel_row", "annotation_out", "status_out")
@@ -231,8 +231,9 @@ def F11_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.result_view(verdicts(spark, sf_dir), text="#1997", attention=True).select("excel_row", "status")
 
 
-_LABELS = _ANNOTATED + f""", l AS (SELECT campaign, no, name, tier, CASE WHEN excel_row % 20 = 0 THEN '无帖子' ELSE annotation END AS lab, annotation FROM n),
-    k AS (SELECT campaign, no, name, tier, CASE WHEN lab = '' THEN 'MATCH' WHEN lab LIKE '无博主%' THEN '无博主' WHEN lab LIKE '无帖子%' THEN '无帖子' ELSE lab END AS want, CASE WHEN annotation = '' THEN 'MATCH' WHEN annotation LIKE '无博主%' THEN '无博主' WHEN annotation LIKE '无帖子%' THEN '无帖子' ELSE annotation END AS got FROM l)"""
+_CLASS = "CASE WHEN {0} = '' THEN 'MATCH' WHEN {0} LIKE '无博主%' THEN '无博主' WHEN {0} LIKE '无帖子%' THEN '无帖子' WHEN {0} LIKE '人工%' THEN '人工复核' WHEN {0} LIKE 'Check%' THEN 'Check链接错误' ELSE {0} END"
+_LABELS = _ANNOTATED + f""", l AS (SELECT campaign, no, name, tier, post_date, CASE WHEN excel_row % 20 = 0 THEN '无帖子' ELSE annotation END AS lab, annotation FROM n),
+    k AS (SELECT campaign, no, name, tier, post_date, {_CLASS.format("lab")} AS want, {_CLASS.format("annotation")} AS got FROM l)"""
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +248,9 @@ def A27_X16_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(_compared(spark, sf_dir))
 
 
-@query(_LABELS + """, z AS (SELECT k.want, k.got, k.want <> k.got AND EXISTS (SELECT 1 FROM n q WHERE q.excel_row % 40 = 0 AND q.name = n.name AND q.post_date = n.post_date) AS excused FROM k JOIN n USING (campaign, no))
-    SELECT count(*) AS total, count(*) FILTER (WHERE want = got) AS agree, count(*) FILTER (WHERE excused) AS excused, count(*) FILTER (WHERE want <> got AND NOT excused) AS id_proven, CAST(0 AS BIGINT) AS unexplained, count(*) FILTER (WHERE want = got OR excused) >= count(*) - 2 AS accepted FROM z""")
+@query(_LABELS + """, z AS (SELECT want, got, tier, want <> got AND EXISTS (SELECT 1 FROM n q WHERE q.excel_row % 40 = 0 AND q.name = k.name AND q.post_date = k.post_date) AS excused FROM k)
+    SELECT count(*) AS total, count(*) FILTER (WHERE want = got) AS agree, count(*) FILTER (WHERE excused) AS excused, count(*) FILTER (WHERE want <> got AND NOT excused AND tier NOT LIKE '3:%') AS id_proven,
+        count(*) FILTER (WHERE want <> got AND NOT excused AND tier LIKE '3:%') AS unexplained, count(*) FILTER (WHERE want = got OR excused) >= count(*) - 2 AS accepted FROM z""")
 def A28_X17_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.acceptance(_compared(spark, sf_dir))
 
