@@ -88,6 +88,41 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(chars), pairs), F.lit(0)))
 
 
+def _occurrences(c: Column) -> Column:
+    """All bigrams, repeats included."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.get(F.transform(F.array(chars), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))), F.lit(0))
+
+
+def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """(l_id, r_id) of forms lf and rf whose partial ratio reaches the cutoff.
+
+    With t = 1 - cutoff / 100 a part of the longer form at the cutoff leaves out at most 2t / (1 + t) of the m characters of
+    the shorter one, so it breaks at most twice as many of its m - 1 bigrams. One bigram more than that, the rarest
+    ones, are the shorter form's keys, and the longer form must hold all its distinct bigrams but the broken ones. Either
+    side may be the shorter; forms of equal length are keyed from both. Only what passes both tests is compared.
+    """
+    t = 1 - cutoff / 100
+    broken = lambda m: F.floor(4 * t / (1 + t) * m + 1e-9)
+    l, r = (df.withColumn("o", _occurrences(F.col(f))).withColumn("s", F.array_distinct("o")).withColumn("m", F.char_length(f)) for df, f in ((left, "lf"), (right, "rf")))
+    posted = [df.select(key, F.explode("s").alias("g")) for df, key in ((l, "l_id"), (r, "r_id"))]
+    often = posted[0].select("g").unionAll(posted[1].select("g")).groupBy("g").agg(F.count("*").alias("df"))
+
+    def keys(df: DataFrame, key: str) -> DataFrame:
+        each = df.select(key, "m", F.explode("o").alias("g")).join(often, "g")
+        rarest = each.groupBy(key, "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("l"))
+        return rarest.select(key, F.explode(F.array_distinct(F.transform(F.slice("l", F.lit(1), (broken(F.col("m")) + 1).cast("int")), lambda x: x["g"]))).alias("g"))
+
+    pairs = keys(l, "l_id").join(posted[1], "g").select("l_id", "r_id", F.lit(True).alias("from_left"))
+    pairs = pairs.unionAll(posted[0].join(keys(r, "r_id"), "g").select("l_id", "r_id", F.lit(False).alias("from_left"))).distinct()
+    texts = lambda df, key, f, p: df.select(key, f, F.col("s").alias(f"{p}s"), F.col("m").alias(f"{p}m"))
+    full = pairs.join(texts(l, "l_id", "lf", "l"), "l_id").join(texts(r, "r_id", "rf", "r"), "r_id")
+    shared = F.size(F.array_intersect("ls", "rs"))
+    enough = F.when(F.col("from_left"), (F.col("lm") <= F.col("rm")) & (shared >= F.size("ls") - broken(F.col("lm")))).otherwise((F.col("rm") <= F.col("lm")) & (shared >= F.size("rs") - broken(F.col("rm"))))
+    found = full.where(enough).select("l_id", "r_id", "lf", "rf").distinct()
+    return found.where(_ratio("lf", "rf") >= cutoff).select("l_id", "r_id")
+
+
 def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
     """(l_id, r_id) where the left form is inside the right one; both are distinct forms. Blocked by the left form's rarest bigram."""
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
@@ -129,7 +164,7 @@ def name_hits(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF, l
     """(l_id, r_id, method) for all pairs that a rung of the ladder links, the first rung of each.
 
     left and right have l_id / r_id and the forms norm, cjk, ascii (left also pinyin, if it has any). Rungs: cjk, norm,
-    ascii-fuzzy, pinyin-bridge. Sharing a bigram is lossless for cutoff 85 with four characters or more.
+    ascii-fuzzy, pinyin-bridge. Blocking by bigrams is lossless for cutoff 85 with four characters or more.
     """
     if fuzzy and (cutoff < 85 or least < 4):
         raise ValueError("bigram blocking is lossless only from cutoff 85 and four characters on")
@@ -140,11 +175,8 @@ def name_hits(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF, l
         for rung, form in ((3, "ascii"), (4, "pinyin")):
             if form not in left.columns:
                 continue
-            a = left.where(F.char_length(form) >= least).select("l_id", F.col(form).alias("lf"), F.explode(_grams(F.col(form))).alias("g"))
-            b = right.where(F.char_length("ascii") >= least).select("r_id", F.col("ascii").alias("rf"), F.explode(_grams(F.col("ascii"))).alias("g"))
-            # At the cutoff the texts share at least a bigram and 0.74 of the shorter's characters.
-            pairs = a.join(b, "g").select("l_id", "r_id", "lf", "rf").distinct().join(best.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
-            close = pairs.where(_ratio("lf", "rf") >= cutoff).select("l_id", "r_id", F.lit(rung).alias("rung"))
+            forms = [df.where(F.char_length(f) >= least).select(key, F.col(f).alias(out)) for df, key, f, out in ((left, "l_id", form, "lf"), (right, "r_id", "ascii", "rf"))]
+            close = _close_pairs(*forms, cutoff).join(best.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti").withColumn("rung", F.lit(rung))
             best = best.union(close)
     method = F.element_at(F.array(F.lit("cjk-substring"), F.lit("norm-substring"), F.lit("ascii-fuzzy"), F.lit("pinyin-bridge")), F.col("rung"))
     return best.select("l_id", "r_id", method.alias("method"))
@@ -171,8 +203,8 @@ def _ranked(candidates: Column) -> Column:
     return F.transform(F.array_sort(candidates), lambda c: c["value"])
 
 
-def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, window: tuple | None = None, days: int = 7, ascii_only: bool = False, fuzzy: bool = True) -> DataFrame:
-    """One verdict for each tracker row.
+def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, window: tuple | None = None, days: int = 7, ascii_only: bool = False, fuzzy: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
+    """One verdict for each tracker row. A lexicon (char, syllable) adds the rung that reads Chinese names aloud.
 
     tracker: excel_row, campaign, no, name, post_date, post_link; export: excel_row, post_id, username, blogger, post_date.
     Result: the tracker's columns, note_id, author_id, status, tier, matched (post), name_mislabel, out_of_window,
@@ -199,6 +231,8 @@ def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, win
     # The scan: distinct names of rows that need candidates against distinct blogger names.
     need = t.where(F.col("m_post").isNull())
     left = need.select(F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct().withColumn("l_id", F.concat_ws("\x01", "norm", "cjk", "ascii"))
+    if lexicon is not None:
+        left = forms.transliterate(left, "cjk", lexicon, "pinyin")
     right = e.select(F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct().withColumn("r_id", F.concat_ws("\x01", "norm", "cjk", "ascii"))
     hits = name_hits(left, right, fuzzy=fuzzy)
     key = F.concat_ws("\x01", "__norm", "__cjk", "__ascii")
@@ -302,10 +336,10 @@ def buckets(verdicts: DataFrame) -> DataFrame:
 
 
 def reverse_audit(verdicts: DataFrame, export: DataFrame) -> DataFrame:
-    """Export rows of resolved authors that no tracker row matched, within a day of the tracker's dates; rows without a date stay."""
+    """Export rows of resolved authors that no tracker row matched, within a day of the tracker's dates; rows without a date stay. By blogger and date, undated first."""
     authors = verdicts.where("author_id <> ''").select(F.col("author_id").alias("__a")).distinct()
     matched = verdicts.where("matched is not null").select(F.col("matched.m_post").alias("__p")).distinct()
     bounds = verdicts.agg(F.date_sub(F.min("post_date"), 1).alias("__lo"), F.date_add(F.max("post_date"), 1).alias("__hi"))
     inside = F.coalesce(F.col("post_date").cast("date").between(F.col("__lo"), F.col("__hi")), F.lit(True))
     rows = export.where("username <> ''").join(authors, F.col("username") == F.col("__a"), "left_semi").join(matched, F.col("post_id") == F.col("__p"), "left_anti")
-    return rows.crossJoin(F.broadcast(bounds)).where(inside).select(*[f"`{c}`" for c in export.columns])
+    return rows.crossJoin(F.broadcast(bounds)).where(inside).select(*[f"`{c}`" for c in export.columns]).orderBy("blogger", F.asc_nulls_first("post_date"))

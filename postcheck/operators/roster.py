@@ -32,7 +32,7 @@ def membership_text(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in MEMBERSHIP.items() for x in pair]), c)
 
 
-def name_evidence(verdicts: DataFrame, roster: DataFrame, label: str = "", ascii_only: bool = False, fuzzy: bool = True) -> DataFrame:
+def name_evidence(verdicts: DataFrame, roster: DataFrame, label: str = "", ascii_only: bool = False, fuzzy: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
     """(excel_row, hits, note, lines) for rows that a roster may hold under another id, and for dead links.
 
     Chinese forms are tested against namebis only, normal forms against both names. One hit names a near miss or an
@@ -42,6 +42,8 @@ def name_evidence(verdicts: DataFrame, roster: DataFrame, label: str = "", ascii
     t = forms.add_forms(wanted, "name", "__", ascii_only)
     key = F.concat_ws("\x01", "__norm", "__cjk", "__ascii")
     left = t.select(key.alias("l_id"), F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct()
+    if lexicon is not None:
+        left = forms.transliterate(left, "cjk", lexicon, "pinyin")
     names = forms.add_forms(roster, "name", "n_", ascii_only)
     if "namebis" in roster.columns:
         names = forms.add_forms(names, "namebis", "b_", ascii_only)

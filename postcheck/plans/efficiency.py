@@ -171,3 +171,18 @@ def R7_agency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT false AS blocked")
 def R9_is_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.is_blocked(e.findings(posts(spark, sf_dir)))
+
+
+_PUBLISHED = " UNION ALL ".join(f"SELECT '{c}', coop, {_ORDER}, {c} FROM d" for c in ("avg_price", "cpm_pooled", "cpe_pooled"))
+
+
+@query(_GROUPS + ", d AS (SELECT t AS tier, c AS coop, avg_price, cpm_pooled, cpe_pooled FROM (VALUES ('TOP'), ('MID'), ('BOT'), ('KOC')) x(t), (VALUES ('SOFT'), ('PAID')) y(c) LEFT JOIN g ON t = tier AND c = coop), s(chart, series, position, value) AS (" + _PUBLISHED + """)
+    SELECT chart, series, CAST(position AS BIGINT) AS position, round(value, 3) AS computed, CASE WHEN chart = 'avg_price' THEN round(value + 1, 3) ELSE -1 END AS published, CASE WHEN chart = 'avg_price' THEN 'value differs' ELSE 'series missing' END AS problem
+    FROM s WHERE (chart = 'avg_price' AND position = 2 AND value IS NOT NULL) OR (chart = 'cpm_pooled' AND series = 'PAID')""")
+def R8_series_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published prices of one tier are off by one and one CPM series is not published; all else agrees."""
+    p = posts(spark, sf_dir)
+    computed = e.published_series(e.group_metrics(p), e.totals(p), e.agency_metrics(p))
+    shown = computed.where("NOT (chart = 'cpm_pooled' AND series = 'PAID')").withColumn("value", F.col("value") + F.when((F.col("chart") == "avg_price") & (F.col("position") == 2), 1.0).otherwise(0.0))
+    out = e.series_differences(computed, shown)
+    return out.withColumn("computed", F.round("computed", 3)).withColumn("published", F.coalesce(F.round("published", 3), F.lit(-1.0)))

@@ -117,3 +117,84 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = base.select("workbook").distinct().select("workbook", F.explode(head).alias("c")).select("workbook", "c.row", "c.col", "c.v_str", F.lit(None).cast("double").alias("v_num"))
     every = body.select("workbook", "row", "col", "v_str", "v_num").unionByName(heads)
     return every.select("workbook", F.lit("S1").alias("sheet"), F.lit(1).alias("sheet_no"), "row", "col", "v_str", "v_num", F.lit(None).cast("timestamp").alias("v_ts"), F.lit(None).cast("string").alias("link"))
+
+
+def sheet(base: DataFrame, workbook: str, name: str, number: int, header_row: int, row: str, columns: list[tuple[str, str, str]], note: str = "") -> DataFrame:
+    """Cells of one sheet in each workbook: headers in header_row, one row for each row of base, a note in the first cell.
+
+    columns: header, formula, and how the value is held (str, num, ts, or link: the text of str and a hyperlink). Columns count from 1; a header
+    that starts with = is a formula itself, null where the workbook lacks the column.
+    """
+    empty = {"v_str": F.lit(None).cast("string"), "v_num": F.lit(None).cast("double"), "v_ts": F.lit(None).cast("timestamp"), "link": F.lit(None).cast("string")}
+
+    def cell(col: int, formula: str, kind: str):
+        text, _, target = formula.partition(" ; ")
+        given = {"num": {"v_num": F.expr(text).cast("double")}, "ts": {"v_ts": F.expr(text).cast("timestamp")}}.get(kind, {"v_str": F.expr(text).cast("string")})
+        given |= {"link": F.expr(target).cast("string")} if kind == "link" else {}
+        return F.struct(F.lit(col).alias("col"), *[(empty | given)[n].alias(n) for n in empty])
+
+    at = base.withColumn("__workbook", F.expr(workbook))
+    body = at.select(F.col("__workbook").alias("workbook"), F.expr(row).cast("int").alias("row"), F.explode(F.array(*[cell(i, f, k) for i, (_, f, k) in enumerate(columns, 1)])).alias("c"))
+    titles = [(header_row, cell(i, h[1:] if h.startswith("=") else f"'{h}'", "str")) for i, (h, _, _) in enumerate(columns, 1)] + ([(1, cell(1, f"'{note}'", "str"))] if note else [])
+    top = at.select(F.col("__workbook").alias("workbook")).distinct().select("workbook", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), c.alias("c")) for r, c in titles])).alias("t"))
+    heads = top.select("workbook", "t.row", "t.c")
+    return body.unionByName(heads).select("workbook", F.lit(name).alias("sheet"), F.lit(number).alias("sheet_no"), "row", "c.*")
+
+
+def export_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five export workbooks over the orders: a sheet that lacks a header, the export, and another export behind it."""
+    o = read(spark, sf_dir, "orders")
+    book, hyper = "'w' || CAST(o_orderkey % 5 AS STRING)", "CASE WHEN o_orderkey % 3 = 0 THEN 'http://h.co/' || CAST(o_orderkey AS STRING) END"
+    weighted = "=CASE CAST(substr(workbook, 2) AS INT) % 3 WHEN 0 THEN 'Weighted Eng.' WHEN 1 THEN 'WEIGHTED ENG' ELSE 'weighted engagement' END"
+    columns = [
+        ("BLOGGER", "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'k' || CAST(o_custkey AS STRING) || 'z' END", "str"),
+        ("USERNAME", "CAST(o_custkey AS STRING)", "str"),
+        ("POST ID", "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE lpad(hex(o_orderkey), 24, '0') END", "str"),
+        ("POST DATE", "o_orderdate", "ts"),
+        ("LIKES_RETWEET", "o_orderkey % 1000", "num"),
+        ("SHARE_FAVORITES", "CASE WHEN o_orderkey % 2 = 0 THEN '1,234' ELSE 'n/a' END", "str"),
+        ("ENGAGEMENT", "o_totalprice", "num"),
+        ("COMMENTS", "CAST(o_orderkey % 7 AS STRING)", "str"),
+        ("LINK", "CASE WHEN o_orderkey % 2 = 0 THEN 'http://t.co/' || CAST(o_orderkey AS STRING) ELSE 'see note' END ; " + hyper, "link"),
+        (weighted, "o_totalprice", "num"),
+    ]
+    other = [("BLOGGER", "'other'", "str"), ("NOTE", "'x'", "str")]
+    return sheet(o, book, "Notes", 1, 1, "o_orderkey + 2", other).unionByName(sheet(o, book, "Data", 2, 3, "o_orderkey + 4", columns)).unionByName(sheet(o, book, "Old", 3, 1, "o_orderkey + 2", columns))
+
+
+def roster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three roster workbooks over the customers, with a market flag, with countries, with neither; the name's header occurs twice."""
+    c = read(spark, sf_dir, "customer")
+    columns = [
+        ("NAME", "'old'", "str"),
+        ("NAME BIS", "'b' || CAST(c_custkey AS STRING)", "str"),
+        ("DMR ID", "CAST(c_custkey + 7 AS STRING)", "str"),
+        ("=CASE WHEN workbook <> 'r2' THEN 'COUNTRY' END", "CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 4 < 2 THEN 'Mainland China' ELSE 'France' END", "str"),
+        ("=CASE WHEN workbook = 'r0' THEN 'IN_CHINA_REPORTS' END", "CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'NO' END END", "str"),
+        ("REDBOOK_ID", "'ID' || CAST(c_custkey AS STRING)", "str"),
+        ("REDBOOK_FOLLOWERS", "c_custkey % 1000", "num"),
+        ("name", "c_name", "str"),
+    ]
+    book = "'r' || CAST(c_custkey % 3 AS STRING)"
+    note = "Extracted 01/08/2026 10:00:00"
+    return sheet(c, book, "List Macro", 1, 3, "c_custkey + 4", columns, note).unionByName(sheet(c, book, "List Micro", 2, 3, "c_custkey + 4", columns, note))
+
+
+def efficiency_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four efficiency workbooks over the customers: the named sheet stands second in two, two have one sheet only, the last of which lacks the price."""
+    c = read(spark, sf_dir, "customer")
+    columns = [
+        ("NO", "CAST(c_custkey AS STRING)", "str"), ("CAMPAIGN", "CASE WHEN c_custkey % 8 < 4 THEN 'C' || CAST(c_custkey AS STRING) ELSE '' END", "str"), ("TYPE", "c_mktsegment", "str"), ("LEVEL", "'L' || CAST(c_nationkey AS STRING)", "str"),
+        ("NAME", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END", "str"), ("FANBASE (K)", "CAST(c_custkey % 300 AS STRING) || '.5'", "str"), ("POST DATE", "'2026/5/' || CAST(1 + c_custkey % 28 AS STRING)", "str"),
+        ("POST LINK", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'no link' END ; CASE WHEN c_custkey % 2 = 0 AND c_custkey % 9 <> 0 THEN 'http://x.co/' || CAST(c_custkey AS STRING) END", "link"),
+        ("IMPRESSION", "c_custkey * 10", "num"), ("LIKE", "'1,' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')", "str"), ("COLLECTION", "c_nationkey", "num"), ("COMMENT", "c_custkey % 5", "num"), ("TTL ENGAGEMENT", "c_custkey % 50", "num"),
+        ("=CASE WHEN workbook <> 'e3' THEN 'PRICE' ELSE 'COST' END", "c_acctbal", "num"), ("MCN", "'m' || CAST(c_nationkey AS STRING)", "str"), ("CPM", "c_acctbal / 4", "num"),
+    ]
+    book = "'e' || CAST(c_custkey % 4 AS STRING)"
+    two, one = c.where("c_custkey % 4 < 2"), c.where("c_custkey % 4 >= 2")
+    wrong = [("NO", "'1'", "str"), ("PRICE", "1", "num")]
+    parts = [sheet(two, book, "Cover", 1, 1, "c_custkey + 2", wrong), sheet(two, book, "MASTER KOL LIST", 2, 2, "c_custkey + 3", columns), sheet(one, book, "Data", 1, 2, "c_custkey + 3", columns), sheet(one, book, "Later", 2, 1, "c_custkey + 2", wrong)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

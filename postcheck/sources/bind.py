@@ -131,11 +131,16 @@ def bind_roster(cells: DataFrame, kind: str) -> DataFrame:
     return add_forms(add_forms(kept, "name", "n_"), "namebis", "b_")
 
 
-def bind_efficiency(cells: DataFrame, as_of: Column) -> DataFrame:
-    """Efficiency rows of the sheet MASTER KOL LIST, else of the first sheet; all headers are required."""
+def _efficiency_sheet(cells: DataFrame) -> DataFrame:
+    """Cells of the sheet MASTER KOL LIST, else of the first sheet."""
     named = header_key(F.col("sheet")) == "masterkollist"
     pick = cells.groupBy("workbook").agg(F.coalesce(F.min(F.when(named, F.col("sheet_no"))), F.min("sheet_no")).alias("sheet_no"))
-    usable = cells.join(pick, ["workbook", "sheet_no"])
+    return cells.join(pick, ["workbook", "sheet_no"])
+
+
+def bind_efficiency(cells: DataFrame, as_of: Column) -> DataFrame:
+    """Efficiency rows of the sheet MASTER KOL LIST, else of the first sheet; all headers are required."""
+    usable = _efficiency_sheet(cells)
     g = grid(usable, find_header(usable, tuple(EFFICIENCY.values())), EFFICIENCY | {"mcn": "mcn", "cpm_src": "cpm", "cpe_src": "cpe"}, _named)
     rows = g.select(*SHEET, "excel_row", *[_text(c).alias(c) for c in ("campaign", "no", "name", "type_raw", "level_raw", "mcn")], _date("post_date", as_of).alias("post_date"), _link("post_link").alias("post_link"),
                     *[_float(c).alias(c) for c in ("fanbase_raw", "price", "cpm_src", "cpe_src")], *[_int(c).alias(c) for c in ("impression", "like_n", "collection", "comment_n", "ttl_engagement")])
@@ -143,9 +148,11 @@ def bind_efficiency(cells: DataFrame, as_of: Column) -> DataFrame:
 
 
 def missing_headers(cells: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(workbook, missing): required headers that no row near the top has (rule V1)."""
-    top = cells.where(F.col("row") <= MAX_HEADER_ROW).groupBy("workbook").agg(F.collect_set(header_key(cell_text(F.col("v_str")))).alias("keys"))
-    return top.select("workbook", F.array_except(F.array(*[F.lit(k) for k in fields.values()]), "keys").alias("missing")).where(F.size("missing") > 0)
+    """(workbook, missing): required headers that no row near the top of the efficiency sheet has (rule V1); a workbook whose headers are spread over several rows lacks those outside its best row."""
+    need = F.array(*[F.lit(k) for k in fields.values()])
+    top = _efficiency_sheet(cells).where(F.col("row") <= MAX_HEADER_ROW).groupBy("workbook", "row").agg(F.collect_set(header_key(cell_text(F.col("v_str")))).alias("keys"))
+    lacking = F.array_except(need, "keys")
+    return top.groupBy("workbook").agg(F.min_by(lacking, F.struct(F.size(lacking), "row")).alias("missing")).where(F.size("missing") > 0)
 
 
 def above_header(cells: DataFrame, header: DataFrame) -> DataFrame:

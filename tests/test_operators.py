@@ -268,3 +268,76 @@ def test_passages_are_found_wherever_they_are(spark, monkeypatch):
     make = lambda rows, key: spark.createDataFrame(rows, f"{key} int, norm string")
     got = sorted((r["l_id"], r["r_id"]) for r in match.contained_passages(make(needles, "l_id"), make(docs, "r_id"), "norm").collect())
     assert got == sorted((a, b) for a, x in needles for b, y in docs if x and y and x in y)
+
+
+def _forms(spark, names, key):
+    return forms.add_forms(spark.createDataFrame([(x, x) for x in names], f"{key} string, name string"), "name", "").select(key, "norm", "cjk", "ascii")
+
+
+def test_fuzzy_blocking_loses_no_long_name(spark):
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+
+    def edited(s, n):
+        for _ in range(n):
+            i = draw.randrange(len(s))
+            s = draw.choice((s[:i] + s[i + 1 :], s[:i] + draw.choice("abxy") + s[i:], s[:i] + draw.choice("abxy") + s[i + 1 :]))
+        return s
+
+    base = [word(draw.randint(4, 24)) for _ in range(60)]
+    names = sorted({*base, "aaaaaaaa", "abababab"})
+    shown = sorted({*(edited(s, draw.randint(0, 4)) or "q" for s in base), *(word(6) + edited(s, 2) + word(3) for s in base[:30]), "aaaaaaa", "aaaabaaaa", "babababab"})
+    got = {(r["l_id"], r["r_id"]) for r in match.name_hits(_forms(spark, names, "l_id"), _forms(spark, shown, "r_id")).where("method = 'ascii-fuzzy'").collect()}
+    want = {(a, b) for a, b in itertools.product(names, shown) if a not in b and min(len(a), len(b)) >= 4 and match.partial_ratio(a, b) >= 85}
+    assert got == want and len(want) > 20
+
+
+def test_readings_of_chinese_names_rank_candidates(spark):
+    lexicon = spark.createDataFrame([("柚", "you"), ("茶", "cha")], "char string, syllable string")
+    left = forms.transliterate(_forms(spark, ["柚茶", "柚"], "l_id"), "cjk", lexicon, "pinyin")
+    assert {(r["l_id"], r["r_id"], r["method"]) for r in match.name_hits(left, _forms(spark, ["YouCha77", "tea"], "r_id")).collect()} == {("柚茶", "YouCha77", "pinyin-bridge")}
+    tracker = spark.createDataFrame([(2, "C", "1", "柚茶", dt.date(2026, 5, 1), "http://x/1")], "excel_row int, campaign string, no string, name string, post_date date, post_link string")
+    export = spark.createDataFrame([(9, "YouCha77", "u1", "p1", dt.datetime(2026, 5, 2))], "excel_row int, blogger string, username string, post_id string, post_date timestamp")
+    dead = spark.createDataFrame([("http://x/1", "failed", "", "")], "url string, status string, note_id string, author_id string")
+    row = match.reconcile(tracker, export, dead, lexicon=lexicon).first()
+    assert row["status"] == "LINK_ERROR" and [c["method"] for c in row["candidates"]] == ["pinyin-bridge"]
+    assert match.reconcile(tracker, export, dead).first()["candidates"] == []
+
+
+def test_reverse_audit_is_ordered(spark):
+    tracker, export, res = _fixture(spark)
+    rows = match.reverse_audit(match.reconcile(tracker, export, res), export).collect()
+    keys = [(r["blogger"], str(r["post_date"] or "")) for r in rows]
+    assert len(rows) > 1 and keys == sorted(keys)
+
+
+def test_series_differences(spark):
+    schema = "chart string, series string, position long, value double"
+    computed = spark.createDataFrame([("a", "x", 1, 1.0), ("a", "x", 2, None), ("a", "x", 3, 2.0), ("a", "x", 4, None), ("b", "y", 1, None)], schema)
+    shown = spark.createDataFrame([("a", "x", 1, 1.0 + 1e-7), ("a", "x", 2, None), ("a", "x", 3, None), ("a", "x", 4, 5.0), ("a", "x", 9, 5.0)], schema)
+    assert {(r["chart"], r["position"], r["problem"]) for r in efficiency.series_differences(computed, shown).collect()} == {("a", 3, "value differs"), ("a", 4, "value differs"), ("b", 1, "series missing")}
+    assert efficiency.series_differences(computed, computed).isEmpty() and efficiency.series_differences(computed.limit(0), shown).isEmpty()
+
+
+def test_openings_against_brute_force(spark, tmp_path):
+    from postcheck.plans import QUERIES
+
+    texts = ["Red maple leaf falls", "Red mapple leaf", "  Blue\nriver bend here", "blue river", "柚 茶 店", "x", "", None, "Blue riverr bend"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["name"], r["other"]): r["method"] for r in QUERIES["P8_P9_fuzzy_names"](spark, str(tmp_path)).collect()}
+    names = ["Red maple leaf", "Red mapple leaf", "Blue\nriver bend", "blue river", "柚 茶 店", "x", "Blue riverr bend"]
+    plain = {n: "".join(n.split()).casefold() for n in names}
+    want = {}
+    for a, b in itertools.permutations(names, 2):
+        if plain[a] in plain[b]:
+            want[a, b] = "norm-substring"
+        elif min(len(plain[a]), len(plain[b])) >= 4 and match.partial_ratio(plain[a], plain[b]) >= 85:
+            want[a, b] = "ascii-fuzzy"
+    assert got == want and "ascii-fuzzy" in want.values() and "norm-substring" in want.values()
+
+
+def test_missing_headers_looks_at_the_bound_sheet(spark):
+    rows = [("a", "Cover", 1, 1, i, h) for i, h in enumerate(bind.EFFICIENCY.values(), 1)] + [("a", "MASTER KOL LIST", 2, 1, 1, "NO"), ("a", "MASTER KOL LIST", 2, 3, 1, "NAME"), ("a", "MASTER KOL LIST", 2, 3, 2, "PRICE")]
+    cells = spark.createDataFrame([(*r, None, None, None) for r in rows], "workbook string, sheet string, sheet_no int, row int, col int, v_str string, v_num double, v_ts timestamp, link string")
+    found = bind.missing_headers(cells, bind.EFFICIENCY).collect()
+    assert len(found) == 1 and set(found[0]["missing"]) == set(bind.EFFICIENCY.values()) - {"name", "price"}
