@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Memo, held, map_rows, texts
 
 #: Entries of each of a memo's two generations; about 180 bytes each.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 150_000
 #: Two token ids below 2 to this power make one pair key.
 SHIFT = 24
 

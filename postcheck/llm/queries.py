@@ -8,10 +8,12 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash, mixing, secret_scan, token_counts, topk, toxicity, url_rules, vector_dedup
+from . import alignment, bpe, lexical, line_dedup, minhash, mixing, packing, secret_scan, token_counts, topk, toxicity, url_rules, vector_dedup
 
 RANKS = path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = path("byte_bpe_50k.json")
+PIECES = path("piece_bpe_32k.model")
+WORDS = path("word_bpe_49k.json")
 TOKEN_LIMIT = 512
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -81,9 +83,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), WORDS, capacity=4096, end_id=1)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), TOKENIZER, PIECES, groups=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_secret_scan, op3_mix, op4_toxicity, op5_top_k, op6_token_counts, op7_near_vectors, op8_near_duplicates, op9_url_rules, op10_line_dedup)
+    for f in (op1_bpe, op2_secret_scan, op3_mix, op4_toxicity, op5_top_k, op6_token_counts, op7_near_vectors, op8_near_duplicates, op9_url_rules, op10_line_dedup, op11_ranked_search, op12_packing, op13_alignment)
 }
 
 ORACLE_SQL = {
@@ -129,4 +143,28 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY doc_id
     """,
+    "op11_ranked_search": r"""
+        WITH t AS (
+            SELECT doc_id, row_number() OVER () AS doc, string_split_regex(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+        ), w AS (SELECT doc, doc_id, unnest(terms) AS term FROM t),
+        p AS (SELECT doc, doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+        d AS (SELECT doc, sum(tf) AS n FROM p GROUP BY doc),
+        c AS (SELECT count(*) AS total, sum(n) AS length FROM d),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (
+            SELECT DISTINCT item_id, unnest(string_split_regex(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE item_id IS NOT NULL
+        ), s AS (
+            SELECT q.item_id, p.doc, p.doc_id, CAST(sum(
+                       CAST(floor(1000 * ln(CAST(2 * c.total + 2 AS DOUBLE) / (2 * f.df + 1))) AS BIGINT)
+                       * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + CAST((50 * d.n * c.total) // c.length AS BIGINT))))) AS BIGINT) AS score
+            FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc) CROSS JOIN c GROUP BY q.item_id, p.doc, p.doc_id
+        ), r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
 }

@@ -27,7 +27,7 @@ MEMO_SIZE = 150_000
 _NONE = 1 << 30
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next code point from 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
@@ -54,10 +54,10 @@ class Counter:
 
     def __init__(self, raw: bytes, pattern: str, basic: str | None = None, whole: frozenset[bytes] | None = None) -> None:
         spec = json.loads(raw)
-        byte_of = _byte_of()
-        as_bytes = lambda s: bytes(byte_of[c] for c in s)
+        stand_in = byte_of()
+        as_bytes = lambda s: bytes(stand_in[c] for c in s)
         vocab = spec["model"]["vocab"]
-        self.ids = {as_bytes(s): i for s, i in vocab.items() if all(c in byte_of for c in s)}
+        self.ids = {as_bytes(s): i for s, i in vocab.items() if all(c in stand_in for c in s)}
         self.byte_id = [self.ids[bytes([b])] for b in range(256)]
         self.pair: dict[int, int] = {}
         self.product: list[int] = []
