@@ -5,9 +5,9 @@ token of one is linked to each of the other that shares a byte with it. Most gro
 the same bytes, so a fixed array maps each A id to the B id of its bytes: links that follow it are counted in vectors of
 the vocabulary's length, one for each task, and only the other pairs enter a shuffle.
 
-Neither tokenizer has a token across the place where white space follows something else; for the pattern of one that is
-plain, for the pieces of the other it is proven from the vocabulary, character by character. Texts are therefore cut
-there and each worker remembers the alignment of the segments in a bounded memo.
+Neither tokenizer has a token across the place where white space follows something else, or punctuation a letter or digit;
+for the pattern of one that is plain, for the pieces of the other it is proven from the vocabulary, character by
+character. Texts are therefore cut there and each worker remembers the alignment of the segments in a bounded memo.
 
 The pairs' counts are needed again with each document. The most frequent ones, at most HEAD, are broadcast; the others
 occur in few documents each, whatever the corpus, and are joined, so no key of that join is hot.
@@ -15,10 +15,12 @@ occur in few documents each, whatever the corpus, and are joined, so no key of t
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .common import Memo, held, make_importable, quoted, stored
 from .token_counts import byte_of
 
 #: Entries of each of the memo's two generations.
-MEMO_SIZE = 100_000
+MEMO_SIZE = 300_000
 #: Pairs whose counts are broadcast: 16 bytes each.
 HEAD = 1 << 19
 #: Two ids make one pair key.
@@ -50,59 +52,88 @@ class Aligner:
 
         self.a = Tokenizer.from_buffer(raw_a)
         self.a.encode_special_tokens = True
+        self.joined = Tokenizer.from_buffer(raw_a)
+        self.mark, self.between = next((i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=raw_b)
         self.a_bytes, self.b_bytes = bytes_of_a(raw_a), bytes_of_b(self.b)
         named = {}
         for i in reversed(range(len(self.b_bytes))):
             # Of two B ids with the same bytes, a plain piece goes before a single byte's stand-in.
-            if self.b_bytes[i] is not None and not (self.b.is_byte(i) and self.b_bytes[i] in named):
+            if not (self.b.is_byte(i) and self.b_bytes[i] in named):
                 named[self.b_bytes[i]] = i
         self.same = np.array([named.get(x, -1) for x in self.a_bytes], dtype=np.int64)
+        self.a_long, self.b_long = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
         self.space = self.b.piece_to_id(_SPACE_PIECE)
-        safe = cutting_spaces(self.b)
+        safe, marks = cutting_spaces(self.b), "".join(map(re.escape, sorted(cutting_marks(self.b))))
         self.odd = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x3001)) if c.isspace() and c not in safe) + "]").search
         self.cut = re.compile(rf"(?<=\S)(?=[{''.join(map(re.escape, sorted(safe)))}])").split
-        self.plain = re.compile(r"\s*\S+|\s+").findall
+        stop = rf"(?=[{marks}])|" if marks else ""
+        self.plain = re.compile(rf"\s*+(?:[{_LATIN}]++(?:{stop}\S*)|\S+)|\s+").findall
         self.memo = Memo(self.aligned, MEMO_SIZE)
 
     def segments(self, text: str) -> list[str]:
         """Parts of a text that starts with a space which both tokenizers encode by themselves."""
         return self.plain(text) if self.odd(text) is None else self.cut(text)
 
-    def b_ids(self, segment: str) -> list[int]:
-        """B's ids of a segment inside a text. The library puts a space before what it encodes: the segment's own, or one that is taken off again."""
-        if segment == " ":
-            return [self.space]
-        return self.b.encode(segment[1:]) if segment[0] == " " else self.b.encode(segment)[1:]
+    def b_ids(self, segments: list[str]) -> list[list[int]]:
+        """B's ids of segments inside a text. The library puts a space before what it encodes: the segment's own, or one that is taken off again where it can be told apart."""
+        out = self.b.encode([x[1:] if x[0] == " " else x if x[0].isspace() else "\n" + x for x in segments], num_threads=1)
+        return [[self.space] if x == " " else ids if x[0] == " " else ids[1 if x[0].isspace() else 2 :] for x, ids in zip(segments, out)]
 
     def aligned(self, segment: str) -> tuple[str, bytes, int, int] | None:
+        return self.matched(segment, self.a.encode(segment, add_special_tokens=False).ids, self.b_ids([segment])[0])
+
+    def learn(self, segments: list[str]) -> None:
+        """Segments into the memo, many at once: A encodes them with a special token between, which ends what it splits."""
+        plain = [x for x in segments if self.between not in x]
+        for at in range(0, len(plain), 128):
+            part = plain[at : at + 128]
+            ids, begin = self.joined.encode(self.between.join(part), add_special_tokens=False).ids, 0
+            ids.append(self.mark)
+            for segment, b in zip(part, self.b_ids(part)):
+                end = ids.index(self.mark, begin)
+                self.memo.put(segment, self.matched(segment, ids[begin:end], b))
+                begin = end + 1
+
+    def parts(self, text: str) -> list[tuple[str, bytes, int, int] | None]:
+        """The alignments of a text's segments."""
+        segments = self.segments(" " + text)
+        if unknown := self.memo.unknown(segments):
+            self.learn(unknown)
+        return list(map(self.memo.__getitem__, segments))
+
+    def matched(self, segment: str, a: list[int], b: list[int]) -> tuple[str, bytes, int, int] | None:
         """Groups as text, the links' keys, and both numbers of tokens; None where a side's bytes are not the segment's."""
-        a, b = self.a.encode(segment, add_special_tokens=False).ids, self.b_ids(segment)
         raw = segment.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or any(self.b_bytes[i] is None for i in b) or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        if len(a) == len(b) == 1:
-            return f"{a[0]}|{b[0]}", (a[0] << SHIFT | b[0]).to_bytes(8, "little"), 1, 1
-        i = j = first_i = first_j = 0
-        end_i, end_j = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        groups, links = [], []
+        a_long, b_long, a_text, b_text = self.a_long, self.b_long, self.a_text, self.b_text
+        i = j = 0
+        x, y = a[0], b[0]
+        left, right, end_i, end_j = a_text[x], b_text[y], a_long[x], b_long[y]
+        groups, links, last = [], [], len(raw)
         while True:
-            links.append(a[i] << SHIFT | b[j])
+            links.append(x << SHIFT | y)
             if end_i == end_j:
-                groups.append(",".join(map(str, a[first_i : i + 1])) + "|" + ",".join(map(str, b[first_j : j + 1])))
+                groups.append(f"{left}|{right}")
+                if end_i == last:
+                    return ";".join(groups), pack(f"<{len(links)}q", *links), len(a), len(b)
                 i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_i, first_j = i, j
-                end_i += len(self.a_bytes[a[i]])
-                end_j += len(self.b_bytes[b[j]])
+                x, y = a[i], b[j]
+                left, right = a_text[x], b_text[y]
+                end_i += a_long[x]
+                end_j += b_long[y]
             elif end_i < end_j:
                 i += 1
-                end_i += len(self.a_bytes[a[i]])
+                x = a[i]
+                left = f"{left},{a_text[x]}"
+                end_i += a_long[x]
             else:
                 j += 1
-                end_j += len(self.b_bytes[b[j]])
-        return ";".join(groups), np.array(links, dtype="<i8").tobytes(), len(a), len(b)
+                y = b[j]
+                right = f"{right},{b_text[y]}"
+                end_j += b_long[y]
 
 
 def bytes_of_a(raw: bytes) -> list[bytes]:
@@ -113,13 +144,17 @@ def bytes_of_a(raw: bytes) -> list[bytes]:
     return [out.get(i, b"") for i in range(max(out) + 1)]
 
 
-def bytes_of_b(model) -> list[bytes | None]:
-    """The bytes of each piece, None for control pieces and the unknown one."""
-    out: list[bytes | None] = []
+#: Stands for a piece that is no text: bytes that no text holds.
+_NO_TEXT = b"\xff\xfe\xff"
+
+
+def bytes_of_b(model) -> list[bytes]:
+    """The bytes of each piece; control pieces and the unknown one have some that no text holds."""
+    out: list[bytes] = []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         plain = piece.replace(_SPACE_PIECE, " ").encode()
-        out.append(None if model.is_control(i) or model.is_unknown(i) else bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else plain)
+        out.append(_NO_TEXT if model.is_control(i) or model.is_unknown(i) else bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else plain)
     return out
 
 
@@ -135,6 +170,21 @@ def cutting_spaces(model) -> frozenset[str]:
     return frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and not 0x1C <= ord(c) <= 0x1F and c not in inside)
 
 
+#: Latin letters and digits as a class of characters: what punctuation is cut off from.
+_LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+
+
+def cutting_marks(model) -> frozenset[str]:
+    """The ASCII punctuation, but for the apostrophe, that follows a Latin letter or digit inside no piece of B."""
+    latin = re.compile(f"[{_LATIN}]").match
+    inside = set()
+    for i in range(model.get_piece_size()):
+        if not model.is_byte(i):
+            piece = model.id_to_piece(i)
+            inside.update(y for x, y in zip(piece, piece[1:]) if latin(x))
+    return frozenset(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'" and c not in inside)
+
+
 _LISTS = [T.StructField(c, T.ArrayType(t)) for c, t in (("same", T.IntegerType()), ("same_n", T.IntegerType()), ("pairs", T.LongType()), ("pairs_n", T.IntegerType()))]
 _ALIGNED = T.StructType([*(T.StructField(c, T.LongType()) for c in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")), T.StructField("groups_sha256", T.StringType()), T.StructField("groups", T.StringType()), *_LISTS])
 
@@ -150,13 +200,15 @@ def _align(shared, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, raw_a, raw_b = shared.value
         own = held(("align", key), lambda: Aligner(raw_a, raw_b))
+        # Nothing here makes cycles, and the memo's many entries would be walked again and again in search of some.
+        gc.disable()
         vector, row, none = np.zeros(len(own.same), np.int64), TaskContext.get().partitionId() << 40, np.empty(0, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 numbers, digests, groups, lists = [], [], [], ([], [], [], [])
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    parts = list(map(own.memo.__getitem__, own.segments(" " + text))) if text else [None]
+                    parts = own.parts(text) if text else [None]
                     if None in parts:
                         numbers.append((row, doc, 0, 0, 0, 0))
                         digests.append("")

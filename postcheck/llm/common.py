@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -46,12 +46,20 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.old = self.copy()
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+
+    def unknown(self, keys: Iterable) -> list:
+        """Those of the keys, once each, that are in neither generation and short enough to be kept."""
+        old, longest = self.old, self.longest
+        return [k for k in set(keys) if k not in self and k not in old and len(k) <= longest]
+
 
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package wherever the driver was started."""

@@ -11,8 +11,10 @@ number decides the sequence and the place in it.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,47 +27,86 @@ from pyspark.sql import types as T
 from .common import Memo, held, make_importable, quoted, stored
 
 #: Entries of each of the memo's two generations: a word and its packed ids.
-MEMO_SIZE = 150_000
+MEMO_SIZE = 300_000
 #: A bucket of pieces of one length holds this share of all pieces, and no more than so many.
 SHARE, BUCKET = 1000, 1_000_000
 _PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "doc_id", "start", "length", "ids_crc32")] + [T.StructField("piece", T.IntegerType())])
 
 
+#: ASCII punctuation but the apostrophe, after an ASCII letter or digit: a token ends between them.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[A-Za-z0-9].)")
+#: What no text is folded with: the first two characters of the special tokens' strings.
+_SPECIAL = b"<|"
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, remembered by word.
 
     Every step of these tokenizers (composition, folding, splitting, added tokens) ends at ASCII white space, which yields no
-    token, so a text's ids are those of its words in a row; the library itself encodes every word that is not in the memo.
+    token, so a text's ids are those of its words in a row; where the tokenizer allows, A-Z are lower-cased and punctuation
+    is split off words first, which leaves the ids alone. The library itself encodes every word that is not in the memo,
+    many at once with a special token between them.
     """
 
     def __init__(self, raw: bytes) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(raw)
+        self.folds = word_by_word(raw)[1]
+        self.special = next((i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.content.encode().startswith(_SPECIAL))
         self.memo = Memo(self.word_ids, MEMO_SIZE)
 
     def word_ids(self, word: bytes) -> bytes:
         return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def packed(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.encode().split()))
-
+    def learn(self, words: list[bytes]) -> None:
+        """Words without special strings into the memo."""
+        mark, between = self.special
+        for at in range(0, len(words), 128):
+            part = words[at : at + 128]
+            ids = np.array(self.library.encode(between.join(map(bytes.decode, part)), add_special_tokens=False).ids, dtype="<u4")
+            ends = [0, *(4 * np.flatnonzero(ids == mark)).tolist(), 4 * len(ids)]
+            packed = ids.tobytes()
+            for k, word in enumerate(part):
+                self.memo.put(word, packed[ends[k] + 4 * (k > 0) : ends[k + 1]])
 
-def white_space_ends_tokens(raw: bytes) -> bool:
-    """Whether a tokenizer drops white space and cuts at it: texts of two words give the words' own ids, added tokens have none inside."""
+    def packed(self, text: str) -> bytes:
+        data = text.encode()
+        if _SPECIAL in data:
+            return b"".join(map(self.memo.__getitem__, data.split()))
+        words = (_TAIL.sub(rb" \g<0>", data.lower()) if self.folds else data).split()
+        if unknown := self.memo.unknown(words):
+            self.learn(unknown)
+        return b"".join(map(self.memo.__getitem__, words))
+
+
+@lru_cache(2)
+def word_by_word(raw: bytes) -> tuple[bool, bool]:
+    """Whether a tokenizer drops white space and cuts at it, and whether it also folds A-Z and cuts before punctuation after letters and digits: tried on every pair of kinds."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_buffer(raw)
-    ids = lambda t: library.encode(t, add_special_tokens=False).ids
-    words = ["a", "'s", "1", ".", "é", "漢", "́"] + [t.content for t in library.get_added_tokens_decoder().values()]
-    return all(ids(f"{x}{s}{y}") == ids(x) + ids(y) for x in words for y in words for s in (" ", "\n", "\t", " \r\n"))
+
+    def ids(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+    def apart(left: list[str], right: list[str], between: tuple[str, ...]) -> bool:
+        one, two = ids(left), ids(right)
+        whole = ids([x + s + y for x in left for y in right for s in between])
+        return whole == [a + b for a in one for b in two for _ in between]
+
+    words = ["a", "Ab", "'s", "1", ".", "é", "漢", "\u0301", "\u0338"] + [t.content for t in library.get_added_tokens_decoder().values()]
+    spaces = apart(words, words, (" ", "\n", "\t", " \r\n", "\x0b", "\x0c"))
+    alnum, marks = [c for c in map(chr, range(48, 123)) if c.isalnum()], [c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'"]
+    folded = ids(["x" + c for c in alnum]) == ids(["x" + c.lower() for c in alnum])
+    return spaces, spaces and folded and apart(alnum, [m + x for m in marks for x in ("", "a", "'s", "é", "\u0338", ".")], ("",))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:
     """(row, doc_id, start, length, ids_crc32, piece), row numbering all pieces uniquely: texts never leave their partition."""
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
-    if not white_space_ends_tokens(raw):
+    if not word_by_word(raw)[0]:
         raise ValueError("this tokenizer's tokens may span words")
     shared = docs.sparkSession.sparkContext.broadcast((hash(raw), raw))
 

@@ -140,6 +140,16 @@ def test_two_documents_replace_the_smallest():
         assert len(gaps) <= len(bins)
 
 
+def test_words_are_encoded_as_the_library_does():
+    raw, draw = open(WORDS, "rb").read(), random.Random(4)
+    assert packing.word_by_word(raw) == (True, True) and packing.word_by_word(open(TOKENIZER, "rb").read()) == (False, False)
+    own, library = packing.WordEncoder(raw), Tokenizer.from_file(WORDS)
+    pool = [*" \n\t\x1c\x85\xa0.,;'-&=_aAbZ019éÉßİΣσ漢²\u0301\u0338🥚", "'S", "don't", "<|endoftext|>", "<|EndOfText|>"]
+    for _ in range(4000):
+        text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 16)))
+        assert np.frombuffer(own.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
 
@@ -185,11 +195,11 @@ def test_alignment_equals_definition(spark, monkeypatch, head):
 def test_segments_stand_alone():
     own = alignment.Aligner(open(TOKENIZER, "rb").read(), open(PIECES, "rb").read())
     draw = random.Random(9)
-    for _ in range(3000):
-        text = "".join(draw.choice(" \n\t\r\x0b\x1c\x85\xa0 ab.;)é漢'sA1") for _ in range(draw.randint(1, 14)))
+    for _ in range(6000):
+        text = "".join(draw.choice(" \n\t\r\x0b\x1c\x85\xa0 ab.;)é漢'sA1_-ß²\u0301") for _ in range(draw.randint(1, 14)))
         parts = own.segments(" " + text)
         assert "".join(parts) == " " + text
-        assert [i for p in parts for i in own.b_ids(p)] == own.b.encode(text)
+        assert [i for x in own.b_ids(parts) for i in x] == own.b.encode(text)
         assert [i for p in parts for i in own.a.encode(p, add_special_tokens=False).ids] == own.a.encode(" " + text, add_special_tokens=False).ids
 
 
