@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import payload
 from ..functions.coerce import epoch_text, magnitude_int
 from ..functions.forms import is_hex24
 from ..functions.urls import post_id_from_url
@@ -37,35 +37,14 @@ def attach_resolutions(tracker: DataFrame, cache: DataFrame) -> DataFrame:
     return attach(tracker, cache)
 
 
-def _first(payload: Column, paths: Sequence[str]) -> Column:
-    """The first non-empty value under the known paths."""
-    return F.coalesce(*[F.nullif(F.try_variant_get(payload, p, "string"), F.lit("")) for p in paths], F.lit(""))
-
-
 def find_first(df: DataFrame, json: str, wanted: dict[str, Sequence[str]]) -> DataFrame:
     """Append, for each entry of wanted, the first non-empty value under any of its keys, as text (objects as JSON).
 
-    All entries are searched in one walk, level by level (breadth first), through objects and arrays. Each level is one
-    lateral explode of the level above, until a level is empty; ties go to position, then key order.
+    All entries are searched in one walk, level by level in the order of the text (keys in their given order within an
+    object), through objects and arrays of any depth. Bad JSON and what is not found are null.
     """
-    base, spark = df.withColumn("__row", F.monotonically_increasing_id()), df.sparkSession
-    level = base.select("__row", F.try_parse_json(F.col(json)).alias("v"), F.lit("").alias("path"))
-    spots = F.array(*[F.struct(F.lit(out).alias("out"), F.lit(key).alias("key"), F.lit(k).alias("k")) for out, keys in wanted.items() for k, key in enumerate(keys)])
-    found = None
-    for d in count():
-        level.createOrReplaceTempView("__walk")
-        level = spark.sql("SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path, x.key FROM __walk t, LATERAL variant_explode(t.v) x")
-        spark.catalog.dropTempView("__walk")
-        text = F.expr("try_variant_get(v, '$', 'string')").alias("value")
-        hit = level.select("__row", F.lit(d).alias("d"), F.substring("path", 1, 6 * d).alias("node"), F.explode(F.filter(spots, lambda x: x["key"] == F.col("key"))).alias("w"), text)
-        hit = hit.where("value not in ('', '[]', '{}')").select("__row", "d", "node", "w.out", "w.k", "value")
-        found = hit if found is None else found.union(hit)
-        level = level.select("__row", "v", "path")
-        if level.isEmpty():
-            break
-    of = lambda out, c: F.when(F.col("out") == out, c)
-    best = found.groupBy("__row").agg(*[F.min_by(of(o, F.col("value")), of(o, F.struct("d", "node", "k"))).alias(o) for o in wanted])
-    return base.join(best, "__row", "left").drop("__row")
+    found = df.withColumn("__found", payload.values_of(F.col(json), {out: payload.Wanted(keys) for out, keys in wanted.items()}))
+    return found.select(*[f"`{c}`" for c in df.columns if c not in wanted], *[F.col("__found")[out]["text"].alias(out) for out in wanted])
 
 
 def walk(df: DataFrame, json: str, keys: Sequence[str], out: str) -> DataFrame:
@@ -73,77 +52,71 @@ def walk(df: DataFrame, json: str, keys: Sequence[str], out: str) -> DataFrame:
     return find_first(df, json, {out: keys})
 
 
-#: The keys of a payload's fields. Those in _WITHIN are read inside the object of the first key found.
+#: The keys of a payload's fields, and of those that are read inside an object first.
+_USER, _INTERACTIONS = ("user", "author", "user_info"), ("interact_info", "interactInfo")
 _FIELDS = {
-    "note": ("note_id", "noteId"), "plain": ("id",), "user": ("user", "author", "user_info"), "author": ("user_id", "userId", "author_id"), "author_n": ("nickname", "nick_name", "author_name"),
-    "interact": ("interact_info", "interactInfo"), "like": ("liked_count", "likes", "like_count"), "collect": ("collected_count", "collects", "collected"),
-    "comment": ("comment_count", "comments_count"), "head": ("title", "display_title"), "time": ("time", "publish_time", "post_time", "create_time"),
+    "note": payload.Wanted(("note_id", "noteId")), "plain": payload.Wanted(("id",)),
+    "author_in": payload.Wanted(_USER, ("user_id", "userid", "id")), "author": payload.Wanted(("user_id", "userId", "author_id")),
+    "name_in": payload.Wanted(_USER, ("nickname", "name", "nick_name")), "name": payload.Wanted(("nickname", "nick_name", "author_name")),
+    "likes_in": payload.Wanted(_INTERACTIONS, ("liked_count", "likedCount")), "likes": payload.Wanted(("liked_count", "likes", "like_count")),
+    "collects_in": payload.Wanted(_INTERACTIONS, ("collected_count", "collectedCount")), "collects": payload.Wanted(("collected_count", "collects", "collected")),
+    "comments_in": payload.Wanted(_INTERACTIONS, ("comment_count", "commentCount")), "comments": payload.Wanted(("comment_count", "comments_count")),
+    "title": payload.Wanted(("title", "display_title")), "time": payload.Wanted(("time", "publish_time", "post_time", "create_time")),
 }
-_WITHIN = {
-    "author_id": ("user", ("user_id", "userid", "id"), "author"), "author_name": ("user", ("nickname", "name", "nick_name"), "author_n"), "likes": ("interact", ("liked_count", "likedCount"), "like"),
-    "collects": ("interact", ("collected_count", "collectedCount"), "collect"), "comments": ("interact", ("comment_count", "commentCount"), "comment"),
+#: The paths of a page's post, from the post down.
+_PAGE = {
+    "note": (("noteId",), ("id",)), "author": (("user", "userId"),), "name": (("user", "nickname"), ("user", "nickName")), "likes": (("interactInfo", "likedCount"), ("interactInfo", "liked_count")),
+    "collects": (("interactInfo", "collectedCount"), ("interactInfo", "collected_count")), "comments": (("interactInfo", "commentCount"), ("interactInfo", "comment_count")), "title": (("title",),), "time": (("time",),),
 }
 
 
+def _plain(found: Column) -> Column:
+    """A value as text; nothing, zero and false are empty."""
+    return F.when((found["kind"] != "s") & found["text"].isin("0", "0.0", "-0.0", "false"), "").otherwise(F.coalesce(found["text"], F.lit("")))
+
+
+def _moment(found: Column) -> Column:
+    """A time as text: numbers are epochs, in milliseconds from 1e12 on; those beyond any calendar and texts stay as they are."""
+    number = F.when(found["kind"] == "n", found["text"].try_cast("double"))
+    return F.when(F.abs(number) < 2.5e14, epoch_text(number)).otherwise(F.coalesce(found["text"], F.lit("")))
+
+
 def extract_note_fields(df: DataFrame, json: str) -> DataFrame:
     """Append note_id, author_id, author_name, likes, collects, comments, title, published from an API payload of any nesting.
 
-    A note id must be 24 hexadecimal characters; it is never searched for in other text. Author and counts come from the
-    first user and interaction objects, else from their keys anywhere. Bad JSON gives empty texts and null counts.
+    A note id must be a text of 24 hexadecimal characters; it is never searched for in other text. Author and counts come from the
+    first user and interaction objects, where the next key counts if one holds nothing, zero or false, else from their
+    keys anywhere. Bad JSON gives empty texts and null counts.
     """
-    names = {k: f"__{k}" for k in _FIELDS}
-    found = find_first(df, json, {names[k]: keys for k, keys in _FIELDS.items()})
-    c = lambda k: F.col(names[k])
-
-    def within(field: str) -> Column:
-        owner, keys, anywhere = _WITHIN[field]
-        inner = F.try_parse_json(F.when(F.startswith(c(owner), F.lit("{")), c(owner)))
-        own = F.nullif(_first(inner, [f"$.{k}" for k in keys]), F.lit(""))
-        return F.coalesce(magnitude_int(own), magnitude_int(c(anywhere))) if owner == "interact" else F.coalesce(own, c(anywhere), F.lit(""))
-
-    time = c("time")
+    found = df.withColumn("__found", payload.values_of(F.col(json), _FIELDS))
+    c = lambda k: F.col("__found")[k]
+    hexed = lambda k: F.when((c(k)["kind"] == "s") & is_hex24(c(k)["text"]), c(k)["text"])
+    either = lambda k: F.coalesce(F.nullif(_plain(c(f"{k}_in")), F.lit("")), _plain(c(k)))
+    count = lambda k: F.coalesce(magnitude_int(c(f"{k}_in")["text"]), magnitude_int(c(k)["text"])).alias(k)
     return found.select(
-        *[f"`{x}`" for x in df.columns],
-        F.lower(F.when(is_hex24(c("note")), c("note")).when(is_hex24(c("plain")), c("plain")).otherwise("")).alias("note_id"),
-        *[within(f).alias(f) for f in _WITHIN],
-        F.coalesce(c("head"), F.lit("")).alias("title"),
-        F.coalesce(F.when(time.rlike("^[0-9]+$"), epoch_text(time.try_cast("bigint"))).otherwise(time), F.lit("")).alias("published"),
+        *[f"`{x}`" for x in df.columns], F.lower(F.coalesce(hexed("note"), hexed("plain"), F.lit(""))).alias("note_id"),
+        either("author").alias("author_id"), either("name").alias("author_name"), count("likes"), count("collects"), count("comments"), _plain(c("title")).alias("title"), _moment(c("time")).alias("published"),
     )
 
 
-def extract_page_state(df: DataFrame, html: str, expected: Column) -> DataFrame:
-    """Append state_note, state_author, state_title, state_likes from a page's embedded state; all null if the page is another post's or its author no id.
+def extract_page_state(df: DataFrame, html: str, expected: Column, landed: Column | None = None) -> DataFrame:
+    """Append state_note, state_author, state_name, state_title, state_likes, state_collects, state_comments and state_published from a page's embedded state.
 
-    The post is noteData.data.noteData, else an entry of note.noteDetailMap (the expected one first, then by key), else
-    under a fixed prefix, else the shallowest object anywhere with user.userId and interactInfo or time.
+    All are null where the state is no JSON once `undefined` is null and closing semicolons are off, its author no id, or
+    the page another post's: by its own id, or by that of the address where it was reached (landed). A page without
+    an id of its own has the landed or expected one.
     """
-    raw = F.regexp_extract(F.col(html), r"(?s)__INITIAL_STATE__\s*=\s*(\{.*?\})\s*</script>", 1)
-    base = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__state", F.regexp_replace(raw, r"\bundefined\b", "null")).withColumn("__expected", expected)
-    part = lambda c, path: F.try_variant_get(c, path, "variant")
-    level, found = base.select("__row", F.try_parse_json("__state").alias("v"), F.lit("").alias("path")), None
-    for d in count():
-        fits = (F.try_variant_get("v", "$.user.userId", "string") != "") & (part("v", "$.interactInfo").isNotNull() | part("v", "$.time").isNotNull())
-        hit = level.where(fits).select("__row", F.lit(d).alias("d"), "path", F.to_json("v").alias("node"))
-        found = hit if found is None else found.union(hit)
-        level.createOrReplaceTempView(f"__state_{d}")
-        level = df.sparkSession.sql(f"SELECT t.__row, x.value AS v, concat(t.path, lpad(cast(x.pos AS string), 6, '0')) AS path FROM __state_{d} t, LATERAL variant_explode(t.v) x")
-        if level.isEmpty():
-            break
-    best = found.groupBy("__row").agg(F.min_by("node", F.struct("d", "path")).alias("__any"))
-    df_columns, df, expected = df.columns, base.join(best, "__row", "left"), F.col("__expected")
-    v, fallback = F.try_parse_json("__state"), F.try_parse_json("__any")
-    mobile = part(v, "$.noteData.data.noteData")
-    entries = F.map_entries(F.try_variant_get(v, "$.note.noteDetailMap", "map<string,variant>"))
-    usable = F.filter(entries, lambda e: part(e["value"], "$.note.user").isNotNull())
-    wanted = F.filter(usable, lambda e: F.lower(e["key"]) == F.lower(expected))
-    desktop = part(F.get(F.concat(wanted, usable), F.lit(0))["value"], "$.note")
-    fixed = lambda *names: _first(v, [f"$.{p}{n}" for n in names for p in ("note.", "noteData.data.noteData.", "noteData.")])
-
-    def known(*names: str) -> Column:
-        of = lambda c: _first(c, [f"$.{n}" for n in names])
-        return F.when(part(mobile, "$.user").isNotNull(), of(mobile)).when(desktop.isNotNull(), of(desktop)).when(fixed("user.userId") != "", fixed(*names)).otherwise(of(fallback))
-
-    note, author = F.lower(known("noteId", "id")), known("user.userId")
-    good = is_hex24(author) & ((note == "") | (note == F.lower(expected)))
-    keep = lambda c: F.when(good, c)
-    return df.select(*[f"`{c}`" for c in df_columns], keep(note).alias("state_note"), keep(author).alias("state_author"), keep(known("title")).alias("state_title"), keep(magnitude_int(known("interactInfo.likedCount"))).alias("state_likes"))
+    raw = F.regexp_extract(F.col(html), r"(?s)__INITIAL_STATE__\s*=\s*(\{.*?)</script>", 1)
+    state = F.regexp_replace(F.regexp_replace(raw, r"[\s;]+$", ""), r"\bundefined\b", "null")
+    found = df.withColumn("__want", F.lower(F.coalesce(expected, F.lit("")))).withColumn("__end", F.lower(F.coalesce(F.lit("") if landed is None else landed, F.lit(""))))
+    found = found.withColumn("__found", payload.page_values(state, F.col("__want"), _PAGE))
+    c = lambda k: F.col("__found")[k]
+    own, want, end = F.lower(_plain(c("note"))), F.col("__want"), F.col("__end")
+    other = lambda id: (id != "") & (want != "") & (id != want)
+    good = is_hex24(c("author")["text"]) & ~other(own) & ~other(end)
+    keep = lambda x, name: F.when(good, x).alias(f"state_{name}")
+    note = F.coalesce(F.nullif(own, F.lit("")), F.nullif(end, F.lit("")), want)
+    return found.select(
+        *[f"`{x}`" for x in df.columns], keep(note, "note"), keep(c("author")["text"], "author"), keep(_plain(c("name")), "name"), keep(_plain(c("title")), "title"),
+        *[keep(magnitude_int(c(k)["text"]), k) for k in ("likes", "collects", "comments")], keep(_moment(c("time")), "published"),
+    )

@@ -117,25 +117,47 @@ def J1_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.walk(e, "json", ("missing", "k"), "k").select("event_id", F.col("k").cast("bigint").alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE printf('%024x', event_id) END AS note_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 10000 END AS likes,
-    CASE WHEN event_id % 4 <> 3 THEN event_id % 1000 END AS comments, CASE WHEN event_id % 4 = 3 THEN '' ELSE 'a' || user_id END AS author_id, CASE event_id % 4 WHEN 3 THEN '' WHEN 2 THEN 'N' || user_id ELSE 'n' || user_id END AS author_name FROM events""")
+@query("""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, printf('%024x', event_id) AS id, event_id % 7 AS s, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)
+    SELECT event_id, CASE WHEN s IN (3, 6) THEN '' ELSE id END AS note_id,
+        CASE s WHEN 3 THEN '' WHEN 4 THEN 'z' || user_id WHEN 6 THEN 'b' || user_id ELSE 'a' || user_id END AS author_id,
+        CASE s WHEN 2 THEN 'N' || user_id WHEN 3 THEN '' WHEN 6 THEN '' ELSE 'n' || user_id END AS author_name,
+        CASE s WHEN 3 THEN NULL WHEN 6 THEN NULL WHEN 5 THEN k ELSE k * 10000 END AS likes, CASE WHEN s IN (0, 1, 4) THEN event_id % 77 WHEN s = 5 THEN 0 END AS collects,
+        CASE WHEN s NOT IN (3, 6) THEN event_id % 1000 END AS comments, CASE s WHEN 0 THEN '标题' || event_id WHEN 1 THEN 'shown' ELSE '' END AS title,
+        CASE WHEN s IN (0, 1, 5) THEN strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') WHEN s = 2 THEN CAST(t AS VARCHAR) ELSE '' END AS published FROM e""")
 def J2_extract_note_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four shapes: a note under data, one in nested lists, bare keys without user and interaction objects, and one without a post."""
-    e = a.read(spark, sf_dir, "events").selectExpr("*", "upper(lpad(hex(event_id), 24, '0')) AS id", "get_json_object(props, '$.k') || '万' AS likes_in", "event_id % 1000 AS c")
-    known = """'{"note_id":"' || id || '","user":{"user_id":"a' || user_id || '","nickname":"n' || user_id || '"},"interact_info":{"liked_count":"' || likes_in || '","comment_count":' || c || '}}'"""
-    listed = """'{"data":{"data":[[],{"note_list":[{"id":"' || id || '","author":{"userid":"a' || user_id || '","name":"n' || user_id || '"},"interactInfo":{"likedCount":"' || likes_in || '","commentCount":"' || c || '"}}]}]}}'"""
-    bare = """'{"ok":true,"body":{"noteId":"' || id || '","x":{"userId":"a' || user_id || '","nick_name":"N' || user_id || '"},"y":[{"likes":"' || likes_in || '"},{"comments_count":' || c || '}]}}'"""
-    other = """'{"id":"not-a-post","code":404}'"""
-    shaped = e.selectExpr("event_id", f"CASE event_id % 4 WHEN 0 THEN '{{\"data\":' || {known} || '}}' WHEN 1 THEN {listed} WHEN 2 THEN {bare} ELSE {other} END AS json")
-    return links.extract_note_fields(shaped, "json").select("event_id", "note_id", "likes", "comments", "author_id", "author_name")
-
-
-@query("""SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN printf('%024x', page_id) END AS state_note, CASE WHEN page_id % 5 <> 0 THEN page_id ELSE -1 END AS state_likes FROM pages""")
+    """Seven shapes: under data; in nested lists with times in milliseconds; bare keys and a time in text; no post; falsy values before true ones; counts without objects and a fractional epoch; an author's id only."""
+    e = a.read(spark, sf_dir, "events").selectExpr("*", "upper(lpad(hex(event_id), 24, '0')) AS id", "get_json_object(props, '$.k') AS k", "event_id % 1000 AS c", "event_id % 77 AS d", "unix_seconds(CAST(ts AS timestamp)) AS t", "user_id AS u")
+    shapes = [
+        """'{"data":{"note_id":"' || id || '","title":"标题' || event_id || '","time":' || t || ',"user":{"user_id":"a' || u || '","nickname":"n' || u || '"},"interact_info":{"liked_count":"' || k || '万","collected_count":' || d || ',"comment_count":' || c || '}}}'""",
+        """'{"data":{"data":[[],{"note_list":[{"id":"' || id || '","display_title":"shown","create_time":' || t || '000,"author":{"userid":"a' || u || '","name":"n' || u || '"},"interactInfo":{"likedCount":"' || k || 'w","collectedCount":"' || d || '","commentCount":"' || c || '"}}]}]}}'""",
+        """'{"ok":true,"body":{"noteId":"' || id || '","publish_time":"' || t || '","x":{"userId":"a' || u || '","nick_name":"N' || u || '"},"y":[{"likes":"' || k || '万"},{"comments_count":' || c || '}]}}'""",
+        """'{"id":"not-a-post","code":404}'""",
+        """'{"z":{"note_id":"","title":[]},"a":{"noteId":"' || id || '","user":{"user_id":0,"id":"z' || u || '","nickname":"","name":"n' || u || '"},"interact_info":{"liked_count":0,"likedCount":"' || k || '万","collected_count":null,"collectedCount":"' || d || '","comment_count":"' || c || '"}}}'""",
+        """'{"z":{"note_id":"' || id || '","post_time":' || t || '.75,"author_id":"a' || u || '","author_name":"n' || u || '"},"a":[{"like_count":"' || k || '"},{"collects":0},{"comment_count":"' || c || '"}]}'""",
+        """'{"code":200,"data":{"user":{"user_id":"b' || u || '"},"desc":"' || id || '"}}'""",
+    ]
+    case = F.coalesce(*[F.when(F.col("event_id") % 7 == n, F.expr(shape)) for n, shape in enumerate(shapes)])
+    shaped = e.select("event_id", case.alias("json"))
+    return links.extract_note_fields(shaped, "json").select("event_id", "note_id", "author_id", "author_name", "likes", "collects", "comments", "title", "published")
+
+
+@query("""WITH p AS (SELECT page_id, printf('%024x', page_id) AS id, page_id % 7 AS s FROM pages), q AS (SELECT *, s < 5 AS good FROM p)
+    SELECT page_id, CASE WHEN good THEN id END AS state_note, CASE WHEN good THEN 'aaaa' || right(id, 20) END AS state_author, CASE WHEN good THEN 'n' || page_id END AS state_name, CASE WHEN good THEN 't' || page_id END AS state_title,
+        CASE WHEN good THEN CASE WHEN s = 4 THEN page_id * 10000 ELSE nullif(page_id, 0) END END AS state_likes, CASE WHEN good THEN page_id % 9 + 1 END AS state_collects, CASE WHEN good AND s <> 3 THEN page_id % 5 + 1 END AS state_comments,
+        CASE WHEN good THEN CASE WHEN s = 2 THEN '' ELSE strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%d %H:%M:%S') END END AS state_published FROM q""")
 def J3_extract_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = a.read(spark, sf_dir, "pages").select("page_id", "html", F.lower(F.lpad(F.hex("page_id"), 24, "0")).alias("id"))
-    author = F.when(F.col("page_id") % 5 == 0, F.lit("nobody")).otherwise(F.col("id"))
-    state = F.concat(F.col("html"), F.lit('<script>window.__INITIAL_STATE__ = {"note":{"noteId":"'), F.col("id"), F.lit('","x":undefined,"user":{"userId":"'), author, F.lit('"},"interactInfo":{"likedCount":"'), F.col("page_id").cast("string"), F.lit('"}}}</script>'))
-    return links.extract_page_state(p.withColumn("html", state), "html", F.col("id")).select("page_id", "state_note", F.coalesce("state_likes", F.lit(-1)).alias("state_likes"))
+    """Pages with their own markup and a state behind it: mobile, desktop (another entry first), buried in lists, without counts of comments, spelt with underscores; then another post's page and one whose author is no id."""
+    p = a.read(spark, sf_dir, "pages").selectExpr("page_id", "html", "lower(lpad(hex(page_id), 24, '0')) AS id", "lower(lpad(hex(page_id + 1), 24, '0')) AS next", "page_id % 7 AS s")
+    p = p.withColumn("author", F.when(F.col("s") == 6, "nobody").otherwise(F.concat(F.lit("aaaa"), F.substring("id", 5, 20))))
+    counts = F.expr("""CASE s WHEN 3 THEN '{"likedCount":"' || page_id || '","collectedCount":' || (page_id % 9 + 1) || '}'
+        WHEN 4 THEN '{"likedCount":"","liked_count":"' || page_id || '万","collected_count":' || (page_id % 9 + 1) || ',"comment_count":' || (page_id % 5 + 1) || '}'
+        ELSE '{"likedCount":' || page_id || ',"collectedCount":"' || (page_id % 9 + 1) || '","commentCount":' || (page_id % 5 + 1) || '}' END""")
+    p = p.withColumn("counts", counts).withColumn("time", F.expr("CASE s WHEN 2 THEN 'undefined' WHEN 1 THEN (1700000000 + page_id) || '000' ELSE cast(1700000000 + page_id AS string) END"))
+    p = p.withColumn("post", F.expr("""'{"noteId":"' || if(s = 5, next, id) || '","title":"t' || page_id || '","user":{"userId":"' || author || '","' || if(s = 4, 'nickName', 'nickname') || '":"n' || page_id || '"},"interactInfo":' || counts || ',"time":' || time || ',"x":undefined}'"""))
+    state = F.expr("""CASE s WHEN 0 THEN '{"noteData":{"data":{"noteData":' || post || '}}};' WHEN 1 THEN '{"note":{"noteDetailMap":{"' || next || '":{"note":{"user":{"userId":"x"}}},"' || id || '":{"note":' || post || '}}}} ;;'
+        WHEN 2 THEN '{"a":[1,{"b":[[' || post || ']]}]}' ELSE '{"note":' || post || '} ; ' END""")
+    page = F.concat(F.col("html"), F.lit("<script>window.__INITIAL_STATE__ = "), state, F.lit("</script>"))
+    return links.extract_page_state(p.select("page_id", "id", page.alias("html")), "html", F.col("id")).drop("id", "html")
 
 
 @query("""SELECT o_orderkey, 'r' || o_orderkey AS row, ['SAME_PERSON', 'SAME_POST', 'DIFFERENT', 'UNSURE'][1 + o_orderkey % 5] AS verdict FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 5 <> 4""")

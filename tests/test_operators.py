@@ -177,7 +177,7 @@ def test_answers_outputs_and_manifest(spark):
     texts = [f"```json\n[{item}]\n```", f'ok {{"items":[{item}]}} bye', f"[{item},{item.replace('0.9', '9')}]", "nothing", item.replace("SAME_POST", "same"), f'{{"items":[{item.replace("0.9", "2")}]}} or rather [{item}]']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, answer string")
     assert sorted(r["id"] for r in adjudicate.parse_answers(df, "answer").collect()) == [0, 1]  # the last text has no reading that is good as a whole
-    page = f'<script>window.__INITIAL_STATE__ = {{"note":{{"noteId":"{N}a001","user":{{"userId":"{A}00b1"}},"x":undefined}}}}</script>'
+    page = f'<script>window.__INITIAL_STATE__ = {{"note":{{"noteId":"{N}a001","user":{{"userId":"{A}00b1"}},"time":undefined}}}}</script>'
     pages = spark.createDataFrame([(page, f"{N}a001"), (page, f"{N}a002"), ("<html>", "")], "html string, want string")
     assert [r["state_note"] for r in links.extract_page_state(pages, "html", F.col("want")).collect()] == [f"{N}a001", None, None]
     base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, x string, y int")
