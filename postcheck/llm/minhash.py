@@ -10,6 +10,11 @@ First round: the neighbours of a row in a sorted order are those of the longest
 FRIENDS neighbours of the longest prefixes over all orders; these linear many candidates are screened by signature,
 confirmed on full shingle sets and joined into components.
 
+Centre rounds: where a region holds several components, its rows are compared with one row of another component, the
+most popular one: that which shares its groups with the most rows over all orders. Many variants of one original, which
+resemble it more than each other, differ from it in other places each, so the original is their regions' centre. Each
+round costs a row at most one comparison for each of its regions, and components grow before the next.
+
 Second round, the exact way for the rest: only where a region still holds several components, its rows carry their full
 sets, and all pairs between different components whose signatures agree well enough are confirmed inside the task, the
 likeliest first; it returns the links that join components, at most one for each row. Pairs inside a component cannot
@@ -47,6 +52,10 @@ REGION, BLOCK, DEEPEST = 4096, 1024, 3
 #: Chance that a pair at the threshold passes the signature screen, and min-hashes of the screen's first part.
 RECALL, FIRST = 0.9999, 48
 SHINGLE, THRESHOLD = 5, 75
+#: Most centre rounds; they end earlier where no region holds several components or none were joined.
+CENTRE_ROUNDS = 4
+#: Copies of a centre's signature and text among which the rows that meet it are dealt.
+COPIES = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,14 +221,40 @@ def _screen() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     return work
 
 
-def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree well enough."""
-    left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+def _beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """(a, b, {value}_a, {value}_b). The first of a pair may be in any number of pairs: its rows are dealt among COPIES."""
+    left = rows.select(F.col("id").alias("a"), F.col(value).alias(f"{value}_a")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+    right = rows.select(F.col("id").alias("b"), F.col(value).alias(f"{value}_b"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(COPIES)).cast("int"))
+    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", f"{value}_a", f"{value}_b")
+
+
+def screened(pairs: DataFrame, classes: DataFrame, dealt: bool = False) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough; dealt where an a may be in very many."""
+    if dealt:
+        joined = _beside(pairs, classes, "sig")
+    else:
+        left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+        right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
     return map_rows(joined, [T.StructField("near", T.BooleanType())], _screen, rows=4096).where("near").select("a", "b")
 
 
+def centre_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): each row b of a region of several components with the region's most popular row a of another component; once each."""
+    mixed = placed.groupBy("t", "code").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("t", "code", "size")
+    rows = stored(placed.join(mixed, ["t", "code"]))
+    popular = rows.groupBy("id").agg(F.sum("size").alias("met"))
+    best = rows.join(popular, "id").groupBy("t", "code", "component").agg(F.max(F.struct("met", (-F.col("id")).alias("low"))).alias("best"))
+    best = stored(best.select("t", "code", F.struct("best.met", "best.low", "component").alias("best")))
+    first = best.groupBy("t", "code").agg(F.max("best").alias("first"))
+    second = best.join(first, ["t", "code"]).where("best.component <> first.component").groupBy("t", "code").agg(F.max("best").alias("second"))
+    centres = first.join(second, ["t", "code"]).select("t", "code", F.col("first.component").alias("own"), (-F.col("first.low")).alias("one"), (-F.col("second.low")).alias("two"))
+    met = rows.join(centres, ["t", "code"])
+    return met.select(F.when(F.col("component") != F.col("own"), F.col("one")).otherwise(F.col("two")).alias("a"), F.col("id").alias("b")).distinct()
+
+
 def _blocks(table: pa.Table) -> tuple:
     table = table.combine_chunks().sort_by("id")
     ids, sizes, block = (table[c].to_numpy() for c in ("id", "n", "block"))
@@ -284,8 +319,11 @@ def _confirm() -> Callable[[pa.RecordBatch], list[pa.Array]]:
     return work
 
 
-def confirmed(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; texts_of has the texts by id."""
+def confirmed(pairs: DataFrame, texts_of: DataFrame, dealt: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; texts_of has the texts by id. Dealt where an a may be in very many."""
+    if dealt:
+        joined = _beside(pairs, texts_of, "text")
+        return stored(map_rows(joined, [T.StructField("linked", T.BooleanType())], _confirm, rows=256).where("linked").select("a", "b"))
     left = texts_of.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts_of.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -377,8 +415,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     # sort-merge join at every size.
     texts_of = stored(rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
     links = confirmed(stored(screened(friends(pairs), classes)), texts_of)
-    placed = members.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = adapted(stored(placed), classes)
+    labelled = lambda: stored(members.join(connected_components(links), "id", "left").select("t", "code", "id", F.coalesce("component", "id").alias("component")))
+    placed = labelled()
+    for _ in range(CENTRE_ROUNDS):
+        more = confirmed(stored(screened(centre_pairs(placed), classes, dealt=True)), texts_of, dealt=True)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        placed = labelled()
+    several = adapted(placed, classes)
     open_ids = several.select("id").distinct()
     sets = map_rows(texts_of.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
     full = several.join(classes.drop("ha", "hb").join(sets, "id"), "id")

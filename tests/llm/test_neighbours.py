@@ -204,3 +204,22 @@ def test_windows_on_sorted_lists_equal_distances():
     half = np.float32(0.4)
     want = ((b[None] >= (a - half)[:, None]) & (b[None] <= (a + half)[:, None])).sum(axis=2)
     assert np.array_equal(vector_dedup._collisions(a, b, half), want)
+
+
+def test_variants_of_one_original_join_at_its_centre(spark, monkeypatch):
+    """Hundreds of texts that link with one original only: the centre rounds join them, so no region is left for the second round."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    docs = [(5000, " ".join(base)), (5001, " ".join(word() for _ in range(40)))]
+    for i in range(400):
+        words = list(base)
+        for place in draw.sample(range(40), 5):
+            words[5 * place] = word()
+        docs.append((i, " ".join(words)))
+    seen = []
+    adapted = minhash.adapted
+    monkeypatch.setattr(minhash, "adapted", lambda placed, classes: seen.append(minhash._mixed_regions(placed).count()) or adapted(placed, classes))
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: 5001 if i == 5001 else 0 for i, _ in docs}
+    assert seen == [0]
