@@ -10,7 +10,7 @@ First round: the neighbours of a row in a sorted order are those of the longest
 FRIENDS neighbours of the longest prefixes over all orders; these linear many candidates are screened by signature,
 confirmed on full shingle sets and joined into components.
 
-Centre rounds: where a region holds several components, its rows are compared with one row of another component, the
+Centre rounds: where a region of CENTRE_LEAST rows or more holds several components, its rows are compared with one row of another component, the
 most popular one: that which shares its groups with the most rows over all orders. Many variants of one original, which
 resemble it more than each other, differ from it in other places each, so the original is their regions' centre. Each
 round costs a row at most one comparison for each of its regions, and components grow before the next.
@@ -52,6 +52,8 @@ REGION, BLOCK, DEEPEST = 4096, 1024, 3
 #: Chance that a pair at the threshold passes the signature screen, and min-hashes of the screen's first part.
 RECALL, FIRST = 0.9999, 48
 SHINGLE, THRESHOLD = 5, 75
+#: Rows of a region from which its centre is worth a round; the second round compares smaller ones whole for less.
+CENTRE_LEAST = 256
 #: Most centre rounds; they end earlier where no region holds several components or none were joined.
 CENTRE_ROUNDS = 4
 #: Copies of a centre's signature and text among which the rows that meet it are dealt.
@@ -242,8 +244,8 @@ def screened(pairs: DataFrame, classes: DataFrame, dealt: bool = False) -> DataF
 
 
 def centre_pairs(placed: DataFrame) -> DataFrame:
-    """(a, b): each row b of a region of several components with the region's most popular row a of another component; once each."""
-    mixed = placed.groupBy("t", "code").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("t", "code", "size")
+    """(a, b): each row b of a large region of several components with the region's most popular row a of another component; once each."""
+    mixed = placed.groupBy("t", "code").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("low") < F.col("high")) & (F.col("size") >= CENTRE_LEAST)).select("t", "code", "size")
     rows = stored(placed.join(mixed, ["t", "code"]))
     popular = rows.groupBy("id").agg(F.sum("size").alias("met"))
     best = rows.join(popular, "id").groupBy("t", "code", "component").agg(F.max(F.struct("met", (-F.col("id")).alias("low"))).alias("best"))

@@ -218,6 +218,7 @@ def test_variants_of_one_original_join_at_its_centre(spark, monkeypatch):
             words[5 * place] = word()
         docs.append((i, " ".join(words)))
     seen = []
+    monkeypatch.setattr(minhash, "CENTRE_LEAST", 3)
     adapted = minhash.adapted
     monkeypatch.setattr(minhash, "adapted", lambda placed, classes: seen.append(minhash._mixed_regions(placed).count()) or adapted(placed, classes))
     rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
