@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shared import settled
 from ..functions.urls import normalize_url
 
 #: Annotation texts by status.
@@ -198,18 +199,59 @@ def attach(tracker: DataFrame, resolutions: DataFrame) -> DataFrame:
     return joined.select(*[f"`{c}`" for c in tracker.columns], F.coalesce("note_id", F.lit("")).alias("note_id"), F.coalesce("author_id", F.lit("")).alias("author_id"), ok.alias("ok"))
 
 
-def _ranked(candidates: Column) -> Column:
-    """By known date first, nearest date, export row."""
-    return F.transform(F.array_sort(candidates), lambda c: c["value"])
+#: Candidates that a verdict lists, the nearest ones, and parts in which a row's are ranked before they meet.
+KEEP, SALT = 100, 16
 
 
-def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, window: tuple | None = None, days: int = 7, ascii_only: bool = False, fuzzy: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
-    """One verdict for each tracker row. A lexicon (char, syllable) adds the rung that reads Chinese names aloud.
+def _near(need: DataFrame, posted: DataFrame, key: str, days: int) -> DataFrame:
+    """Rows of need (t_date) with the rows of posted (x_date) of the same key within days of each other; an unknown date is near to all.
 
-    tracker: excel_row, campaign, no, name, post_date, post_link; export: excel_row, post_id, username, blogger, post_date.
-    Result: the tracker's columns, note_id, author_id, status, tier, matched (post), name_mislabel, out_of_window,
-    review_reason and candidates (post_id, blogger, username, delta, method), nearest date first.
+    Dates meet in bands of that width, each post in its own and both neighbours, so a frequent key is spread over its days.
+    """
+    day, width = lambda c: F.unix_date(F.col(c).cast("date")), max(days, 1)
+    band = lambda c: F.floor(day(c) / width)
+    left, right = need.withColumn("band", band("t_date")), posted.withColumn("band", F.explode(F.array(*[band("x_date") + k for k in (-1, 0, 1)])))
+    dated = left.where("t_date is not null").join(right.where("x_date is not null"), [key, "band"]).where(F.abs(day("x_date") - day("t_date")) <= days).drop("band")
+    return dated.unionByName(need.join(posted.where("x_date is null"), key)).unionByName(need.where("t_date is null").join(posted.where("x_date is not null"), key))
+
+
+def _evidence(t: DataFrame, e: DataFrame, export: DataFrame, hits: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """(t with what the name scan says of each row, candidates of all rows). t has l_id, e r_id, hits (l_id, r_id, method, strong).
+
+    What a row needs to know of a name's posts are a count and the least and greatest username, so rows and posts of
+    a name meet only where they are near in time, and for conflicts that the window leaves without evidence.
     """
+    shown = ["post_id", "blogger", "username"]
+    post = lambda df: df.select(*df.columns[: df.columns.index("excel_row")], F.col("excel_row").alias("x_row"), *shown, F.col("post_date").alias("x_date"))
+    posted = settled(hits.join(post(e.select("r_id", "excel_row", *shown, "post_date")), "r_id").drop("r_id"))
+    named = F.when(F.col("strong"), F.nullif("username", F.lit("")))
+    names = posted.groupBy("l_id").agg(F.count("*").alias("hits"), F.max("strong").alias("any_strong"), F.min(named).alias("u_low"), F.max(named).alias("u_high"))
+    own = posted.where("username <> ''").select("l_id", F.col("username").alias("author"), F.lit(True).alias("own_hit")).distinct()
+    t = t.join(names, "l_id", "left").join(own, ["l_id", "author"], "left")
+    foreign = F.coalesce((F.col("u_low") != F.col("author")) | (F.col("u_high") != F.col("author")), F.lit(False))
+    t = t.withColumn("conflict", foreign & F.col("own_hit").isNull()).withColumn("any_strong", F.coalesce("any_strong", F.lit(False)))
+    t = settled(t)
+    open_rows = t.where("m_post is null")
+    absent = F.col("ok") & F.col("author").isNotNull() & F.col("has_users") & F.col("a_user").isNull()
+    rows = lambda df, key: df.select("excel_row", F.col("post_date").alias("t_date"), key, absent.alias("absent"))
+    near = _near(rows(open_rows, "l_id"), posted, "l_id", days).where(~F.col("absent") | F.col("strong")).drop("l_id", "strong")
+    # Conflicts without a post in the window show all of the name's.
+    bare = rows(open_rows.where(absent & F.col("any_strong")), "l_id").join(near.where("absent").select("excel_row").distinct(), "excel_row", "left_anti")
+    bare = bare.join(posted.where("strong"), "l_id").drop("l_id", "strong")
+    # Posts of the author stand in where no name hit exists at all.
+    lone = rows(open_rows.where("ok and a_user is not null and hits is null"), "author")
+    mine = post(export.select(F.col("username").alias("author"), F.lit("same-author").alias("method"), "excel_row", *shown, "post_date"))
+    found = near.unionByName(bare).unionByName(_near(lone, mine, "author", days).drop("author"))
+    return t, found.select("excel_row", "x_row", *shown, F.date_diff(F.col("x_date").cast("date"), "t_date").alias("delta"), "method")
+
+
+def _by_nearness(*keys: str) -> Column:
+    """The place among the candidates of keys: by known date first, nearest date, export row."""
+    return F.row_number().over(W.partitionBy(*keys).orderBy(F.col("delta").isNull(), F.abs(F.coalesce("delta", F.lit(0))), "x_row"))
+
+
+def _prepared(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, days: int, ascii_only: bool, fuzzy: bool, lexicon: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The tracker's rows with matches, authors and what the name scan says, and the candidates of all rows."""
     from ..functions import forms
 
     t = forms.add_forms(attach(tracker, resolutions), "name", "__", ascii_only)
@@ -223,69 +265,72 @@ def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, win
     own = F.nullif(F.col("author_id"), F.lit(""))
     via = F.col("ok") & F.col("m_post").isNull() & own.isNull() & F.col("sibling").isNotNull()
     t = t.withColumn("via_sibling", via).withColumn("author", F.when(via, F.col("sibling")).otherwise(own)).drop("sibling")
-    authors = export.where("username is not null and username <> ''").groupBy(F.col("username").alias("a_user")).agg(F.count("*").alias("a_posts"))
+    authors = export.where("username is not null and username <> ''").select(F.col("username").alias("a_user")).distinct()
     t = t.join(authors, F.col("author") == F.col("a_user"), "left")
     known = export.agg(F.coalesce(F.max(F.coalesce(F.col("username") != "", F.lit(False))), F.lit(False)).alias("has_users"))
     t = t.crossJoin(F.broadcast(known))  # one row
 
     # The scan: distinct names of rows that need candidates against distinct blogger names.
-    need = t.where(F.col("m_post").isNull())
-    left = need.select(F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct().withColumn("l_id", F.concat_ws("\x01", "norm", "cjk", "ascii"))
+    key = F.concat_ws("\x01", "__norm", "__cjk", "__ascii")
+    t, e = settled(t.withColumn("l_id", key)), e.withColumn("r_id", key)
+    names = lambda df, id: df.select(F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii"), id).distinct()
+    left = names(t.where(F.col("m_post").isNull()), "l_id")
+    lengths = left.select("l_id", F.char_length("cjk").alias("nc"), F.char_length("norm").alias("nn"))
     if lexicon is not None:
         left = forms.transliterate(left, "cjk", lexicon, "pinyin")
-    right = e.select(F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct().withColumn("r_id", F.concat_ws("\x01", "norm", "cjk", "ascii"))
-    hits = name_hits(left, right, fuzzy=fuzzy)
-    key = F.concat_ws("\x01", "__norm", "__cjk", "__ascii")
-    shown = e.select(key.alias("r_id"), F.struct("excel_row", "post_id", "blogger", "username", "post_date").alias("x"))
-    pairs = need.select("excel_row", F.col("post_date").alias("t_date"), "author", F.char_length("__cjk").alias("nc"), F.char_length("__norm").alias("nn"), key.alias("l_id")).join(hits, "l_id").join(shown, "r_id")
     strong = ((F.col("method") == "cjk-substring") & (F.col("nc") >= 2)) | ((F.col("method") == "norm-substring") & (F.col("nn") >= 4))
-    foreign = F.coalesce((F.col("x.username") != "") & (F.col("x.username") != F.col("author")), F.lit(False))
-
-    def candidate(method: Column, date: Column) -> Column:
-        delta = F.date_diff(F.col("x.post_date").cast("date"), date)
-        value = F.struct(F.col("x.post_id").alias("post_id"), F.col("x.blogger").alias("blogger"), F.col("x.username").alias("username"), delta.alias("delta"), method.alias("method"))
-        return F.struct(delta.isNull().alias("a"), F.abs(delta).alias("b"), F.col("x.excel_row").alias("c"), value.alias("value"))
-
-    near = F.coalesce(F.abs(F.date_diff(F.col("x.post_date").cast("date"), F.col("t_date"))) <= days, F.lit(True))
-    c = candidate(F.col("method"), F.col("t_date"))
-    scanned = pairs.groupBy("excel_row").agg(
-        F.count("*").alias("hits"), F.collect_list(F.when(near, c)).alias("near"), F.collect_list(F.when(strong & near, c)).alias("strong_near"),
-        F.collect_list(F.when(strong, c)).alias("strong"), F.max(strong & foreign).alias("foreign"), F.max(F.coalesce(F.col("x.username") == F.col("author"), F.lit(False))).alias("own_hit"),
-    ).withColumnRenamed("excel_row", "s_row")
-    # Rows of the author stand in where no name hit exists at all.
-    lone = need.where(F.col("a_user").isNotNull()).join(scanned.select("s_row"), F.col("excel_row") == F.col("s_row"), "left_anti")
-    by_author = lone.select("excel_row", F.col("post_date").alias("t_date"), "author").join(
-        export.select(F.col("username").alias("author"), F.struct("excel_row", "post_id", "blogger", "username", "post_date").alias("x")), "author"
-    ).where(near).groupBy(F.col("excel_row").alias("b_row")).agg(F.collect_list(candidate(F.lit("same-author"), F.col("t_date"))).alias("author_rows"))
-    t = t.join(scanned, F.col("excel_row") == F.col("s_row"), "left").join(by_author, F.col("excel_row") == F.col("b_row"), "left")
+    hits = name_hits(left, names(e, "r_id"), fuzzy=fuzzy).join(lengths, "l_id").select("l_id", "r_id", "method", strong.alias("strong"))
+    return _evidence(t, e, export, hits, days)
+
+
+def candidates(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, days: int = 7, ascii_only: bool = False, fuzzy: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
+    """All candidates of all tracker rows, one a row: excel_row, place (from 1), post_id, blogger, username, delta, method, nearest date first."""
+    _, found = _prepared(tracker, export, resolutions, days, ascii_only, fuzzy, lexicon)
+    return found.select("excel_row", _by_nearness("excel_row").alias("place"), "post_id", "blogger", "username", "delta", "method")
+
+
+def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, window: tuple | None = None, days: int = 7, ascii_only: bool = False, fuzzy: bool = True, lexicon: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
+    """One verdict for each tracker row. A lexicon (char, syllable) adds the rung that reads Chinese names aloud.
+
+    tracker: excel_row, campaign, no, name, post_date, post_link; export: excel_row, post_id, username, blogger, post_date.
+    Result: the tracker's columns, note_id, author_id, status, tier, matched (post), name_mislabel, out_of_window,
+    review_reason, n_candidates and candidates (post_id, blogger, username, delta, method), nearest date first: the
+    first `keep` of them, so that a row stays bounded; candidates() has them all.
+    """
+    from ..functions import forms
+
+    t, found = _prepared(tracker, export, resolutions, days, ascii_only, fuzzy, lexicon)
+    found = settled(found)
+    parts = found.withColumn("salt", F.pmod(F.xxhash64("x_row"), F.lit(SALT)))
+    some = parts.withColumn("place", _by_nearness("excel_row", "salt")).where(F.col("place") <= keep).withColumn("place", _by_nearness("excel_row")).where(F.col("place") <= keep)
+    value = F.struct("post_id", "blogger", "username", "delta", "method")
+    listed = some.groupBy("excel_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", value.alias("value")))), lambda c: c["value"]).alias("candidates"))
+    listed = listed.join(found.groupBy("excel_row").agg(F.count("*").alias("n_candidates")), "excel_row").withColumnRenamed("excel_row", "s_row")
+    t = t.join(listed, F.col("excel_row") == F.col("s_row"), "left")
 
     matched, has = F.col("m_post").isNotNull(), F.col("author").isNotNull()
     in_export, ok = F.col("a_user").isNotNull(), F.col("ok")
-    conflict = F.coalesce(F.col("foreign") & ~F.col("own_hit"), F.lit(False))
-    any_strong = F.coalesce(F.size("strong") > 0, F.lit(False))
     by_id = F.when(F.col("via_sibling"), "2:author-id-sibling").otherwise("2:author-id")
     cases = [
         (matched, "MATCH", F.lit("1:note-id-join"), ""),
         (ok & has & ~F.col("has_users"), "REVIEW", F.lit("2:no-username-column"), "no-username"),
-        (ok & in_export & conflict, "REVIEW", F.lit("2:author-id+name-conflict"), "foreign-name"),
+        (ok & in_export & F.col("conflict"), "REVIEW", F.lit("2:author-id+name-conflict"), "foreign-name"),
         (ok & in_export, "NO_POST", by_id, ""),
-        (ok & has & any_strong, "REVIEW", F.lit("2:author-id+name-conflict"), "same-name"),
+        (ok & has & F.col("any_strong"), "REVIEW", F.lit("2:author-id+name-conflict"), "same-name"),
         (ok & has, "NO_BLOGGER", by_id, ""),
         (ok, "REVIEW", F.lit("1:resolved-no-author"), "no-author"),
     ]
     status, tier, reason = F.lit("LINK_ERROR"), F.lit("3:name-heuristic"), F.lit("")
     for test, s, r, why in reversed(cases):
         status, tier, reason = F.when(test, s).otherwise(status), F.when(test, r).otherwise(tier), F.when(test, why).otherwise(reason)
-    nothing = F.array().cast(scanned.schema["near"].dataType)
-    listed = F.when(matched | ((status == "NO_BLOGGER")), nothing).when(ok & has & F.col("has_users") & ~in_export, F.when(F.size("strong_near") > 0, F.col("strong_near")).otherwise(F.col("strong")))
-    listed = listed.when(ok & in_export & F.col("hits").isNull(), F.col("author_rows")).otherwise(F.col("near"))
+    nothing = F.array().cast(listed.schema["candidates"].dataType)
     lo, hi = (F.lit(None).cast("date"), F.lit(None).cast("date")) if window is None else (F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date"))
     outside = F.coalesce(~F.col("post_date").between(lo, hi), F.lit(False))
     contains = forms.name_contains(F.col("__norm"), F.col("__cjk"), F.col("m_norm"), F.col("m_cjk"))
     return t.select(
         *[f"`{n}`" for n in tracker.columns], "note_id", F.coalesce("author", F.lit("")).alias("author_id"), status.alias("status"), tier.alias("tier"), reason.alias("review_reason"),
         F.when(matched, F.struct("m_row", "m_post", "m_blogger", "m_user", "m_date", F.date_diff(F.col("m_date").cast("date"), "post_date").alias("delta"))).alias("matched"),
-        (matched & ~contains).alias("name_mislabel"), outside.alias("out_of_window"), _ranked(F.coalesce(listed, nothing)).alias("candidates"),
+        (matched & ~contains).alias("name_mislabel"), outside.alias("out_of_window"), F.coalesce("candidates", nothing).alias("candidates"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
     )
 
 

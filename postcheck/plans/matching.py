@@ -54,10 +54,25 @@ def X1_X7_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, sf_dir).select("excel_row", "note_id", "author_id", "status", "tier", "name_mislabel", "out_of_window", F.col("matched.m_post").alias("matched_post"))
 
 
+@query(
+    _VERDICTS
+    + """, q AS (SELECT p.*, v.status, v.tier, v.own_author <> '' OR v.via AS has, v.ok AND v.author_id <> '' AND p.author_id NOT IN (SELECT username FROM users WHERE username IS NOT NULL) AS absent, length(p.name) >= 4 AS strong
+            FROM pairs p JOIN v USING (excel_row)),
+        c AS (SELECT excel_row, post_id, blogger, username, e_row, date_diff('day', t_date, e_date) AS delta, 'norm-substring' AS method FROM q WHERE (near AND (NOT absent OR strong))
+                OR (absent AND strong AND excel_row NOT IN (SELECT excel_row FROM q WHERE near AND absent AND strong))
+            UNION ALL SELECT v.excel_row, e.post_id, e.blogger, e.username, e.excel_row, date_diff('day', v.post_date, e.post_date), 'same-author' FROM v JOIN export e ON e.username = v.author_id
+            WHERE v.m_post IS NULL AND v.ok AND v.author_id <> '' AND v.hits IS NULL AND coalesce(abs(date_diff('day', v.post_date, e.post_date)) <= 7, true))
+        SELECT excel_row, CAST(row_number() OVER (PARTITION BY excel_row ORDER BY delta IS NULL, abs(delta), e_row) AS INTEGER) AS place, post_id, blogger, username, CAST(delta AS INTEGER) AS delta, method FROM c"""
+)
+def W3_F5_X7_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every row, in order: near ones, all of a conflict that has none near, the author's where no name fits."""
+    return m.candidates(a.tracker(spark, sf_dir), a.export(spark, sf_dir), a.resolutions(spark, sf_dir), ascii_only=True, fuzzy=False)
+
+
 @query(_VERDICTS + " SELECT excel_row, coalesce(n_near, 0) AS n_candidates, best FROM v WHERE status = 'LINK_ERROR' OR tier = '1:resolved-no-author'")
 def W3_F5_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdicts(spark, sf_dir).where("status = 'LINK_ERROR' or tier = '1:resolved-no-author'")
-    return v.select("excel_row", F.size("candidates").cast("long").alias("n_candidates"), F.get("candidates", F.lit(0))["post_id"].alias("best"))
+    return v.select("excel_row", "n_candidates", F.get("candidates", F.lit(0))["post_id"].alias("best"))
 
 
 TEXTS = f"""CASE status WHEN 'MATCH' THEN CASE WHEN name_mislabel THEN '{m.MISLABEL}' ELSE '' END

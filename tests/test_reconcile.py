@@ -164,3 +164,20 @@ def test_no_cartesian_product_and_no_python(world):
     _, frames, _, _ = world
     plan = match.reconcile(*frames, ascii_only=True, fuzzy=False)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_frequent_names_keep_bounded_lists(spark):
+    """A third of all posts under one name: rows list the nearest few and count them all, the long table has every one."""
+    day = lambda n: dt.date(2031, 1, 1) + dt.timedelta(n)
+    posts = [(n, "Common Name", f"u{n % 3}", f"p{n}", dt.datetime.combine(day(n % 40), dt.time())) for n in range(300)] + [(900 + n, "Common Name", "u9", f"q{n}", None) for n in range(5)]
+    rows = [(k, "C", str(k), "Common Name", day(k), f"http://d/{k}") for k in range(12)] + [(50, "C", "50", "Common Name", None, "http://d/50")]
+    frames = spark.createDataFrame(rows, TRACKER), spark.createDataFrame(posts, EXPORT), spark.createDataFrame([("http://d/0", "failed", "", "")], CACHE)
+    short = {r["excel_row"]: r for r in match.reconcile(*frames, ascii_only=True, fuzzy=False, keep=6).collect()}
+    whole: dict = {}
+    for r in match.candidates(*frames, ascii_only=True, fuzzy=False).orderBy("excel_row", "place").collect():
+        whole.setdefault(r["excel_row"], []).append((r["post_id"], r["delta"]))
+    for k, _, _, _, date, _ in rows:
+        want = [(p, d and date and (d.date() - date).days, n) for n, _, _, p, d in posts]
+        want = sorted((x for x in want if x[1] is None or abs(x[1]) <= 7), key=lambda x: (x[1] is None, abs(x[1] or 0), x[2]))
+        assert whole[k] == [x[:2] for x in want] and short[k]["n_candidates"] == len(want)
+        assert [(c["post_id"], c["delta"]) for c in short[k]["candidates"]] == whole[k][:6]
