@@ -142,7 +142,7 @@ _PIVOT = "SELECT tier, max(CASE WHEN coop = 'PAID' THEN {0} END) AS paid, max(CA
     UNION ALL SELECT 'cpm_winner', {_ORDER}, printf('%s: %s ¥%.0f VS ¥%.0f', tier, CASE WHEN paid <= soft THEN 'PAID' ELSE 'SOFT' END, least(paid, soft), greatest(paid, soft)) FROM cpm
     UNION ALL SELECT 'cpe_winner', {_ORDER}, printf('%s: %s ¥%.1f VS ¥%.1f', tier, CASE WHEN paid <= soft THEN 'PAID' ELSE 'SOFT' END, least(paid, soft), greatest(paid, soft)) FROM cpe
     UNION ALL SELECT 'footnote', 1, printf('Basis: pooled; n = %d posts: %s', (SELECT count(*) FROM live), (SELECT string_agg(tier || ' ' || n, ' · ' ORDER BY o) FROM (SELECT tier, {_ORDER} AS o, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY tier)))
-    UNION ALL SELECT 'caveat', {_ORDER}, printf('%s = %d post(s), too few to compare', grp, n) FROM g WHERE n < 3""")
+    UNION ALL SELECT 'caveat', {_ORDER}, printf('%s: %d post(s), too few to compare', grp, n) FROM g WHERE n < 3""")
 def R1_R4_A29_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     return e.insights(e.group_metrics(p), e.totals(p))
