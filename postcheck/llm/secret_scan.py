@@ -2,8 +2,9 @@
 
 A candidate is a run of printable ASCII in a word: between quotes, brackets and the like, and again between the marks
 ! # ? & , where it holds some, so that neither JSON, calls, query strings and trailing marks nor marks inside a password
-hide it. It has at least MIN_LENGTH characters and a digit, unless a name before = or : announces it or its format is
-known. Key blocks of several words (from -----BEGIN ... PRIVATE KEY----- to its END) are candidates as a whole. A candidate
+hide it. It has at least MIN_LENGTH characters and a digit, unless a name before = or : announces it (of any length, with a
+word such as Bearer between them or not) or its format is known. What stands before = or : and holds a digit, but announces
+nothing, may be the first half of a secret: then the whole is a candidate besides the part behind. Key blocks of several words (from -----BEGIN ... PRIVATE KEY----- to its END) are candidates as a whole. A candidate
 is judged on its length, character transitions (how often its classes follow each other, and how rare its pairs of
 characters are among the dictionary's), dictionary coverage, path marks and neighbouring words. Extraction, features and scoring are DataFrame functions and the
 JVM's random forest: no Python runs on the executors. Texts are read once and only candidates move.
@@ -25,13 +26,17 @@ MIN_LENGTH = 12
 #: Labelled findings to fit on, trees and their depth.
 SAMPLE, TREES, DEPTH, SEED = 20_000, 20, 6, 5
 #: Fixed value: words that announce a secret.
-ANNOUNCED = r"(?i)(passw|passphrase|pwd|secret|token|api|key|auth|credential|bearer)"
+ANNOUNCED = r"(?i)(passw|passphrase|pwd|(?<![a-z])pw(?![a-z])|secret|token|api|key|auth|credential|bearer)"
 #: Published key formats.
 KNOWN = "(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})"
 _ASSIGNED = r"""[=:]["'`(<\[{\\]*$"""
 _CANDIDATE = r"^(?=.*[0-9]).*[\x21-\x7e]{12}|" + KNOWN
-_NAME = r"""([A-Za-z_.-]{1,40})["'`\\]*[=:]+>?["'`(<\[{\\]*"""
+#: Fixed value: words between an announcement and its value.
+_SCHEME = r"""[=:]["'`(<\[{\\]* ?["'`]*(?i:bearer|basic|token)$"""
+_LED = r"""[=:]["'`(<\[{\\]*$|(?i:bearer|basic|token)$"""
 _START, _END = r"[A-Za-z0-9_+/@$%~^*.=:-]", r"[A-Za-z0-9_+/@$%~^*=-]"
+# A name of any length, what assigns, opening marks, and the beginning of a value; nothing is given back, so a long run costs in proportion.
+_NAME = r"""([A-Za-z0-9_.-]++)["'`\\]*+[=:]++>?+["'`(<\[{\\]*+""" + f"(?={_START})"
 _RUN = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|]]"""
 _PART = r"""[\x21-\x7e&&[^"'`<>()\[\]{};\\|!#?&,]]"""
 _PIECES = [f"(?:{_NAME})?{_START}(?:{inside}*{_END})?" for inside in (_RUN, _PART)]
@@ -46,12 +51,13 @@ FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", *(s[
 def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, pos (word position), value, left (name before = or :), before (two words), after (one word)."""
     words = F.split(quoted(text), r"[\x20\x09-\x0D]+")
+    led = lambda before: before.rlike(ANNOUNCED) & (before.rlike(_ASSIGNED) | before.rlike(_SCHEME))
 
     def shaped(w: Column) -> Column:
         told = lambda x: x.rlike(ANNOUNCED) & x.rlike("[=:]")
         at = F.filter(
             F.sequence(F.lit(0), F.size(w) - 1),
-            lambda i: F.get(w, i).rlike(_CANDIDATE) | told(F.get(w, i)) | (F.get(w, i - 1).rlike(_ASSIGNED) & F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).rlike(ANNOUNCED)),
+            lambda i: F.get(w, i).rlike(_CANDIDATE) | told(F.get(w, i)) | (F.get(w, i - 1).rlike(_LED) & led(F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)))),
         )
         return F.transform(
             at,
@@ -67,8 +73,10 @@ def candidates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     pieces = F.array_distinct(F.concat(*[F.regexp_extract_all("c.word", F.lit(p), F.lit(0)) for p in _PIECES]))
     part = lambda n: F.regexp_extract("piece", _SPLIT, n)
     runs = found.select("doc_id", "c.pos", "c.word", F.explode(pieces).alias("piece"), "c.before", "c.after")
-    split = runs.select("doc_id", "pos", "word", part(2).alias("value"), part(1).alias("left"), "before", "after")
-    announced = F.col("left").rlike(ANNOUNCED) | (F.col("before").rlike(ANNOUNCED) & F.col("before").rlike(_ASSIGNED))
+    halves = F.struct(part(2).alias("value"), part(1).alias("left"))
+    whole = F.when(part(1).rlike("[0-9]") & ~part(1).rlike(ANNOUNCED), F.struct(F.col("piece").alias("value"), F.lit("").alias("left")))
+    split = runs.select("doc_id", "pos", "word", F.inline(F.array_compact(F.array(halves, whole))), "before", "after")
+    announced = F.col("left").rlike(ANNOUNCED) | led(F.col("before"))
     shapely = (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
     single = split.where((F.col("value") != "") & (shapely | announced | F.col("value").rlike(f"^{KNOWN}$")))
     # The position of a block is that of its first word: the number of white-space runs before it.
@@ -158,9 +166,10 @@ def scan(docs: DataFrame, findings: DataFrame, dictionary: DataFrame, text: str
 
 
 def weak_label(found: DataFrame) -> Column:
-    """A label for findings nobody has looked at: published key formats and announced random values are 1; addresses, numbers and covered names are 0; the rest null."""
+    """A label for findings nobody has looked at: published key formats and announced random values are 1; addresses, numbers, times, scheme words and file names are 0; the rest null."""
     v = F.col("value")
     announced = F.col("left").rlike(ANNOUNCED) | F.col("before").rlike(ANNOUNCED)
     random = v.rlike("^[0-9a-f]{16,}$") | (v.rlike("^[A-Za-z0-9_+/=-]{20,}$") & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    plain = v.rlike(r"^[0-9.:\-/ ]+$") | v.contains("@") | F.col("word").contains("://") | v.rlike(r"\.(com|org|net|html?|py|txt)\b")
+    # Numbers and times (2026-01-16T10:00:07Z), and the scheme word before an announced value.
+    plain = v.rlike(r"^[0-9.:\-/ +TZ]+$") | v.rlike("^(?i:bearer|basic|token)$") | v.contains("@") | F.col("word").contains("://") | v.rlike(r"\.(com|org|net|html?|py|txt)\b")
     return F.when(v.rlike(f"^{KNOWN}$") | v.startswith("-----BEGIN "), 1).when(announced & random, 1).when(plain, 0)

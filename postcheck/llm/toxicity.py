@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 From at most `sample` labelled rows (a documented bound) three things are fitted: a lexicon of words and word beginnings that mark the positive class,
-boosted trees on dense features, and an isotonic map from margins to probabilities on rows the trees have not seen.
+boosted trees on dense features, and an isotonic map from margins to probabilities on a quarter of each class that neither lexicon nor trees have seen.
 Scoring is a narrow pass over all whole texts: an Arrow map makes the features, the fitted trees run in the JVM.
 """
 
@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,7 +138,8 @@ def score(
     Fitted on the `sample` labelled ids of least hash whose crc32(id as text) modulo folds is not 0; those with 0 are held out.
     Only the text goes into a score. Null texts count as empty and get a score too. Labels that are null or neither 0
     nor 1 are ignored; an id with several labels takes the greatest, repeated documents of an id all count. Without
-    labels of both classes every score is the share of the positive class (0 without any). Null ids are not held out. Other columns stay; those
+    labels of both classes every score is the share of the positive class (0 without any); with a single id of a class
+    there is nothing to hold back, and all three are fitted on all chosen rows. Null ids are not held out. Other columns stay; those
     named like the results are replaced; an empty table stays empty.
     """
     docs = docs.select(*[quoted(c) for c in docs.columns if c not in ("held_out", "score", "predicted")])
@@ -154,13 +156,16 @@ def score(
     if len(shares) < 2:
         known = float(shares.get(1, 0) > 0)
         return docs.select("*", held, F.lit(known).alias("score"), F.lit(int(known)).alias("predicted"))
-    weights = learn_lexicon(fit)
+    # A quarter of each class's ids (of at most `sample`) by hash, the second one first: two ids are enough for both parts.
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("__id", F.lit(3)), "__id"))
+    parts = fit.select("label", "__id").distinct().select("__id", (place % 4 == 2).alias("later"))
+    fit = stored(fit.join(F.broadcast(parts), "__id"))
+    both = fit.where("later").select("label").distinct().count() == 2
+    weights = learn_lexicon(fit.where("not later") if both else fit)
     assemble = VectorAssembler(inputCols=[f"__{f}" for f in FEATURES], outputCol="__features")
     ready = stored(with_features(fit, weights, "text").drop("text").repartition(4, "__id"))
-    ready = assemble.transform(ready).select("__features", "label", (F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(4)) == 0).alias("later"))
-    early, later = ready.where("not later"), ready.where("later")
-    both = lambda part: part.select("label").distinct().count() == 2
-    early, later = (early, later) if both(early) and both(later) else (ready, ready)
+    ready = assemble.transform(ready).select("__features", "label", "later")
+    early, later = (ready.where("not later"), ready.where("later")) if both else (ready, ready)
     boosted = GBTClassifier(labelCol="label", featuresCol="__features", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, predictionCol="__p")
     trees = boosted.setRawPredictionCol("__raw").setProbabilityCol("__prob").fit(early)
     margin = vector_to_array("__raw")[1]
