@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled
+
 ORPHANED = "interrupted by a restart"
 
 
@@ -24,14 +26,32 @@ def expired(runs: DataFrame, as_of, max_age_seconds: float, active: DataFrame |
     return out if active is None else out.join(active.select("run_id"), "run_id", "left_anti")
 
 
-def over_budget(runs: DataFrame, budget: int) -> DataFrame:
-    """Runs to evict, oldest first, until the total fits; protected ones stay but count. runs: run_id, bytes, modified_at, protected.
+def sums_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Append the sum of value over all rows before each one in the given order, without one task seeing all of them.
 
-    The running sum is over one row for each run: a manifest, not data.
+    Rows go into ranges of the order, written once so that the ranges stay what they are if an executor is lost; the
+    ranges' sums (one for each, no more than there are shuffle partitions) pass through the driver and come back as offsets. Nulls count as 0.
     """
-    total = runs.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("modified_at", "run_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return runs.where("not protected").crossJoin(total).withColumn("before", before).where(F.col("total") - F.col("before") > budget).select(*runs.columns)
+    spark = df.sparkSession
+    amount = F.coalesce(F.col(value), F.lit(0))
+    ranges = settled(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *order).withColumn("__range", F.spark_partition_id()))
+    sums = ranges.groupBy("__range").agg(F.sum(amount).alias("s"))
+    kind = sums.schema["s"].dataType
+    offsets, so_far = [], 0
+    for r in sorted(sums.collect()):
+        offsets.append((r["__range"], so_far))
+        so_far += r["s"]
+    known = spark.createDataFrame([(n, str(s)) for n, s in offsets], "__range int, __offset string").select("__range", F.col("__offset").cast(kind))
+    within = F.sum(amount).over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    with_offsets = ranges.join(F.broadcast(known), "__range")
+    return with_offsets.withColumn(out, F.coalesce(within, F.lit(0)) + F.col("__offset")).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def over_budget(runs: DataFrame, budget: int) -> DataFrame:
+    """Runs to evict, oldest first, until the total fits; protected ones stay but count. runs: run_id, bytes, modified_at, protected. Null sizes count as 0."""
+    total = runs.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))  # one row
+    ranked = sums_before(runs.where("not protected"), ["modified_at", "run_id"], "bytes", "__before")
+    return ranked.crossJoin(F.broadcast(total)).where(F.col("total") - F.col("__before") > budget).select(*runs.columns)
 
 
 def drop_run(overrides: DataFrame, removed: DataFrame) -> DataFrame:

@@ -199,6 +199,8 @@ def attach(tracker: DataFrame, resolutions: DataFrame) -> DataFrame:
     return joined.select(*[f"`{c}`" for c in tracker.columns], F.coalesce("note_id", F.lit("")).alias("note_id"), F.coalesce("author_id", F.lit("")).alias("author_id"), ok.alias("ok"))
 
 
+#: The export's engagement figures that a matched row shows; figures the export lacks are null.
+ENGAGEMENT = ("likes_retweet", "share_favorites", "comments", "engagement", "weighted_eng")
 #: Candidates that a verdict lists, the nearest ones, and parts in which a row's are ranked before they meet.
 KEEP, SALT = 100, 16
 
@@ -258,7 +260,8 @@ def _prepared(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, day
     e = forms.add_forms(export, "blogger", "__", ascii_only)
     posts = first_per_key(e, ["post_id"], "excel_row").select(
         F.col("post_id").alias("m_post"), F.col("username").alias("m_user"), F.col("blogger").alias("m_blogger"), F.col("excel_row").alias("m_row"),
-        F.col("post_date").alias("m_date"), F.col("__norm").alias("m_norm"), F.col("__cjk").alias("m_cjk"))
+        F.col("post_date").alias("m_date"), F.col("__norm").alias("m_norm"), F.col("__cjk").alias("m_cjk"),
+        F.struct(*[(F.col(c) if c in e.columns else F.lit(None).cast("double")).alias(c) for c in ENGAGEMENT]).alias("m_figures"))
     t = t.join(posts, F.col("ok") & (F.col("note_id") == F.col("m_post")), "left")
     siblings = sibling_authors(t.select(F.col("__norm").alias("nkey"), F.when(F.col("ok"), F.col("author_id")).alias("author_id"), F.col("m_user").alias("matched_username")))
     t = t.join(siblings.withColumnRenamed("nkey", "__nkey"), F.col("__norm") == F.col("__nkey"), "left").drop("__nkey")
@@ -293,7 +296,7 @@ def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, win
     """One verdict for each tracker row. A lexicon (char, syllable) adds the rung that reads Chinese names aloud.
 
     tracker: excel_row, campaign, no, name, post_date, post_link; export: excel_row, post_id, username, blogger, post_date.
-    Result: the tracker's columns, note_id, author_id, status, tier, matched (post), name_mislabel, out_of_window,
+    Result: the tracker's columns, note_id, author_id, status, tier, matched (post with its engagement), name_mislabel, out_of_window,
     review_reason, n_candidates and candidates (post_id, blogger, username, delta, method), nearest date first: the
     first `keep` of them, so that a row stays bounded; candidates() has them all.
     """
@@ -329,7 +332,7 @@ def reconcile(tracker: DataFrame, export: DataFrame, resolutions: DataFrame, win
     contains = forms.name_contains(F.col("__norm"), F.col("__cjk"), F.col("m_norm"), F.col("m_cjk"))
     return t.select(
         *[f"`{n}`" for n in tracker.columns], "note_id", F.coalesce("author", F.lit("")).alias("author_id"), status.alias("status"), tier.alias("tier"), reason.alias("review_reason"),
-        F.when(matched, F.struct("m_row", "m_post", "m_blogger", "m_user", "m_date", F.date_diff(F.col("m_date").cast("date"), "post_date").alias("delta"))).alias("matched"),
+        F.when(matched, F.struct("m_row", "m_post", "m_blogger", "m_user", "m_date", F.date_diff(F.col("m_date").cast("date"), "post_date").alias("delta"), *[F.col(f"m_figures.{c}").alias(c) for c in ENGAGEMENT])).alias("matched"),
         (matched & ~contains).alias("name_mislabel"), outside.alias("out_of_window"), F.coalesce("candidates", nothing).alias("candidates"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
     )
 

@@ -9,6 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .match import ENGAGEMENT
+from .roster import membership_text
+
+#: The evidence columns of an annotated tracker by their headers' order, and the column from which room for them is looked for.
+EVIDENCE = ("status", "matched_blogger", "membership_text", "likes_retweet", "share_favorites", "comments", "engagement", "weighted_eng")
+FIRST_FREE = 20
 #: Fixed value: the override that clears an annotation.
 CLEARED = "已匹配（清空S）"
 CAVEAT = "Export engagement is an early snapshot and not comparable with final tracker figures; it is context only and never used for matching."
@@ -28,6 +34,7 @@ def annotate(verdicts: DataFrame, overrides: DataFrame, existing: str = "existin
     out = verdicts.join(o, F.col("excel_row") == F.col("__row"), "left")
     over, kept, own = F.col("__over"), F.coalesce(F.col(existing), F.lit("")), F.coalesce("annotation", F.lit(""))
     text = F.when(over.isNotNull(), F.when(over == CLEARED, "").otherwise(over)).when(kept != "", kept).otherwise(own)
+    # What a status says of overrides and kept annotations.
     shown = F.when(own == "", "(blank=matched)").otherwise(own)
     status = F.when(over.isNotNull(), F.concat(F.col("status"), F.lit(" (override)"), F.when(kept != "", F.concat(F.lit(" (source S '"), kept, F.lit("' replaced by override)"))).otherwise("")))
     status = status.when((kept != "") & (F.trim(kept) != F.trim(own)), F.concat(F.col("status"), F.lit(" (S kept from source; pipeline verdict was "), shown, F.lit(")")))
@@ -35,6 +42,25 @@ def annotate(verdicts: DataFrame, overrides: DataFrame, existing: str = "existin
     return out.withColumn("annotation_out", text).withColumn("status_out", status).drop("__row", "__over")
 
 
+def evidence_columns(verdicts: DataFrame, status: str = "status") -> DataFrame:
+    """Excel_row and the evidence columns beside an annotation, named by EVIDENCE: status, matched blogger, membership text and the matched post's engagement; empty where there is none."""
+    values = [F.col(status), F.nullif("matched.m_blogger", F.lit("")), membership_text(F.col("membership")), *[F.col(f"matched.{c}") for c in ENGAGEMENT]]
+    return verdicts.select("excel_row", *[v.alias(name) for name, v in zip(EVIDENCE, values, strict=True)])
+
+
+def free_block(cells: DataFrame, first: int = FIRST_FREE, width: int = len(EVIDENCE)) -> DataFrame:
+    """(workbook, sheet, start): the first of `width` columns side by side, from column `first` on, in which a sheet holds nothing.
+
+    A sheet's distinct filled columns are ordered, not its cells; sheets without any start at `first`, and so do blank cells' columns count as free.
+    """
+    filled = F.coalesce(F.col("v_str") != "", F.lit(False)) | F.col("v_num").isNotNull() | F.col("v_ts").isNotNull()
+    sheets = cells.select("workbook", "sheet").distinct()
+    used = cells.where(filled & (F.col("col") >= first)).select("workbook", "sheet", "col").distinct().unionByName(sheets.withColumn("col", F.lit(first - 1)))
+    after = F.lead("col").over(W.partitionBy("workbook", "sheet").orderBy("col"))
+    free = used.withColumn("after", after).where(F.col("after").isNull() | (F.col("after") - F.col("col") > width))
+    return free.groupBy("workbook", "sheet").agg((F.min("col") + 1).alias("start"))
+
+
 def audit_document(run_id: str, verdicts: DataFrame) -> DataFrame:
     """One JSON line for each verdict under its run, for partitioned JSON output; the caveat travels on every line."""
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in verdicts.columns]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, forms, urls
+from ..functions.shared import settled
 from ..operators import adjudicate, evaluate, links, manifest, match, output, remap, roster
 from ..sources import adapters as a
 from ..sources import bind
@@ -179,7 +180,7 @@ def Q3_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudicate.summary_text(match.status_counts(verdicts(spark, sf_dir)))
 
 
-_MEMBERS = _VERDICTS + ", " + a.SQL["micro"] + ", " + a.SQL["macro"] + """, w AS (SELECT v.*, (i.redbook_id IS NOT NULL) AS in_i, (c.redbook_id IS NOT NULL) AS in_a FROM v LEFT JOIN micro i ON v.author_id = i.redbook_id LEFT JOIN macro c ON v.author_id = c.redbook_id),
+_MEMBERS = _VERDICTS + ", " + a.SQL["micro"] + ", " + a.SQL["macro"] + """, w AS (SELECT v.*, (i.redbook_id IS NOT NULL) AS in_i, (c.redbook_id IS NOT NULL) AS in_a FROM v LEFT JOIN micro i ON v.author_id = nullif(i.redbook_id, '') LEFT JOIN macro c ON v.author_id = nullif(c.redbook_id, '')),
     x AS (SELECT * EXCLUDE (status), CASE WHEN status = 'NO_BLOGGER' THEN CASE WHEN in_i AND in_a THEN 'both' WHEN in_i THEN 'micro' WHEN in_a THEN 'macro' ELSE 'none' END END AS membership,
         CASE WHEN status <> 'NO_BLOGGER' THEN status WHEN in_i OR in_a THEN 'NO_POST_IN_PERIMETER' ELSE 'NO_BLOGGER_NOT_IN_PERIMETER' END AS status FROM w)"""
 
@@ -198,13 +199,43 @@ def A2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.buckets(_members(spark, sf_dir))
 
 
-@query(_MEMBERS + """ SELECT x.excel_row, count(*) AS hits, CASE WHEN x.status = 'LINK_ERROR' THEN 'dead-link' WHEN count(*) > 1 THEN 'several' ELSE 'near-miss' END AS note
+@query(_MEMBERS + """ SELECT x.excel_row, count(*) AS hits, CASE WHEN x.status = 'LINK_ERROR' THEN 'dead-link' WHEN count(*) > 1 THEN 'several' WHEN max(redbook_id) = '' THEN 'unregistered' ELSE 'near-miss' END AS note
     FROM x JOIN micro ON contains(micro.name, x.name) WHERE x.status IN ('LINK_ERROR', 'NO_BLOGGER_NOT_IN_PERIMETER') GROUP BY x.excel_row, x.status""")
 def X9_X11_roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.name_evidence(_members(spark, sf_dir), a.roster(spark, sf_dir, "micro"), ascii_only=True, fuzzy=False).select("excel_row", "hits", "note")
 
 
-@query(a.with_tables("micro") + " SELECT count(*) AS rows, count(*) FILTER (WHERE redbook_id <> '') AS with_id, count(DISTINCT redbook_id) AS ids FROM micro")
+@query(_MEMBERS + """, hit AS (SELECT x.excel_row, x.status, 0 AS list, '' AS label, m.* FROM x JOIN micro m ON contains(m.name, x.name) UNION ALL SELECT x.excel_row, x.status, 1, 'Macro: ', m.* FROM x JOIN macro m ON contains(m.name, x.name)),
+    near AS (SELECT *, label || name || ' [' || CASE WHEN redbook_id = '' THEN 'no REDBOOK_ID' ELSE redbook_id END || '] (norm-substring)' AS line, row_number() OVER (PARTITION BY excel_row, list ORDER BY roster_row) AS place
+        FROM hit WHERE status IN ('LINK_ERROR', 'NO_BLOGGER_NOT_IN_PERIMETER')),
+    per AS (SELECT excel_row, list, status = 'LINK_ERROR' AS dead, count(*) AS n, min(name) AS name, min(redbook_id) AS redbook_id, min(followers) AS followers, string_agg(line, '; ' ORDER BY roster_row) FILTER (WHERE place <= 8) AS lines FROM near GROUP BY ALL),
+    told AS (SELECT *, CASE WHEN dead THEN 'dead-link' WHEN n > 1 THEN 'several' WHEN redbook_id = '' THEN 'unregistered' ELSE 'near-miss' END AS note, n = 1 AND NOT dead AS one FROM per)
+    SELECT excel_row, string_agg(note, '; ' ORDER BY list) AS notes, coalesce(string_agg(lines, '; ' ORDER BY list) FILTER (WHERE NOT one), '') AS lines, CASE WHEN bool_or(one) THEN 'norm-substring' END AS method,
+        arg_min(name, list) FILTER (WHERE one) AS name, arg_min(redbook_id, list) FILTER (WHERE one) AS redbook_id, CAST(arg_min(followers, list) FILTER (WHERE one) AS BIGINT) AS followers FROM told GROUP BY excel_row
+    UNION ALL SELECT x.excel_row, '', '', 'redbook-id', coalesce(i.name, c.name), coalesce(i.redbook_id, c.redbook_id), CAST(coalesce(i.followers, c.followers) AS BIGINT) FROM x LEFT JOIN micro i ON x.author_id = i.redbook_id LEFT JOIN macro c ON x.author_id = c.redbook_id
+    WHERE x.membership IN ('micro', 'macro', 'both')""")
+def X10_P32_roster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of both rosters with its precedence: near misses, entries without an id, several names, dead links, and rows whose id decided."""
+    micro, macro = (a.roster(spark, sf_dir, kind) for kind in ("micro", "macro"))
+    out = roster.evidence(settled(_members(spark, sf_dir)), micro, macro, ascii_only=True, fuzzy=False)
+    return out.select("excel_row", F.array_join("notes", "; ").alias("notes"), F.array_join("lines", "; ").alias("lines"), "perimeter.method", "perimeter.name", "perimeter.redbook_id", "perimeter.followers")
+
+
+@query(_MEMBERS + """ SELECT x.excel_row, x.status, nullif(x.m_blogger, '') AS matched_blogger, CASE membership WHEN 'micro' THEN 'Micro' WHEN 'macro' THEN 'Macro' WHEN 'both' THEN 'Micro + Macro' WHEN 'none' THEN 'None' END AS membership_text,
+    e.likes_retweet, e.share_favorites, e.comments, e.engagement, e.weighted_eng FROM x LEFT JOIN export e ON x.m_post = e.post_id""")
+def K1_P35_evidence_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.evidence_columns(_members(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'w' || (s_suppkey % 40) AS workbook, 1 + (s_suppkey * s_nationkey) % 70 AS col FROM supplier WHERE s_acctbal > 0), w AS (SELECT DISTINCT 'w' || (s_suppkey % 40) AS workbook FROM supplier)
+    SELECT workbook, CAST(min(s) AS INTEGER) AS start FROM w, generate_series(20, 200) g(s) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.workbook = w.workbook AND c.col BETWEEN s AND s + 7) GROUP BY workbook""")
+def K1_free_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with columns filled here and there; cells of suppliers in debt are blank."""
+    cells = a.read(spark, sf_dir, "supplier").selectExpr("'w' || (s_suppkey % 40) AS workbook", "'S' AS sheet", "CAST(1 + (s_suppkey * s_nationkey) % 70 AS INT) AS col", "CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS v_str", "CAST(NULL AS DOUBLE) AS v_num", "CAST(NULL AS TIMESTAMP) AS v_ts")
+    return output.free_block(cells).select("workbook", "start")
+
+
+@query(a.with_tables("micro") + " SELECT count(*) AS rows, count(*) FILTER (WHERE redbook_id <> '') AS with_id, count(DISTINCT nullif(redbook_id, '')) AS ids FROM micro")
 def A26_roster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.roster_stats(a.roster(spark, sf_dir, "micro"))
 

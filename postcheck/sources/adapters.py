@@ -27,9 +27,19 @@ EXPORT = {
     "blogger": "CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 25 <> 0 THEN 'x' || CAST(o_custkey AS STRING) ELSE 'k' || CAST(o_custkey AS STRING) || 'z' END",
     "post_date": "CAST(first_ship AS DATE)",
     "likes_retweet": "o_orderkey % 1000",
+    "share_favorites": "o_orderkey % 77",
+    "comments": "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderkey % 55 END",
+    "engagement": "o_orderkey % 1000 + o_orderkey % 77",
+    "weighted_eng": "CAST(o_orderkey % 1000 AS DOUBLE) / 4",
 }
 EXPORT_FILTER = "o_orderkey % 3 <> 0 AND (o_custkey % 5 <> 0 OR (o_custkey % 25 = 0 AND o_orderkey % 2 <> 0))"
-ROSTER = {"name": "'k' || CAST(c_custkey AS STRING) || 'z'", "redbook_id": "CAST(c_custkey AS STRING)", "followers": "c_custkey % 1000", "roster_row": "c_custkey"}
+#: Some names hold another customer's too, who is in no roster, and some entries have no id.
+ROSTER = {
+    "name": "'k' || CAST(c_custkey AS STRING) || 'z' || CASE WHEN c_custkey % 30 = 0 THEN 'k' || CAST(c_custkey + 5 AS STRING) || 'z' WHEN c_custkey % 60 = 10 THEN 'k' || CAST(c_custkey - 5 AS STRING) || 'z' ELSE '' END",
+    "redbook_id": "CASE WHEN c_custkey % 90 = 0 THEN '' ELSE CAST(c_custkey AS STRING) END",
+    "followers": "c_custkey % 1000",
+    "roster_row": "c_custkey",
+}
 ROSTER_FILTER = {"micro": "c_custkey % 10 = 0", "macro": "c_custkey % 15 = 0"}
 EFFICIENCY = {
     "excel_row": "l_orderkey * 8 + l_linenumber",

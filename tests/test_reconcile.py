@@ -181,3 +181,44 @@ def test_frequent_names_keep_bounded_lists(spark):
         want = sorted((x for x in want if x[1] is None or abs(x[1]) <= 7), key=lambda x: (x[1] is None, abs(x[1] or 0), x[2]))
         assert whole[k] == [x[:2] for x in want] and short[k]["n_candidates"] == len(want)
         assert [(c["post_id"], c["delta"]) for c in short[k]["candidates"]] == whole[k][:6]
+
+
+def test_evidence_of_both_rosters_keeps_their_order(spark):
+    """The micro list's note and row come first, lists stop at eight lines, deciding ids keep their row, either list may be missing."""
+    rows = [(1, "Alpha Nova", "NO_BLOGGER", "u1"), (2, "Beta Nova", "NO_BLOGGER", "u2"), (3, "Gamma Nova", "NO_BLOGGER", "u3"), (4, "Beta Nova", "LINK_ERROR", ""), (5, "Delta Nova", "NO_BLOGGER", None), (6, None, "LINK_ERROR", "")]
+    verdicts = spark.createDataFrame(rows, "excel_row int, name string, status string, author_id string")
+    schema = "roster_row int, name string, namebis string, dmrid string, redbook_id string, followers int, status string"
+    micro = spark.createDataFrame([(5, "first Alpha Nova", "", "d5", "U1", 9, "x"), (6, "Alpha Nova", "", "", "u1", 1, "x"), *[(n, f"Beta Nova {n}", "", "", f"b{n}", n, "x") for n in range(10, 25)], (30, "", "Gamma Nova", "", "", None, "x")], schema)
+    macro = spark.createDataFrame([(7, "Beta Nova", "", "", "b7", 3, "x"), (8, "Gamma Nova!", "", "", "g8", 4, "x"), (9, "Delta Nova", None, None, None, None, "x")], schema)
+    got = {r["excel_row"]: r for r in roster.evidence(roster.membership(verdicts, micro, macro), micro, macro, ascii_only=True, fuzzy=False).collect()}
+    assert (got[1]["note"], got[1]["perimeter"]["method"], got[1]["perimeter"]["dmrid"], got[1]["perimeter"]["followers"]) == (None, "redbook-id", "d5", 9)
+    assert (got[2]["notes"], len(got[2]["lines"]), got[2]["lines"][0], got[2]["perimeter"]["redbook_id"]) == (["several", "near-miss"], 8, "Beta Nova 10 [b10] (norm-substring)", "b7")
+    assert (got[3]["note"], got[3]["perimeter"]["namebis"], got[3]["lines"]) == ("unregistered", "Gamma Nova", [])
+    assert (got[4]["note"], len(got[4]["lines"]), got[4]["lines"][8], got[4]["perimeter"]) == ("dead-link", 9, "Macro: Beta Nova [b7] (norm-substring)", None)
+    assert (got[5]["notes"], got[5]["perimeter"]["name"]) == (["unregistered"], "Delta Nova") and 6 not in got
+    none = roster.membership(verdicts, micro.limit(0), macro)
+    alone = {r["excel_row"]: r for r in roster.evidence(none, None, macro, ascii_only=True, fuzzy=False).collect()}
+    assert (alone[2]["note"], alone[3]["perimeter"]["redbook_id"], set(alone)) == ("near-miss", "g8", {2, 3, 4, 5})
+    assert roster.evidence(none, None, None).count() == 0
+
+
+def test_sums_before_equal_a_running_sum(spark):
+    import random
+
+    from postcheck.operators import manifest, output
+
+    draw = random.Random(4)
+    rows = [(n, draw.choice([None, 1, 2, 2, 2, 2]), draw.choice([None, 0, 5, 7])) for n in range(500)]
+    df = spark.createDataFrame(rows, "run_id int, at int, bytes int")
+    want, so_far = {}, 0
+    for n, at, size in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+        want[n] = so_far
+        so_far += size or 0
+    out = manifest.sums_before(df, ["at", "run_id"], "bytes", "before")
+    assert {r["run_id"]: r["before"] for r in out.collect()} == want and out.columns == ["run_id", "at", "bytes", "before"]
+    assert manifest.sums_before(df.limit(0), ["at"], "bytes", "before").count() == 0
+    plan = manifest.over_budget(df.withColumn("modified_at", F.col("at")).withColumn("protected", F.lit(False)), 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 1  # that of the total
+    cells = [("w", "a", c, "x", None, None) for c in (3, 20, 28, 37)] + [("w", "b", 25, "", None, None), ("w", "c", 27, None, 1.0, None), ("w", "d", 28, None, None, dt.datetime(2031, 1, 1))]
+    blocks = output.free_block(spark.createDataFrame(cells, "workbook string, sheet string, col int, v_str string, v_num double, v_ts timestamp"))
+    assert {r["sheet"]: r["start"] for r in blocks.collect()} == {"a": 29, "b": 20, "c": 28, "d": 20}
