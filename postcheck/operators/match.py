@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.shared import settled
+from ..functions.similarity import partial_ratio
 from ..functions.urls import normalize_url
 
 #: Annotation texts by status.
@@ -41,47 +40,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("__k = 1").drop("__k")
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best similarity 200 * LCS / (both lengths) of the shorter text with any part of the longer of its length, or cut at an end."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0.0
-    m, n = len(a), len(b)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << m) - 1
-
-    def score(part: str) -> float:
-        row = full  # bits still unmatched: their number of zeros is the common subsequence's length
-        for c in part:
-            hit = row & where.get(c, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return 200.0 * (m - row.bit_count()) / (m + len(part))
-
-    spans = {(max(0, i), min(n, i + m)) for i in range(1 - m, n)}
-    best = max(score(b[i:j]) for i, j in spans)
-    return best if m < n or a == b else max(best, *(200.0 * _lcs(b, a[i:j]) / (n + j - i) for i, j in {(max(0, i), min(m, i + n)) for i in range(1 - n, m)}))
-
-
-def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
-
-
-def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b)])
-
-
-def _ratio(a: str, b: str) -> Column:
-    return F.pandas_udf(_ratio_series, T.DoubleType())(F.col(a), F.col(b))
-
-
 def _grams(c: Column) -> Column:
     """Distinct bigrams; the characters are split once, so a long text costs in proportion."""
     pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))
@@ -121,7 +79,7 @@ def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     shared = F.size(F.array_intersect("ls", "rs"))
     enough = F.when(F.col("from_left"), (F.col("lm") <= F.col("rm")) & (shared >= F.size("ls") - broken(F.col("lm")))).otherwise((F.col("rm") <= F.col("lm")) & (shared >= F.size("rs") - broken(F.col("rm"))))
     found = full.where(enough).select("l_id", "r_id", "lf", "rf").distinct()
-    return found.where(_ratio("lf", "rf") >= cutoff).select("l_id", "r_id")
+    return found.where(partial_ratio(F.col("lf"), F.col("rf")) >= cutoff).select("l_id", "r_id")
 
 
 def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postcheck.functions import coerce, forms, urls
+from postcheck.functions import coerce, forms, similarity, urls
 from postcheck.operators import adjudicate, efficiency, evaluate, links, manifest, match, output, remap
 from postcheck.sources import bind
 
@@ -33,19 +33,48 @@ def test_forms(spark):
     assert _one(spark, forms.is_hex24(F.col("x")), x=f" {N}a001 ") is True
 
 
+def _common(a, b):
+    """Length of the longest common subsequence, by the textbook table over all prefixes."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        above = row
+    return above[-1]
+
+
+def _defined_ratio(a, b):
+    """The partial ratio part by part, as it is defined."""
+    if not a or not b:
+        return 0.0
+    orders = [(a, b), (b, a)] if len(a) == len(b) else [tuple(sorted((a, b), key=len))]
+    parts = ((s, l[max(0, i) : i + len(s)]) for s, l in orders for i in range(1 - len(s), len(l)))
+    return max(200 * _common(s, p) / (len(s) + len(p)) for s, p in parts)
+
+
 def test_partial_ratio():
-    assert match.partial_ratio("momok", "momokkk") == 100
-    assert match.partial_ratio("", "abc") == 0 and match.partial_ratio("abcd", "abcd") == 100
     draw = random.Random(0)
-    for _ in range(300):
-        a, b = ("".join(draw.choice("abc") for _ in range(draw.randint(1, 7))) for _ in range(2))
-        s, l = sorted((a, b), key=len)
-        m, n = len(s), len(l)
-        parts = {l[max(0, i) : min(n, i + m)] for i in range(1 - m, n)}
-        want = max(200 * match._lcs(s, p) / (m + len(p)) for p in parts)
-        if m == n:
-            want = max(want, *(200 * match._lcs(l, p) / (n + len(p)) for p in {s[max(0, i) : min(m, i + n)] for i in range(1 - n, m)}))
-        assert abs(match.partial_ratio(a, b) - want) < 1e-9
+    text = lambda least, most, letters: "".join(draw.choice(letters) for _ in range(draw.randint(least, most)))
+    pairs = [("momok", "momokkk"), ("", "abc"), ("abcd", "abcd"), ("", ""), ("柚🌙茶", "x柚🌙🌙茶y"), ("a", "b" * 40), ("ab" * 30, "ba" * 90)]
+    pairs += [(text(0, 7, "abc"), text(0, 7, "abc")) for _ in range(400)] + [(text(5, 20, "abcdef柚"), text(5, 60, "abcdef柚")) for _ in range(60)]
+    got = similarity.partial_ratios(*map(list, zip(*pairs)))
+    for (a, b), one in zip(pairs, got):
+        assert abs(one - _defined_ratio(a, b)) < 1e-9, (a, b)
+    assert got[0] == 100 and got[2] == 100 and got[1] == 0
+
+
+def test_partial_ratio_in_blocks_and_of_long_texts(spark, monkeypatch):
+    draw = random.Random(5)
+    pairs = [("".join(draw.choice("abc") for _ in range(draw.randint(1, 9))), "".join(draw.choice("abc") for _ in range(draw.randint(1, 30)))) for _ in range(50)]
+    whole = similarity.partial_ratios(*map(list, zip(*pairs)))
+    monkeypatch.setattr(similarity, "CELLS", 40)
+    assert (similarity.partial_ratios(*map(list, zip(*pairs))) == whole).all()
+    needle, hay = "needle in the hay", "x" * 20000 + "needle on the hay" + "y" * 20000
+    df = spark.createDataFrame([(needle, hay), (hay, needle), (None, needle), (needle, None)], "a string, b string")
+    got = [r["v"] for r in df.select(similarity.partial_ratio(F.col("a"), F.col("b")).alias("v")).collect()]
+    assert got[0] == got[1] and abs(got[0] - _defined_ratio(needle, "x" * 20 + "needle on the hay" + "y" * 20)) < 1e-9 and got[2:] == [0, 0]
+    assert df.limit(0).select(similarity.partial_ratio(F.col("a"), F.col("b"))).isEmpty()
 
 
 def test_name_hits_lose_no_pair(spark):
@@ -63,7 +92,7 @@ def test_name_hits_lose_no_pair(spark):
             want = "cjk-substring"
         elif x["norm"] and x["norm"] in y["norm"]:
             want = "norm-substring"
-        elif min(len(x["ascii"]), len(y["ascii"])) >= 4 and match.partial_ratio(x["ascii"], y["ascii"]) >= 85:
+        elif min(len(x["ascii"]), len(y["ascii"])) >= 4 and _defined_ratio(x["ascii"], y["ascii"]) >= 85:
             want = "ascii-fuzzy"
         assert got.get((a, b)) == want, (a, b)
 
@@ -241,7 +270,7 @@ def test_fuzzy_blocking_loses_no_long_name(spark):
     names = sorted({*base, "aaaaaaaa", "abababab"})
     shown = sorted({*(edited(s, draw.randint(0, 4)) or "q" for s in base), *(word(6) + edited(s, 2) + word(3) for s in base[:30]), "aaaaaaa", "aaaabaaaa", "babababab"})
     got = {(r["l_id"], r["r_id"]) for r in match.name_hits(_forms(spark, names, "l_id"), _forms(spark, shown, "r_id")).where("method = 'ascii-fuzzy'").collect()}
-    want = {(a, b) for a, b in itertools.product(names, shown) if a not in b and min(len(a), len(b)) >= 4 and match.partial_ratio(a, b) >= 85}
+    want = {(a, b) for a, b in itertools.product(names, shown) if a not in b and min(len(a), len(b)) >= 4 and _defined_ratio(a, b) >= 85}
     assert got == want and len(want) > 20
 
 
@@ -277,7 +306,7 @@ def test_openings_against_brute_force(spark, tmp_path):
     for a, b in itertools.permutations(names, 2):
         if plain[a] in plain[b]:
             want[a, b] = "norm-substring"
-        elif min(len(plain[a]), len(plain[b])) >= 4 and match.partial_ratio(plain[a], plain[b]) >= 85:
+        elif min(len(plain[a]), len(plain[b])) >= 4 and _defined_ratio(plain[a], plain[b]) >= 85:
             want[a, b] = "ascii-fuzzy"
     assert got == want and "ascii-fuzzy" in want.values() and "norm-substring" in want.values()
 
