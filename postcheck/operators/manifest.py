@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.shared import settled
+from ..sources import versions
 
 ORPHANED = "interrupted by a restart"
 
@@ -19,6 +23,44 @@ def ingest_new(files: DataFrame, manifest: DataFrame, version: str, kind: str =
     return once.join(manifest.select("hash"), "hash", "left_anti")
 
 
+#: The stored record of an ingested file.
+RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("hash", "path", "version", "kind")]).add("shape", T.IntegerType()).add("payload", T.StringType()).add("warnings", T.ArrayType(T.StringType()))
+
+
+def ingest(files: DataFrame, table: str, parse: Callable[[DataFrame], DataFrame], version: str, kind: str = "", shape: int = 1) -> int:
+    """Parse and record the files whose content the table does not hold in this shape yet; running it again changes nothing.
+
+    parse takes (hash, path, content) and returns one row (hash, payload, warnings) for each. A record of an older shape counts as
+    absent and is replaced. Null content is empty content. Returns the table's version.
+    """
+    spark = files.sparkSession
+    known = versions.read(spark, table, schema=RECORD).where(F.col("shape") >= shape)
+    filled = files.select("path", F.coalesce("content", F.lit("").cast("binary")).alias("content"))
+    new = ingest_new(filled, known, version, kind)
+    fields = {"version": F.lit(version), "kind": F.lit(kind), "shape": F.lit(shape)}
+    parsed = parse(new.select("hash", "path", "content")).select("hash", "payload", "warnings")
+    records = parsed.join(new.select("hash", "path"), "hash").select(*[fields.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RECORD])
+
+    def kept(base: DataFrame, changes: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("hash").orderBy(F.desc("shape"), F.col("__new")))
+        both = base.withColumn("__new", F.lit(1)).unionByName(changes.withColumn("__new", F.lit(0)))
+        return both.withColumn("__place", place).where("__place = 1").drop("__new", "__place")
+
+    return versions.merge(records, table, ["hash"], kept)
+
+
+def replay(files: DataFrame, table: str, version: str, kind: str = "", shape: int = 1) -> DataFrame:
+    """(path, hash, state, payload, warnings) of every file: what was recorded of its content, whatever name it came under first.
+
+    state: stored; legacy, whose payload is of an older shape and is refused; absent. Warnings are told again at every reading.
+    """
+    named = files.select("path", F.sha2(F.concat(F.lit(f"{version}|{kind}|").cast("binary"), F.coalesce("content", F.lit("").cast("binary"))), 256).alias("hash"))
+    stored = versions.read(files.sparkSession, table, schema=RECORD).select("hash", "shape", "payload", "warnings")
+    state = F.when(F.col("shape").isNull(), "absent").when(F.col("shape") < shape, "legacy").otherwise("stored")
+    ok = state == "stored"
+    return named.join(stored, "hash", "left").select("path", "hash", state.alias("state"), F.when(ok, F.col("payload")).alias("payload"), F.when(ok, F.col("warnings")).alias("warnings"))
+
+
 def expired(runs: DataFrame, as_of, max_age_seconds: float, active: DataFrame | None = None) -> DataFrame:
     """Runs older than the retention that are neither waiting, running nor named active."""
     old = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("created_at") > max_age_seconds

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import versions
 from .match import ENGAGEMENT
 from .roster import membership_text
 
@@ -67,9 +68,45 @@ def audit_document(run_id: str, verdicts: DataFrame) -> DataFrame:
     return verdicts.select(F.lit(run_id).alias("run_id"), F.col("excel_row"), F.lit(CAVEAT).alias("caveat"), body.alias("document"))
 
 
-def write_run(verdicts: DataFrame, path: str, run_id: str) -> None:
-    """Verdicts as Parquet, one folder for each run; a run written again replaces its own folder only."""
-    verdicts.withColumn("run_id", F.lit(run_id)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").parquet(path)
+def run_document(run: DataFrame, verdicts: DataFrame, overrides: DataFrame, counts: DataFrame, reverse: DataFrame, size: int = 1000) -> DataFrame:
+    """(run_id, section, band, piece, document): a run's audit document in pieces of at most `size` rows, whatever repeats.
+
+    run is one row of the run's own fields with its run_id. Sections: head (the run, its counts by status, the caveat), verdicts (each
+    with its newest override, null where there is none) and reverse_audit. Rows of a section lie in the order of excel_row;
+    rows without one come first. A section without rows has no piece.
+    """
+    o = latest(overrides, ["excel_row"], "updated_at").select(F.col("excel_row").alias("__row"), F.struct(*[c for c in overrides.columns if c != "excel_row"]).alias("override"))
+    judged = verdicts.join(o, F.col("excel_row").eqNullSafe(F.col("__row")), "left").drop("__row")
+    totals = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))  # a row for each status
+    head = run.crossJoin(F.broadcast(totals)).withColumn("caveat", F.lit(CAVEAT))
+    head = head.select("run_id", F.lit("head").alias("section"), F.lit(0).cast("long").alias("band"), F.lit(0).alias("piece"), F.to_json(F.struct("*")).alias("document"))
+
+    def pieces(df: DataFrame, section: str) -> DataFrame:
+        band = F.coalesce(F.floor(F.col("excel_row") / size), F.lit(-1)).cast("long")
+        numbered = df.select(band.alias("band"), F.struct("*").alias("r"), F.col("excel_row").alias("__at"))
+        place = F.row_number().over(W.partitionBy("band").orderBy("__at"))
+        cut = numbered.withColumn("__place", place).withColumn("piece", F.floor((F.col("__place") - 1) / size).cast("int"))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("__place", F.to_json("r").alias("j")))), lambda x: x["j"])
+        body = F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]"))
+        one = cut.groupBy("band", "piece").agg(body.alias("document"))
+        return one.crossJoin(F.broadcast(run.select("run_id"))).select("run_id", F.lit(section).alias("section"), "band", "piece", "document")
+
+    return head.unionByName(pieces(judged, "verdicts")).unionByName(pieces(reverse, "reverse_audit"))
+
+
+def document_rows(document: DataFrame, section: str, schema: T.StructType) -> DataFrame:
+    """The rows of one section of run documents, with their run_id; unknown fields are dropped, missing ones are null."""
+    return document.where(F.col("section") == section).select("run_id", F.explode(F.from_json("document", T.ArrayType(schema))).alias("r")).select("run_id", "r.*")
+
+
+def write_run(verdicts: DataFrame, path: str, run_id: str) -> int:
+    """Publish a run's verdicts as a part of the runs' table; a run written again replaces its own part only. Returns the table's version."""
+    return versions.replace_parts(verdicts.withColumn("run_id", F.lit(run_id)), path, "run_id")
+
+
+def store_upsert(changes: DataFrame, path: str, keys: Sequence[str]) -> int:
+    """Publish a version in which rows of changes replace stored ones of the same key; only key buckets with changes are written again."""
+    return versions.merge(changes, path, keys, lambda base, new: upsert(base, new, keys))
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

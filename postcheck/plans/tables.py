@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import coerce, forms, urls
-from ..functions.shared import settled
+from ..functions.shared import settled, shared_folder
 from ..operators import adjudicate, evaluate, links, manifest, match, output, remap, roster
 from ..sources import adapters as a
-from ..sources import bind
+from ..sources import bind, versions
 from ..streaming import jobs
 from .matching import _VERDICTS, TEXTS, verdicts
 from .registry import query
@@ -385,6 +388,67 @@ def K3_audit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.select("run_id", "excel_row", F.get_json_object("document", "$.status").alias("status"))
 
 
+@query(_VERDICTS + """ SELECT 'verdicts' AS section, CAST(excel_row AS BIGINT) AS excel_row, status AS first, CASE WHEN excel_row % 50 = 0 THEN 'o2' ELSE '' END AS second FROM v
+    UNION ALL SELECT 'counts', -1, status, CAST(count(*) AS VARCHAR) FROM v GROUP BY status UNION ALL SELECT 'counts', -1, 'MATCH_name_mislabel', CAST(count(*) AS VARCHAR) FROM v WHERE name_mislabel HAVING count(*) > 0
+    UNION ALL SELECT 'reverse_audit', e.excel_row, e.post_id, e.username FROM export e WHERE e.username IN (SELECT author_id FROM v WHERE author_id <> '')
+    AND e.post_id NOT IN (SELECT m_post FROM v WHERE m_post IS NOT NULL) AND coalesce(e.post_date BETWEEN (SELECT min(post_date) - 1 FROM v) AND (SELECT max(post_date) + 1 FROM v), true)""")
+def K3_run_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's whole document, written, read and taken apart into its tables again."""
+    v = settled(verdicts(spark, sf_dir))
+    over = v.where("excel_row % 50 = 0").select("excel_row", F.explode(F.array(F.struct(F.lit("o1").alias("status"), F.lit(1).alias("updated_at")), F.struct(F.lit("o2").alias("status"), F.lit(2).alias("updated_at")))).alias("o")).select("excel_row", "o.*")
+    run = spark.range(1).select(F.lit("run1").alias("run_id"), F.lit("2026-05-01").alias("created_at"))
+    doc = settled(output.run_document(run, v, over, match.status_counts(v), match.reverse_audit(v, a.export(spark, sf_dir))))
+    schema = lambda ddl: T.StructType.fromDDL(ddl)
+    judged = output.document_rows(doc, "verdicts", schema("excel_row bigint, status string, override struct<status: string>"))
+    judged = judged.select(F.lit("verdicts").alias("section"), "excel_row", F.col("status").alias("first"), F.coalesce("override.status", F.lit("")).alias("second"))
+    counts = doc.where("section = 'head'").select(F.explode(F.from_json("document", "counts map<string, bigint>")["counts"]).alias("status", "n"))
+    counts = counts.select(F.lit("counts"), F.lit(-1).cast("long"), "status", F.col("n").cast("string"))
+    found = output.document_rows(doc, "reverse_audit", schema("excel_row bigint, post_id string, username string")).select(F.lit("reverse_audit"), "excel_row", "post_id", "username")
+    return judged.union(counts).union(found)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT c_custkey, 'changed' FROM customer WHERE c_nationkey = 3 AND c_custkey % 7 = 0")
+def K5_versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table, then changes to some keys and new keys, then the newest version."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    base = a.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    output.store_upsert(base.where("c_nationkey <> 3").drop("c_nationkey"), path, ["c_custkey"])
+    output.store_upsert(base.where("c_custkey % 7 = 0").select("c_custkey", F.lit("changed").alias("c_mktsegment")), path, ["c_custkey"])
+    return versions.read(spark, path)
+
+
+@query("SELECT workbook AS run_id, count(*) AS rows FROM (SELECT 'r' || (o_orderkey % 5) AS workbook FROM orders WHERE o_orderkey % 5 <> 3 AND (o_orderkey % 5 <> 1 OR o_orderkey % 2 = 0)) GROUP BY 1")
+def K4_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one table: all written, one written again with fewer rows, one dropped."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = a.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("r"), F.col("o_orderkey") % 5).alias("run_id"))
+    versions.replace_parts(rows, path, "run_id")
+    output.write_run(rows.where("run_id = 'r1' and o_orderkey % 2 = 0").drop("run_id"), path, "r1")
+    versions.drop_parts(spark, path, ["r3"])
+    return versions.read(spark, path).groupBy("run_id").agg(F.count("*").alias("rows"))
+
+
+@query("""SELECT doc_id, sha256('v1||' || coalesce(text, '')) AS hash, 'stored' AS state, length(coalesce(text, '')) AS n_chars,
+    CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, chr(10)) THEN '' ELSE 'one line' END AS warnings FROM documents""")
+def S12_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the ingest stream, twice; then what is told of each."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/documents.parquet"
+
+    def parse(new: DataFrame) -> DataFrame:
+        text = F.col("content").cast("string")
+        warning = F.when(text == "", "empty").when(~F.contains(text, F.lit("\n")), "one line")
+        return new.select("hash", F.to_json(F.struct(F.char_length(text).alias("n_chars"))).alias("payload"), F.array_compact(F.array(warning)).alias("warnings"))
+
+    fields = [F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")]
+    # a file stream takes one file only as a glob
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]").select(*fields)
+    for _ in range(2):
+        jobs.ingest_stream(arriving, f"{folder}/manifest", f"{folder}/checkpoint-{uuid.uuid4().hex}", parse, "v1").awaitTermination()
+    told = manifest.replay(spark.read.parquet(path).select(*fields), f"{folder}/manifest", "v1")
+    return told.select(F.col("path").cast("long").alias("doc_id"), "hash", "state", F.get_json_object("payload", "$.n_chars").cast("long").alias("n_chars"), F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("""SELECT sha256('v1||' || text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING min(doc_id) % 2 = 0""")
 def S12_ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = a.read(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").cast("binary").alias("content"))
