@@ -1,7 +1,7 @@
 """Reconciliation of a tracker with an export: exact ids decide, names only rank candidates.
 
 Joins are on ids. The name scan never compares all pairs: names are reduced to distinct forms, and a name can contain
-another only if it holds its rarest bigram, so that bigram is the join key. Fuzzy rungs share a bigram too (both forms have four characters or more).
+another only if it holds its rarest piece of four characters (a shorter name itself), so that piece is the join key. Fuzzy rungs share a bigram (both forms have four characters or more).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ TEXT = {
 MISLABEL = "有 但是DMR博主名字标注错误"
 OUTSIDE = "（超出DMR导出窗口，预期缺失）"
 FUZZY_LEAST, FUZZY_CUTOFF = 4, 85.0
+#: Names of up to so many characters are joined whole.
+SHORT = 4
 #: Characters of a passage anchor, and what the code point of its first one is a multiple of.
 GRAM, EVERY = 12, 8
 
@@ -40,13 +42,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("__k = 1").drop("__k")
 
 
-def _grams(c: Column) -> Column:
-    """Distinct bigrams; the characters are split once, so a long text costs in proportion."""
-    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.array_distinct(F.get(F.transform(F.array(chars), pairs), F.lit(0)))
-
-
 def _occurrences(c: Column) -> Column:
     """All bigrams, repeats included."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
@@ -82,16 +77,29 @@ def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     return found.where(partial_ratio(F.col("lf"), F.col("rf")) >= cutoff).select("l_id", "r_id")
 
 
+def _pieces(c: Column) -> Column:
+    """Distinct pieces of up to SHORT characters; characters outside the basic plane count as one."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+    cut = lambda x, n: F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), ""))
+    of = lambda x: F.flatten(F.array(*[F.when(F.size(x) >= n, cut(x, n)).otherwise(F.array().cast("array<string>")) for n in range(1, SHORT + 1)]))
+    return F.array_distinct(F.get(F.transform(F.array(chars), of), F.lit(0)))
+
+
 def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
-    """(l_id, r_id) where the left form is inside the right one; both are distinct forms. Blocked by the left form's rarest bigram."""
+    """(l_id, r_id) where the left form is inside the right one; both are distinct forms.
+
+    A left form of up to SHORT characters is joined as it is with the right forms' pieces, so each joined row is a hit. A longer one
+    is joined by its rarest piece of SHORT characters and then compared. Pieces that no left form needs are dropped before they are counted.
+    """
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
-    rg = rs.where(F.char_length("rf") >= 2).select("r_id", F.explode(_grams(F.col("rf"))).alias("g"))
+    short, long = ls.where(F.char_length("lf") <= SHORT), ls.where(F.char_length("lf") > SHORT)
+    lg = long.select("l_id", F.explode(F.filter(_pieces(F.col("lf")), lambda g: F.char_length(g) == SHORT)).alias("g"))
+    wanted = short.select(F.col("lf").alias("g")).unionAll(lg.select("g")).distinct()
+    rg = rs.select("r_id", F.explode(_pieces(F.col("rf"))).alias("g")).join(wanted, "g", "left_semi")
     counts = rg.groupBy("g").agg(F.count("*").alias("df"))
-    lg = ls.where(F.char_length("lf") >= 2).select("l_id", "lf", F.explode(_grams(F.col("lf"))).alias("g")).join(counts, "g", "left")
-    rarest = lg.groupBy("l_id", "lf").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-    long = rarest.join(rg, "g").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
-    one = ls.where(F.char_length("lf") == 1).join(rs.select("r_id", "rf", F.explode(F.array_distinct(F.split("rf", ""))).alias("lf")), "lf").select("l_id", "r_id")
-    return long.union(one)
+    rarest = lg.join(counts, "g", "left").groupBy("l_id").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+    compared = rarest.join(rg, "g").join(long, "l_id").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
+    return short.withColumnRenamed("lf", "g").join(rg, "g").select("l_id", "r_id").union(compared)
 
 
 def _anchors(c: Column) -> Column:
@@ -106,7 +114,7 @@ def contained_passages(left: DataFrame, right: DataFrame, form: str) -> DataFram
     """(l_id, r_id) where the left form, a passage, is inside the right one, a long text.
 
     Blocked by the passage's rarest anchor; postings hold ids and hashes, texts are joined to the survivors only.
-    Passages without an anchor go through the rarest bigram.
+    Passages without an anchor go through their rarest piece.
     """
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
     posted = lambda df, key, c: df.where(F.char_length(c) >= GRAM).select(key, F.explode(_anchors(F.col(c))).alias("g"))
@@ -123,7 +131,7 @@ def name_hits(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF, l
     """(l_id, r_id, method) for all pairs that a rung of the ladder links, the first rung of each.
 
     left and right have l_id / r_id and the forms norm, cjk, ascii (left also pinyin, if it has any). Rungs: cjk, norm,
-    ascii-fuzzy, pinyin-bridge. Blocking by bigrams is lossless for cutoff 85 with four characters or more.
+    ascii-fuzzy, pinyin-bridge. Fuzzy blocking by bigrams is lossless for cutoff 85 with four characters or more.
     """
     if fuzzy and (cutoff < 85 or least < 4):
         raise ValueError("bigram blocking is lossless only from cutoff 85 and four characters on")

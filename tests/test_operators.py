@@ -77,6 +77,17 @@ def test_partial_ratio_in_blocks_and_of_long_texts(spark, monkeypatch):
     assert df.limit(0).select(similarity.partial_ratio(F.col("a"), F.col("b"))).isEmpty()
 
 
+def test_contained_names_of_all_lengths(spark):
+    draw = random.Random(9)
+    word = lambda least, most: "".join(draw.choice("ab柚𠀀?") for _ in range(draw.randint(least, most)))
+    names = sorted({word(0, 6) for _ in range(150)} | {"𠀀", "??", "a" * 9})
+    shown = sorted({word(0, 14) for _ in range(120)} | {"𠀀柚", "?", "a" * 30, "𠀁𠀀"})
+    make = lambda xs, key: spark.createDataFrame([(x, x) for x in xs] + [("null", None)], f"{key} string, norm string")
+    got = [tuple(r) for r in match._contained(make(names, "l_id"), make(shown, "r_id"), "norm").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in itertools.product(names, shown) if a and a in b}
+    assert match._contained(make(names, "l_id").limit(0), make(shown, "r_id"), "norm").isEmpty()
+
+
 def test_name_hits_lose_no_pair(spark):
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abc柚茶") for _ in range(draw.randint(0, 7)))
