@@ -42,6 +42,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("__k = 1").drop("__k")
 
 
+def _grams(c: Column) -> Column:
+    """Distinct bigrams; the characters are split once, so a long text costs in proportion."""
+    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat(F.get(x, i), F.get(x, i + 1)))
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_distinct(F.get(F.transform(F.array(chars), pairs), F.lit(0)))
+
+
 def _occurrences(c: Column) -> Column:
     """All bigrams, repeats included."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
@@ -77,11 +84,12 @@ def _close_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     return found.where(partial_ratio(F.col("lf"), F.col("rf")) >= cutoff).select("l_id", "r_id")
 
 
-def _pieces(c: Column) -> Column:
-    """Distinct pieces of up to SHORT characters; characters outside the basic plane count as one."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+def _pieces(c: Column, size: int) -> Column:
+    """Distinct pieces of up to `size` characters; characters outside the basic plane count as one."""
+    wide = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))  # a split would tear the characters beyond the basic plane
+    chars = F.when(c.rlike(r"[\x{10000}-\x{10ffff}]"), wide).otherwise(F.filter(F.split(c, ""), lambda x: x != ""))
     cut = lambda x, n: F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), ""))
-    of = lambda x: F.flatten(F.array(*[F.when(F.size(x) >= n, cut(x, n)).otherwise(F.array().cast("array<string>")) for n in range(1, SHORT + 1)]))
+    of = lambda x: F.flatten(F.array(*[F.when(F.size(x) >= n, cut(x, n)).otherwise(F.array().cast("array<string>")) for n in range(1, size + 1)]))
     return F.array_distinct(F.get(F.transform(F.array(chars), of), F.lit(0)))
 
 
@@ -93,15 +101,27 @@ def _contained(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
     """
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
     short, long = ls.where(F.char_length("lf") <= SHORT), ls.where(F.char_length("lf") > SHORT)
-    lg = long.select("l_id", F.explode(F.filter(_pieces(F.col("lf")), lambda g: F.char_length(g) == SHORT)).alias("g"))
+    lg = long.select("l_id", F.explode(F.filter(_pieces(F.col("lf"), SHORT), lambda g: F.char_length(g) == SHORT)).alias("g"))
     wanted = short.select(F.col("lf").alias("g")).unionAll(lg.select("g")).distinct()
-    rg = rs.select("r_id", F.explode(_pieces(F.col("rf"))).alias("g")).join(wanted, "g", "left_semi")
+    rg = rs.select("r_id", F.explode(_pieces(F.col("rf"), SHORT)).alias("g")).join(wanted, "g", "left_semi")
     counts = rg.groupBy("g").agg(F.count("*").alias("df"))
     rarest = lg.join(counts, "g", "left").groupBy("l_id").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
     compared = rarest.join(rg, "g").join(long, "l_id").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
     return short.withColumnRenamed("lf", "g").join(rg, "g").select("l_id", "r_id").union(compared)
 
 
+def _contained_in_long(left: DataFrame, right: DataFrame, form: str) -> DataFrame:
+    """(l_id, r_id) where the left form is inside the right one; both are distinct forms. Blocked by the left form's rarest bigram, of which a long text has few distinct ones."""
+    ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
+    rg = rs.where(F.char_length("rf") >= 2).select("r_id", F.explode(_grams(F.col("rf"))).alias("g"))
+    counts = rg.groupBy("g").agg(F.count("*").alias("df"))
+    lg = ls.where(F.char_length("lf") >= 2).select("l_id", "lf", F.explode(_grams(F.col("lf"))).alias("g")).join(counts, "g", "left")
+    rarest = lg.groupBy("l_id", "lf").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+    long = rarest.join(rg, "g").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
+    one = ls.where(F.char_length("lf") == 1).join(rs.select("r_id", "rf", F.explode(F.array_distinct(F.split("rf", ""))).alias("lf")), "lf").select("l_id", "r_id")
+    return long.union(one)
+
+
 def _anchors(c: Column) -> Column:
     """Hashes of the GRAM-grams whose first character's code point is a multiple of EVERY: a text inside another has its anchors among the other's."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
@@ -114,7 +134,7 @@ def contained_passages(left: DataFrame, right: DataFrame, form: str) -> DataFram
     """(l_id, r_id) where the left form, a passage, is inside the right one, a long text.
 
     Blocked by the passage's rarest anchor; postings hold ids and hashes, texts are joined to the survivors only.
-    Passages without an anchor go through their rarest piece.
+    Passages without an anchor go through their rarest bigram: a long text has few distinct ones.
     """
     ls, rs = left.where(F.col(form) != "").select("l_id", F.col(form).alias("lf")), right.where(F.col(form) != "").select("r_id", F.col(form).alias("rf"))
     posted = lambda df, key, c: df.where(F.char_length(c) >= GRAM).select(key, F.explode(_anchors(F.col(c))).alias("g"))
@@ -124,7 +144,7 @@ def contained_passages(left: DataFrame, right: DataFrame, form: str) -> DataFram
     rarest = la.join(counts, "g", "left").groupBy("l_id").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
     found = rarest.join(ra, "g").join(ls, "l_id").join(rs, "r_id").where(F.contains("rf", F.col("lf"))).select("l_id", "r_id")
     rest = left.join(la.select("l_id").distinct(), "l_id", "left_anti").where(F.col(form) != "")
-    return found if rest.isEmpty() else found.union(_contained(rest, right, form))
+    return found if rest.isEmpty() else found.union(_contained_in_long(rest, right, form))
 
 
 def name_hits(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF, least: int = FUZZY_LEAST, fuzzy: bool = True) -> DataFrame:
