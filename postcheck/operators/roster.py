@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import forms
+from ..functions.shared import settled
 from .match import first_per_key, name_hits
 
 #: Membership texts.
@@ -56,10 +57,11 @@ def name_evidence(verdicts: DataFrame, roster: DataFrame, label: str = "", ascii
     """
     wanted = verdicts.where(F.col("status").isin("NO_BLOGGER_NOT_IN_PERIMETER", "LINK_ERROR"))
     t = forms.add_forms(wanted, "name", "__", ascii_only)
-    key = F.concat_ws("\x01", "__norm", "__cjk", "__ascii")
+    key = F.col("__norm")
     left = t.select(key.alias("l_id"), F.col("__norm").alias("norm"), F.col("__cjk").alias("cjk"), F.col("__ascii").alias("ascii")).distinct()
     if lexicon is not None:
         left = forms.transliterate(left, "cjk", lexicon, "pinyin")
+    left = settled(left)
     names = forms.add_forms(roster, "name", "n_", ascii_only)
     if "namebis" in roster.columns:
         names = forms.add_forms(names, "namebis", "b_", ascii_only)

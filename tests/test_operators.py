@@ -88,6 +88,40 @@ def test_contained_names_of_all_lengths(spark):
     assert match._contained(make(names, "l_id").limit(0), make(shown, "r_id"), "norm").isEmpty()
 
 
+def _joined_rows(plan) -> int:
+    """Rows that the joins of an executed plan gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _joined_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _joined_rows(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return own + sum(_joined_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_names_that_share_all_their_pieces_are_joined_once(spark):
+    """The numbers' pieces of four characters are few, so pairs that share one grow with the square of the names."""
+    names = [f"k{1000000 + 7 * i}z" for i in range(1500)]
+    make = lambda xs, key: spark.createDataFrame([(x, x) for x in xs], f"{key} string, norm string")
+    hits = match._contained(make(names, "l_id"), make([f"{n}k1z" for n in names], "r_id"), "norm")
+    got = [tuple(r) for r in hits.collect()]
+    assert sorted(got) == [(n, f"{n}k1z") for n in names]
+    assert _joined_rows(hits._jdf.queryExecution().executedPlan()) == len(names)
+
+
+def test_contained_names_longer_than_the_pieces(spark):
+    draw = random.Random(19)
+    word = lambda least, most: "".join(draw.choice("ab柚𠀀") for _ in range(draw.randint(least, most)))
+    shown = sorted({word(10, 40) for _ in range(60)} | {word(260, 420) for _ in range(6)} | {"ab" * 150, "x"})
+    cut = lambda t, n: t[(at := draw.randint(0, max(0, len(t) - n))) : at + n]
+    names = sorted({cut(draw.choice(shown), draw.choice((1, 3, 11, 12, 13, 14, 25, 200))) for _ in range(150)} | {"ab" * 8, "q" * 13, word(13, 13)})
+    make = lambda xs, key: spark.createDataFrame([(x, x) for x in xs], f"{key} string, norm string")
+    for some in (names, [n for n in names if len(n) > match.WHOLE], [n for n in names if len(n) <= match.WHOLE]):
+        got = [tuple(r) for r in match._contained(make(some, "l_id"), make(shown, "r_id"), "norm").collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in itertools.product(some, shown) if a in b} and len(got) > 50
+
+
 def test_name_hits_lose_no_pair(spark):
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abc柚茶") for _ in range(draw.randint(0, 7)))
