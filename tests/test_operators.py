@@ -319,6 +319,31 @@ def test_fuzzy_blocking_loses_no_long_name(spark):
     assert got == want and len(want) > 20
 
 
+def test_close_pairs_of_blocks_against_all_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcd柚𠀀"[: draw.choice((2, 4, 6))]) for _ in range(draw.choice((4, 7, 12, 30, 64, 65, 80))))
+    names = sorted({word() for _ in range(60)})
+    shown = sorted({word() for _ in range(50)} | {x[: len(x) // 2] + "q" + x[len(x) // 2 + 1 :] for x in names})
+    pairs = list(itertools.product(names, shown))
+    want = {p for p, v in zip(pairs, similarity.partial_ratios(*map(list, zip(*pairs)))) if v >= 85}
+    i, j = similarity.close_pairs(names, shown, 85.0)
+    assert sorted((names[a], shown[b]) for a, b in zip(i, j)) == sorted(want)
+    monkeypatch.setattr(match, "BLOCK", 20)
+    make = lambda xs, key, form: spark.createDataFrame([(x, x) for x in xs], f"{key} string, {form} string")
+    got = [tuple(r) for r in match._close_pairs(make(names, "l_id", "lf"), make(shown, "r_id", "rf"), 85.0).collect()]
+    assert sorted(got) == sorted(want) and 100 < len(want) < len(pairs)
+    assert match._close_pairs(make(names, "l_id", "lf").limit(0), make(shown, "r_id", "rf"), 85.0).isEmpty()
+
+
+def test_few_pairs_are_compared_in_full(monkeypatch):
+    """Names of one length over few letters share half of their bigrams with most others."""
+    draw, compared, whole = random.Random(8), [], similarity.partial_ratios
+    names = ["".join(draw.choice("etaoinsh") for _ in range(17)) for _ in range(300)]
+    monkeypatch.setattr(similarity, "partial_ratios", lambda a, b: compared.extend(a) or whole(a, b))
+    i, j = similarity.close_pairs(names, names, 85.0)
+    assert {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist())) and len(compared) < 0.01 * 300 * 300
+
+
 def test_readings_of_chinese_names_rank_candidates(spark):
     lexicon = spark.createDataFrame([("柚", "you"), ("茶", "cha")], "char string, syllable string")
     left = forms.transliterate(_forms(spark, ["柚茶", "柚"], "l_id"), "cjk", lexicon, "pinyin")
