@@ -222,3 +222,42 @@ def test_sums_before_equal_a_running_sum(spark):
     cells = [("w", "a", c, "x", None, None) for c in (3, 20, 28, 37)] + [("w", "b", 25, "", None, None), ("w", "c", 27, None, 1.0, None), ("w", "d", 28, None, None, dt.datetime(2031, 1, 1))]
     blocks = output.free_block(spark.createDataFrame(cells, "workbook string, sheet string, col int, v_str string, v_num double, v_ts timestamp"))
     assert {r["sheet"]: r["start"] for r in blocks.collect()} == {"a": 29, "b": 20, "c": 28, "d": 20}
+
+
+def _counted(plan, kind: str) -> int:
+    """Rows that the nodes of a kind gave in an executed plan."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _counted(plan.executedPlan(), kind)
+    if "QueryStage" in name:
+        return _counted(plan.plan(), kind)
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if kind in name else 0
+    return own + sum(_counted(below.apply(i), kind) for i in range(below.size()))
+
+
+def test_matched_rows_are_not_joined_with_candidates(spark):
+    day = dt.date(2031, 1, 1)
+    posts = [(n, f"Name {n}", f"u{n}", f"p{n}", dt.datetime.combine(day, dt.time())) for n in range(300)]
+    rows = [(n, "C", str(n), f"Name {n}" if n % 2 else "Other", day, f"http://d/{n}") for n in range(300)] + [(400 + n, "C", "", f"Name {n}", day, None) for n in range(3)]
+    cache = [(f"http://d/{n}", "ok", f"p{n}", f"u{n}") for n in range(300)]
+    out = match.reconcile(spark.createDataFrame(rows, TRACKER), spark.createDataFrame(posts, EXPORT), spark.createDataFrame(cache, CACHE), ascii_only=True, fuzzy=False)
+    got = {r["excel_row"]: r for r in out.collect()}
+    assert len(got) == 303 and all(got[n]["status"] == "MATCH" and got[n]["name_mislabel"] == (n % 2 == 0) and got[n]["author_id"] == f"u{n}" and got[n]["candidates"] == [] for n in range(300))
+    assert all(got[400 + n]["status"] == "LINK_ERROR" and got[400 + n]["candidates"][0]["post_id"] == f"p{n}" for n in range(3))
+    assert _counted(out._jdf.queryExecution().executedPlan(), "Join") < 30
+
+
+def test_posts_near_in_time_against_all_pairs(spark):
+    """Each pair once, unknown dates near to all; the rows are repeated, not the wider posts."""
+    draw = random.Random(23)
+    date = lambda: None if draw.random() < 0.1 else dt.date(1969, 11, 1) + dt.timedelta(draw.randrange(150))
+    need = [(n, draw.choice("ab"), date()) for n in range(60)]
+    posts = [(n, draw.choice("abc"), date()) for n in range(400)]
+    for some, others in ((need, posts), ([r for r in need if r[2]], [p for p in posts if p[2]])):
+        for days in (0, 1, 7):
+            found = match._near(spark.createDataFrame(some, "row int, k string, t_date date"), spark.createDataFrame(others, "post int, k string, x_date date"), "k", days)
+            got = [(r["row"], r["post"]) for r in found.collect()]
+            want = {(a, b) for a, k, t in some for b, j, x in others if k == j and (t is None or x is None or abs((x - t).days) <= days)}
+            assert len(got) == len(set(got)) and set(got) == want
+            assert _counted(found._jdf.queryExecution().executedPlan(), "Generate") <= 2 * len(some)
