@@ -1,6 +1,8 @@
 import random
+import time
 
 import corpus_pipeline
+from postcheck.llm import common
 from postcheck.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -47,3 +49,19 @@ def test_registry():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """On many partitions the files of all earlier shuffles would fill the disk until the driver collects garbage."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffles = lambda: {f for f in files() if "shuffle_" in f}
+    counts = lambda: spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    setting = spark.conf.get(common.SHUFFLES_GO, None)
+    before = shuffles()
+    kept = common.stored(counts())
+    for _ in range(50):  # files are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(common.SHUFFLES_GO, None) == setting
+    assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
