@@ -417,20 +417,22 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     # sort-merge join at every size.
     texts_of = stored(rows.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
     links = confirmed(stored(screened(friends(pairs), classes)), texts_of)
-    labelled = lambda: stored(members.join(connected_components(links), "id", "left").select("t", "code", "id", F.coalesce("component", "id").alias("component")))
+    # Components grow by the links of each round, which join only some of them.
+    parts = connected_components(links)
+    labelled = lambda: stored(members.join(parts, "id", "left").select("t", "code", "id", F.coalesce("component", "id").alias("component")))
     placed = labelled()
     for _ in range(CENTRE_ROUNDS):
         more = confirmed(stored(screened(centre_pairs(placed), classes, dealt=True)), texts_of, dealt=True)
         if more.isEmpty():
             break
-        links = links.unionByName(more)
+        parts = connected_components(more, known=parts)
         placed = labelled()
     several = adapted(placed, classes)
     open_ids = several.select("id").distinct()
     sets = map_rows(texts_of.join(open_ids, "id", "left_semi"), [T.StructField("shingles", T.BinaryType())], _shingles, rows=256).drop("text")
     full = several.join(classes.drop("ha", "hb").join(sets, "id"), "id")
     second = stored(_others(full).groupBy("t", "code", "i", "j").applyInArrow(_crossing, "a long, b long"))
-    parts = connected_components(links.unionByName(second))
+    parts = connected_components(second, known=parts)
     named = classes.select("ha", "hb", "id").join(parts, "id", "left").select("ha", "hb", F.coalesce("component", "id").alias("component"))
     joined = features.select("doc_id", "n", "ha", "hb").join(named, ["ha", "hb"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))

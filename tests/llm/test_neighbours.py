@@ -31,6 +31,36 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_by_new_edges(spark):
+    """Equal to all edges at once; edges inside known components cost no further round."""
+    draw = random.Random(8)
+    edges = [(draw.randrange(90), draw.randrange(90)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    read = lambda df: {r["id"]: r["component"] for r in df.collect()}
+    first = components.connected_components(frame(edges[:30]))
+    second = components.connected_components(frame(edges[30:] + [(1, None), (5, 5)]), known=first)
+    assert read(second) == read(components.connected_components(frame(edges)))
+    assert components.connected_components(frame(edges), known=second) is second
+
+
+def test_components_take_few_tasks(spark):
+    """With many partitions a round's tasks, most of them empty, outweigh its rows."""
+    chain, before = spark.createDataFrame([(n, n + 1) for n in range(64)], "a long, b long"), spark.conf.get("spark.sql.shuffle.partitions")
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert components.connected_components(chain).where("component <> 0").isEmpty()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    done = [x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x]
+    assert sum(done) < 1500
+
+
 def _sets(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
