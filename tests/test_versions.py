@@ -142,3 +142,23 @@ def test_run_document_comes_back_as_its_tables(spark):
     assert _rows(output.document_rows(doc, "reverse_audit", T.StructType.fromDDL("excel_row int, blogger string"))) == [("r1", 5, '"quoted", [x]\n'), ("r1", 6, None)]
     empty = output.run_document(run, verdicts.limit(0), over.limit(0), counts.limit(0), reverse.limit(0)).collect()
     assert [r["section"] for r in empty] == ["head"] and json.loads(empty[0]["document"])["counts"] == {}
+
+
+def test_run_document_moves_verdicts_once(spark):
+    """By the band alone, though overrides meet them: the newest of each row, also for repeated rows and rows without a number."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = spark.createDataFrame([("r1", "now")], "run_id string, created string")
+        verdicts = spark.createDataFrame([(1, "A"), (1, "B"), (12, "C"), (None, "D"), (30, "E")], "excel_row bigint, status string")
+        over = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (12, None, 5), (None, "none", 1), (30, "undated", None), (99, "nobody", 3)], "excel_row int, status string, updated_at int")
+        reverse = spark.createDataFrame([(5, "b")], "excel_row int, blogger string")
+        doc = output.run_document(run, verdicts, over, spark.createDataFrame([("A", 1)], "status string, n long"), reverse, size=10)
+        plan = doc._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning(") == 2  # verdicts with overrides, reverse audit; 5 before
+        rows = output.document_rows(doc, "verdicts", T.StructType.fromDDL("excel_row bigint, status string, override struct<status: string, updated_at: int>"))
+        got = {(r.excel_row, r.status): None if r.override is None else tuple(r.override) for r in rows.collect()}
+        assert got == {(1, "A"): ("new", 2), (1, "B"): ("new", 2), (12, "C"): (None, 5), (None, "D"): ("none", 1), (30, "E"): ("undated", None)}
+        texts = {(r.band, r.piece): json.loads(r.document) for r in doc.where("section = 'verdicts'").collect()}
+        assert sorted(texts) == [(-1, 0), (0, 0), (1, 0), (3, 0)] and list(texts[0, 0][0]) == ["excel_row", "status", "override"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
