@@ -3,7 +3,8 @@
 A text is split by the tokenizer's pattern; each pre-token starts as single bytes. Every adjacent pair that has a merge
 rank is a queue entry: the bucket of its rank holds linked-list positions, leftmost first. Two bitmap levels mark
 the ranks with a bucket, so find-first-set gives the next rank in two steps whatever the pre-token's length; entries that no longer describe their pair are skipped when they come up. A pre-token of n bytes costs
-O(n log n), which matters for very long ones.
+O(n log n), which matters for very long ones. New pre-tokens of several texts share one list and one queue, so that
+a rank comes up once for all of them.
 
 Pre-tokens repeat, so each Python worker keeps a bounded memo of them. Texts never leave their row: encode and decode
 are narrow maps without a shuffle.
@@ -16,6 +17,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,12 @@ from .common import Memo, held, map_rows, texts
 MEMO_SIZE = 150_000
 #: Two token ids below 2 to this power make one pair key.
 SHIFT = 24
+#: Characters of texts that are split together.
+TOGETHER = 1 << 20
+#: Pre-tokens of one list: more share a rank's turn, fewer stay in the processor's cache.
+LIST = 512
+#: What stands between the pre-tokens of one list: no token's id, so that it merges with nothing.
+GAP = (1 << SHIFT) - 1
 
 
 def basic_plane(pattern: str) -> str | None:
@@ -164,6 +172,76 @@ def merge(ids: list[int], pair: dict[int, int], product: list[int], queue: RankQ
     return [s for s in ids if s >= 0]
 
 
+def merge_many(data: list[bytes], byte_id: np.ndarray, first: np.ndarray, nexts: list[dict[int, int] | None], lasts: list[dict[int, int] | None], queue: RankQueue) -> list[bytes]:
+    """The packed ids of many pre-tokens that merge in one linked list, a GAP after each; the id is the rank.
+
+    first has the rank of each pair of bytes, or -1; nexts the ranks of a token with its right neighbours, lasts with its left ones, None where
+    it merges with none, as most do. Only for vocabularies in which each token is made of tokens of lower ranks
+    (RankEncoder.rising): then all that a rank holds merges when it comes up, leftmost first, and what that adds comes up later.
+    """
+    lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    gaps = np.cumsum(lengths + 1)
+    flat = np.frombuffer(b"\0" + b"\0".join(data) + b"\0", dtype=np.uint8).astype(np.int64)  # a gap before the first one, too
+    between = np.concatenate(([0], gaps))
+    start = byte_id[flat]
+    start[between] = GAP
+    known = np.append(first[flat[:-1] << 8 | flat[1:]], -1)
+    known[between] = -1
+    known[gaps - 1] = -1
+    at = np.flatnonzero(known >= 0)
+    at = at[np.argsort(known[at], kind="stable")]
+    found, cuts = np.unique(known[at], return_index=True)
+    places, cuts = at.tolist(), [*cuts.tolist(), len(at)]
+    low, buckets, bit, top = queue.low, queue.buckets, queue.bit, 0
+    for n, rank in enumerate(found.tolist()):
+        buckets[rank] = places[cuts[n] : cuts[n + 1]]
+        low[word := rank >> 8] |= bit[rank]
+        top |= 1 << word
+    ids, ranks, end = start.tolist(), known.tolist(), len(flat)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    while top:
+        word = (top & -top).bit_length() - 1
+        x = low[word]
+        token = (word << 8) + (x & -x).bit_length() - 1
+        low[word] = x = x & (x - 1)
+        if not x:
+            top &= top - 1
+        bucket = buckets[token]
+        buckets[token] = None
+        bucket.sort()
+        right, left = nexts[token], lasts[token]
+        for i in bucket:
+            if ranks[i] != token:
+                continue  # stale
+            j = after[i]
+            after[i] = k = after[j]
+            before[k] = i
+            ids[i] = token
+            ids[j] = ranks[j] = ranks[i] = -1
+            if right and (new := right.get(ids[k], -1)) >= 0:
+                ranks[i] = new
+                if buckets[new] is None:
+                    buckets[new] = [i]
+                    low[word := new >> 8] |= bit[new]
+                    top |= 1 << word
+                else:
+                    buckets[new].append(i)
+            h = before[i]
+            ranks[h] = -1
+            if left and (new := left.get(ids[h], -1)) >= 0:
+                ranks[h] = new
+                if buckets[new] is None:
+                    buckets[new] = [h]
+                    low[word := new >> 8] |= bit[new]
+                    top |= 1 << word
+                else:
+                    buckets[new].append(h)
+    out = np.array(ids, dtype=np.int32)
+    ends = np.cumsum((out >= 0) & (out != GAP))[gaps].tolist()
+    packed = out[(out >= 0) & (out != GAP)].tobytes()
+    return [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+
 class Vocabulary:
     """A rank file: token bytes by rank, enough to decode."""
 
@@ -183,17 +261,42 @@ class RankEncoder(Vocabulary):
         self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.byte_id = [self.ranks[bytes([b])] for b in range(256)]
         get = self.ranks.get
-        self.pair = {}
+        self.pair, odd = {}, {}
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
                     self.pair[a << SHIFT | b] = rank
+                    if (i > 1 and a > rank) or (i < len(token) - 1 and b > rank):
+                        odd.setdefault(token, set()).add((a, b))
+        self.bytes = np.array(self.byte_id, dtype=np.int64)
+        self.first = np.array([get(bytes((a, b)), -1) for a in range(256) for b in range(256)], dtype=np.int64)
         self.product = list(range(max(self.tokens) + 1))  # the id is the rank
         self.pieces = Splitter(pattern, basic)
         self.queue = RankQueue(len(self.product))
+        self.rising = max(self.tokens) < GAP and not any(self.last_pair(token) in pairs for token, pairs in odd.items())
+        self.nexts: list[dict[int, int] | None] = [None] * len(self.product)
+        self.lasts: list[dict[int, int] | None] = [None] * len(self.product)
+        if self.rising:
+            for key, rank in self.pair.items():
+                a, b = key >> SHIFT, key & GAP
+                for side, one, other in ((self.nexts, a, b), (self.lasts, b, a)):
+                    if side[one] is None:
+                        side[one] = {}
+                    side[one][other] = rank
         self.memo = Memo(self.piece_ids, MEMO_SIZE)
 
+    def last_pair(self, token: bytes) -> tuple[int, ...]:
+        """What a token is made of, wherever it is made: merges inside its bytes come in the same order in any text, unless one crosses their ends and the token is not made."""
+        get, pair = self.ranks.get, self.pair
+        own = [(get(token[:i]), get(token[i:])) for i in range(1, len(token))]
+        own = {a << SHIFT | b: self.ranks[token] for a, b in own if a is not None and b is not None}
+        for key in own:
+            del pair[key]
+        parts = merge([self.byte_id[b] for b in token], pair, self.product, self.queue)
+        pair.update(own)
+        return tuple(parts)
+
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a pre-token as packed int32, so that a text's ids are one join."""
         data = piece.encode()
@@ -202,6 +305,42 @@ class RankEncoder(Vocabulary):
         byte_id = self.byte_id
         return array("i", merge([byte_id[b] for b in data], self.pair, self.product, self.queue)).tobytes()
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Put the pre-tokens that the memo lacks into it, together where the vocabulary allows it."""
+        if not self.rising:
+            return
+        ranks, long, put = self.ranks, [], self.memo.put
+        for piece in self.memo.unknown(pieces):
+            data = piece.encode()
+            if data in ranks:
+                put(piece, array("i", (ranks[data],)).tobytes())
+            else:
+                long.append((piece, data))
+        for n in range(0, len(long), LIST):
+            part = long[n : n + LIST]
+            for (piece, _), ids in zip(part, merge_many([d for _, d in part], self.bytes, self.first, self.nexts, self.lasts, self.queue)):
+                put(piece, ids)
+
+    def packed_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The packed ids of each text; texts are split and their new pre-tokens learnt some at a time."""
+        out: list[bytes] = []
+        waiting: list[list[str]] = []
+        size, find = 0, self.memo.__getitem__
+
+        def finish() -> None:
+            self.learn(chain.from_iterable(waiting))
+            out.extend(b"".join(map(find, pieces)) for pieces in waiting)
+            waiting.clear()
+
+        for text in texts:
+            waiting.append(self.pieces(text))
+            size += len(text)
+            if size >= TOGETHER:
+                finish()
+                size = 0
+        finish()
+        return out
+
     def packed(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
@@ -229,7 +368,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
         own = held(("encode", key, full), lambda: RankEncoder(raw, full, basic))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            packed = [own.packed(t) for t in texts(batch, text)]
+            packed = own.packed_all(texts(batch, text))
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             flat = np.frombuffer(b"".join(packed), dtype=np.int32)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from array import array
 
 import tiktoken
 from public_tokenizers import PATTERN, path
@@ -110,3 +111,30 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, RANKS, PATTERN, decoded="both"), RANKS).count() == 0
     assert token_counts.count_tokens(df, TOKENIZER, PATTERN).count() == 0
+
+
+def test_new_pre_tokens_merge_in_one_list_as_each_alone():
+    own, rng = bpe.RankEncoder(open(RANKS, "rb").read(), PATTERN), random.Random(5)
+    words = [bytes(rng.choice(b"aaabcdeh \xe4\xbd\xa0zZ01") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    words += [part * n for part in (b"a", b"ab", b" ", b"\x00") for n in range(1, 60)]
+    alone = [own_ids.tobytes() for own_ids in (array("i", bpe.merge([own.byte_id[b] for b in w], own.pair, own.product, own.queue)) for w in words)]
+    assert own.rising and bpe.merge_many(words, own.bytes, own.first, own.nexts, own.lasts, own.queue) == alone
+    assert all(b is None for b in own.queue.buckets) and not any(own.queue.low)
+
+
+def test_new_pre_tokens_of_several_texts_are_learnt_together(monkeypatch):
+    """Only those too long for the memo merge alone, whatever the groups of texts; a vocabulary whose merges may go down goes one by one."""
+    raw, rng = open(RANKS, "rb").read(), random.Random(6)
+    texts = ["", *(" ".join("".join(rng.choice("aebcdxqzü你") for _ in range(rng.choice((3, 9, 90)))) for _ in range(30)) for _ in range(40))]
+    own, library = bpe.RankEncoder(raw, PATTERN), _library()
+    alone, one = [], own.memo.make
+    monkeypatch.setattr(own.memo, "make", lambda piece: alone.append(len(piece)) or one(piece))
+    monkeypatch.setattr(bpe, "TOGETHER", 1000)
+    monkeypatch.setattr(bpe, "LIST", 7)
+    expected = [array("i", library.encode_ordinary(t)).tobytes() for t in texts]
+    assert own.packed_all(texts) == expected and alone and min(alone) > own.memo.longest
+    # Token 257 is made of "a" and "bc", which has a higher rank.
+    down = {bytes([b]): b for b in range(256)} | {b"xa": 256, b"abc": 257, b"bc": 258}
+    raw = b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in down.items())
+    odd = bpe.RankEncoder(raw, PATTERN)
+    assert not odd.rising and odd.last_pair(b"abc") == (97, 258) and odd.packed_all(["abc bc xabc"]) == [odd.packed("abc bc xabc")]
