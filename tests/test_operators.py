@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -344,6 +345,42 @@ def test_few_pairs_are_compared_in_full(monkeypatch):
     assert {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist())) and len(compared) < 0.01 * 300 * 300
 
 
+def test_blocks_of_names_do_not_meet_all_with_all():
+    """Two blocks take less memory than one figure for each of their pairs."""
+    draw = random.Random(9)
+    names = ["".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(12, 20))) for _ in range(5000)]
+    tracemalloc.start()
+    i, j = similarity.close_pairs(names, names, 85.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, k) for k in range(5000)} <= set(zip(i.tolist(), j.tolist())) and peak < 4 * 5000 * 5000
+
+
+@pytest.mark.parametrize("letters, sizes, cutoff", [("ab", (4, 5, 6, 7, 8), 85), ("abcd柚", (9, 11, 12, 13, 14, 15), 85), ("abcdefgh", (17, 18, 20, 23), 85), ("abcd𠀀", (31, 33, 64, 65, 90), 85), ("etaoinsh", (4, 9, 17, 30), 91)])
+def test_pairs_that_meet_by_pieces_against_all_pairs(spark, monkeypatch, letters, sizes, cutoff):
+    """Edited names, ends that overlap only and names inside others; blocks of which too many meet are halved."""
+    draw = random.Random(len(letters))
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+
+    def edited(s, n):
+        for at in (draw.randrange(len(s)) for _ in range(n)):
+            s = s[:at] + draw.choice(("", draw.choice(letters), draw.choice(letters) + s[at : at + 1])) + s[at + 1 :]
+        return s
+
+    names = sorted({word(draw.choice(sizes)) for _ in range(80)})
+    shown = sorted({edited(x, draw.randint(0, 1 + len(x) // 5)) for x in names} | {x[draw.randint(0, len(x) // 3) :] + word(4) for x in names} | {word(3) + edited(x, 2) + word(2) for x in names[:40]})
+    pairs = list(itertools.product(names, shown))
+    want = {p for p, v in zip(pairs, similarity.partial_ratios(*map(list, zip(*pairs)))) if v >= cutoff}
+    for meeting in (similarity.MEETING, 500):
+        monkeypatch.setattr(similarity, "MEETING", meeting)
+        got = [(names[a], shown[b]) for a, b in zip(*similarity.close_pairs(names, shown, float(cutoff)))]
+        assert sorted(got) == sorted(want) and len(want) > 40
+    monkeypatch.setattr(match, "BLOCK", 30)
+    make = lambda key, form: spark.createDataFrame([(x, x) for x in names], f"{key} string, {form} string")
+    one, two = (sorted(map(tuple, match._close_pairs(make("l_id", "lf"), make("r_id", "rf"), float(cutoff), same).collect())) for same in (False, True))
+    assert one == two and {(x, x) for x in names} <= set(two)
+
+
 def test_readings_of_chinese_names_rank_candidates(spark):
     lexicon = spark.createDataFrame([("柚", "you"), ("茶", "cha")], "char string, syllable string")
     left = forms.transliterate(_forms(spark, ["柚茶", "柚"], "l_id"), "cjk", lexicon, "pinyin")
