@@ -401,6 +401,36 @@ def test_series_differences(spark):
     assert efficiency.series_differences(computed, computed).isEmpty() and efficiency.series_differences(computed.limit(0), shown).isEmpty()
 
 
+def test_settled_metrics_are_those_of_the_separate_operators(spark):
+    draw = random.Random(5)
+    some = lambda *xs: draw.choice(xs)
+    rows = [(i, some("报备", "软植", "其他"), some("头部", "KOC", "", None), some(None, 50.0, 12000.0), some(None, "", " Ab", "ab", "AB ", "c"), some(None, 0, 0, 100, 100, 300, 700), 1, 1, 1, some(0, 5, 9), some(None, 1.25, 10.0, 99.5)) for i in range(200)]
+    schema = "excel_row int, type_raw string, level_raw string, fanbase_raw double, mcn string, impression long, like_n long, collection long, comment_n long, ttl_engagement long, price double"
+    table = lambda df: {tuple(r)[0]: tuple(r) for r in df.collect()}
+    for p in (rows, rows[:3], []):
+        posts = efficiency.flag_missing(efficiency.classify(spark.createDataFrame(p, schema)))
+        for got, want in zip(efficiency.settled_metrics(posts), (efficiency.group_metrics(posts), efficiency.totals(posts), efficiency.agency_metrics(posts))):
+            assert got.dtypes == want.dtypes
+            one, two = table(got), table(want)
+            assert set(one) == set(two) and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_series_differences_read_the_posts_twice(spark, monkeypatch):
+    from postcheck.plans import QUERIES
+    from postcheck.plans import efficiency as plans
+
+    read, whole = spark.sparkContext.accumulator(0), plans.posts(spark, "/root/testdata/sf0.001")
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    monkeypatch.setattr(plans, "posts", lambda *_: whole.mapInPandas(counted, whole.schema))
+    assert QUERIES["R8_series_differences"](spark, "/root/testdata/sf0.001").count() > 0
+    assert read.value == 2 * whole.count()
+
+
 def test_openings_against_brute_force(spark, tmp_path):
     from postcheck.plans import QUERIES
 
